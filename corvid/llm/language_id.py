@@ -13,6 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -158,18 +159,22 @@ def predict(model: dict, column: pa.Array) -> tuple[list, np.ndarray]:
     return langs, np.concatenate(scores) if scores else np.zeros(0)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", languages: int = 200) -> dict:
-    """The automata, from at most TRAIN_DOCS documents of each language (the first by a hash of their text) and TRAIN_BYTES normalised bytes of these."""
-    names = [r[0] for r in labelled.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(languages).collect()]
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict:
+    """The automata, from at most TRAIN_DOCS documents of each language (the first by a hash of their text) and TRAIN_BYTES normalised bytes of these.
+
+    An excerpt from the middle of each document is enough to learn from;
+    predictions read whole texts.
+    """
+    mid = F.greatest(F.lit(1), F.floor(F.length(text) / 2).cast("int") - 100)
+    own = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("l"), F.xxhash64(text).alias("h"), F.substr(text, mid, F.lit(400)).alias("t"))
+    first = own.withColumn("r", F.rank().over(W.partitionBy("l").orderBy("h", "t"))).where(F.col("r") <= TRAIN_DOCS).select("l", "h", "t").distinct()
+    samples: dict[str, list] = {}
+    for r in first.collect():
+        samples.setdefault(r.l, []).append((r.h, " " + r.t + " "))
     texts = {}
-    for name in names:
-        own = labelled.where((F.col(lang) == name) & (F.length(text) > 0)).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
-        # An excerpt from the middle of each document is enough to learn from; predictions read whole texts.
-        mid = F.greatest(F.lit(1), F.floor(F.length("t") / 2).cast("int") - 100)
-        rows = own.select("h", F.substr("t", mid, F.lit(400)).alias("t")).distinct().orderBy("h", "t").limit(TRAIN_DOCS).collect()
-        if rows:
-            parts, _ = normalize(*flat(pa.array([" " + r.t + " " for r in rows])))
-            texts[name] = parts.tobytes()[:TRAIN_BYTES]
+    for name, rows in samples.items():
+        parts, _ = normalize(*flat(pa.array([t for _, t in sorted(rows)])))
+        texts[name] = parts.tobytes()[:TRAIN_BYTES]
     return compile_automata({k: v for k, v in texts.items() if v.strip()})
 
 
