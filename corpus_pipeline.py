@@ -11,11 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm import language_id, mixing, sharding
+from corvid.llm import decontaminate, language_id, mixing, ngram_join, sharding
 from corvid.sources.tables import table
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter go."""
@@ -23,6 +21,20 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).where(F.col("lang_pred") != language_id.UNDETERMINED).drop("lang_pred", "lang_score")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group of near-duplicates.
+
+    As near-duplicate stages do, it takes five-word shingles and a similarity
+    of 0.8 or more.
+    """
+    return ngram_join.one_of_each(docs, width=5, percent=80)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sample of documents that meets the target weights."""
     return mixing.mix(docs).where("mix_kept").select(*docs.columns)
@@ -35,6 +47,8 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", languages),
+    ("ngram_jaccard", near_duplicates),
+    ("decontamination", benchmark_free),
     ("mixing", mixture),
     ("sharding", shards),
 ]

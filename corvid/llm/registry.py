@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from corvid.llm import exact_dedup, language_id, mixing, sharding, url_filter
+from corvid.llm import decontaminate, exact_dedup, language_id, lm_score, mixing, ngram_join, pii, quality, sharding, url_filter
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_lm_scoring": lm_score.op2_lm_scoring,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_quality_classifier": quality.op4_quality_classifier,
+    "op5_pii": pii.op5_pii,
+    "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
     "op7_sharding": sharding.op7_sharding,
     "op8_mixing": mixing.op8_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
