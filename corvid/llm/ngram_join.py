@@ -27,13 +27,11 @@ from pyspark.sql import functions as F
 
 from corvid.llm.components import components
 from corvid.llm.textbytes import flat, mix, slices, words
+from corvid.llm.toplist import count_cut
 from corvid.sources.tables import materialize
 
-#: Texts count in chunks of so many tokens; a token in at least LOCAL of a chunk's sets counts as frequent there.
-CHUNK_TOKENS = 1 << 20
-LOCAL = 8
-#: Frequent tokens are ordered last only from so large a share of all documents on; so there are at most SHARE tokens for each of a mean set's.
-SHARE = 2_000
+#: Tokens that are ordered last for their frequency, at most.
+HOT = 1 << 19
 #: Tokens in one block of a group.
 BLOCK_TOKENS = 1 << 20
 #: Buckets of the bit map that spares documents which are in no group.
@@ -87,9 +85,9 @@ def order_keys(tokens: np.ndarray, order: int, hot: np.ndarray, level: np.ndarra
     return key
 
 
-def prefix(tokens: np.ndarray, order: int, percent: int, hot: np.ndarray, level: np.ndarray) -> np.ndarray:
+def prefix(tokens: np.ndarray, order: int, percent: int, hot: np.ndarray, level: np.ndarray, stretch: float = 1.0) -> np.ndarray:
     n = len(tokens)
-    p = n - (percent * n + 99) // 100 + 1
+    p = int((n - (percent * n + 99) // 100 + 1) * stretch)
     if p >= n:
         return tokens
     return tokens[np.argpartition(order_keys(tokens, order, hot, level), p - 1)[:p]]
@@ -100,31 +98,46 @@ def longs(x) -> pa.Array:
 
 
 def profile(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (id, s1, s2, n) for documents and, with a null n, (count, token) of tokens frequent in a chunk."""
+    """(id, s1, s2, n): the name and size of every document's set."""
+
+    def run(batches):
+        for b in batches:
+            for lo, hi in slices(b.column(1)):
+                own = list(row_sets(b.column(1).slice(lo, hi - lo), width))
+                names = [name_of(s) for s in own]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), longs([x for x, _ in names]), longs([y for _, y in names]), longs([len(s) for s in own])], names=["id", "s1", "s2", "n"])
+
+    return docs.mapInArrow(run, "id long, s1 long, s2 long, n long")
 
-    def frequent(parts):
-        token, count = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        often = count >= LOCAL
-        return pa.RecordBatch.from_arrays([longs(count[often]), longs(token[often]), pa.nulls(int(often.sum()), pa.int64()), pa.nulls(int(often.sum()), pa.int64())], names=["id", "s1", "s2", "n"])
+
+def frequent_tokens(docs: DataFrame, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, sorted; their levels): at most HOT most frequent tokens among the first of every set, longest first.
+
+    Counted are prefixes of one and a half times the needed length, as frequent
+    tokens give their places to later ones. Any order of tokens gives the same
+    links, so what is not counted costs time only.
+    """
 
     def run(batches):
-        parts, held = [], 0
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        seen = set()
         for b in batches:
             for lo, hi in slices(b.column(1)):
-                names, sizes = [], []
+                parts = []
                 for s in row_sets(b.column(1).slice(lo, hi - lo), width):
-                    names.append(name_of(s))
-                    sizes.append(len(s))
-                    parts.append(s)
-                    held += len(s)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), longs([x for x, _ in names]), longs([y for _, y in names]), longs(sizes)], names=["id", "s1", "s2", "n"])
-                if held >= CHUNK_TOKENS:
-                    yield frequent(parts)
-                    parts, held = [], 0
-        if parts:
-            yield frequent(parts)
+                    if len(s) and (name := name_of(s)) not in seen:
+                        seen.add(name)
+                        parts.append(prefix(s, 0, percent, *none, stretch=1.5))
+                if parts:
+                    token, count = np.unique(np.concatenate(parts), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([longs(token), longs(count)], names=["token", "n"])
 
-    return docs.mapInArrow(run, "id long, s1 long, s2 long, n long")
+    counts = docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("df")).where("df > 2")
+    counts = materialize(counts)
+    found = counts.where(F.col("df") >= F.lit(count_cut(counts, "df", HOT))).toArrow()
+    token, df = found.column("token").to_numpy().view(np.uint64), found.column("df").to_numpy()
+    order = np.argsort(token)
+    return token[order], np.minimum(63, 1 + np.log2(df[order].astype(float))).astype(np.uint64)
 
 
 def bucket_rows(docs: DataFrame, width: int, percent: int, shared) -> DataFrame:
@@ -309,15 +322,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id",
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    profiled = materialize(profile(slim, width))
-    rows = profiled.where("n is not null")
+    rows = materialize(profile(slim, width))
     live = rows.where("n > 0 and id is not null")
-    total = rows.count()
-    frequent = profiled.where("n is null").groupBy("s1").agg(F.sum("id").alias("df")).where(F.col("df") >= max(2 * LOCAL, total // SHARE))
-    found = sorted((r.s1 % (1 << 64), r.df) for r in frequent.collect())
-    hot = np.array([t for t, _ in found], np.uint64)
-    level = np.minimum(63, 1 + np.log2(np.array([max(1, d) for _, d in found], float)).astype(np.uint64)) if found else np.zeros(0, np.uint64)
-    shared = spark.sparkContext.broadcast((hot, level))
+    shared = spark.sparkContext.broadcast(frequent_tokens(slim.where("id is not null"), width, percent))
     buckets = bucket_rows(slim.where("id is not null"), width, percent, shared)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     members = buckets.repartition(parts, "token").sortWithinPartitions("token", "n", "s1", "s2").mapInArrow(memberships(percent), "c1 long, c2 long, m1 long, m2 long, n long").distinct()
