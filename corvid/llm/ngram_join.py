@@ -329,7 +329,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id",
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     members = buckets.repartition(parts, "token").sortWithinPartitions("token", "n", "s1", "s2").mapInArrow(memberships(percent), "c1 long, c2 long, m1 long, m2 long, n long").distinct()
     groups = materialize(candidate_groups(members))
-    classes = live.groupBy("s1", "s2").agg(F.min("id").alias("rep"))
+    classes = materialize(live.groupBy("s1", "s2").agg(F.min("id").alias("rep")))
     needed = materialize(groups.select(F.col("m1").alias("s1"), F.col("m2").alias("s2")).distinct().join(classes, ["s1", "s2"]))
     # A bit map of bounded size; at worst it spares nothing.
     bits = np.zeros(MAP, bool)
