@@ -125,7 +125,7 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", id: str = "doc_
         )
     )
     groups = slim.groupBy("key").agg(F.sum("size").alias("bytes"))
-    dealt = materialize(slim.join(shard_groups(groups, shards), "key").select("doc_id", "size", "text_crc32", "shard", "nth"))
+    dealt = materialize(slim.join(materialize(shard_groups(groups, shards)), "key").select("doc_id", "size", "text_crc32", "shard", "nth"))
     return with_slots(dealt, "shard", "doc_id").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
