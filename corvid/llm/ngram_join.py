@@ -36,6 +36,7 @@ HOT = 1 << 19
 BLOCK_TOKENS = 1 << 20
 #: Buckets of the bit map that spares documents which are in no group.
 MAP = 1 << 22
+NEAR = 1 << 20
 SEEDS = tuple(np.uint64(s) for s in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0))
 
 
@@ -361,8 +362,13 @@ def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id",
 def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = 3, percent: int = 90) -> DataFrame:
     """`docs` without the documents whose component has a smaller id. Rows of one id stay or go together."""
     found = jaccard_components(docs, text, id, width, percent)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("corvid_gone")).distinct()
-    return docs.join(gone, F.col(id) == F.col("corvid_gone"), "left_anti")
+    gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("corvid_gone")).distinct())
+    # Rows whose hash no dropped id has stay without a shuffle; the hashes are NEAR at most.
+    at = F.pmod(F.xxhash64(F.col(id).cast("long")), F.lit(NEAR)).cast("int")
+    near = gone.select(F.pmod(F.xxhash64("corvid_gone"), F.lit(NEAR)).cast("int").alias("corvid_at")).distinct()
+    flagged = lambda how: docs.withColumn("corvid_of", at).join(F.broadcast(near), F.col("corvid_of") == F.col("corvid_at"), how).drop("corvid_of", "corvid_at")
+    kept = flagged("left_semi").join(gone, F.col(id) == F.col("corvid_gone"), "left_anti")
+    return flagged("left_anti").unionByName(kept)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
