@@ -32,14 +32,18 @@ FAR = np.int64(1 << 40)
 
 
 def normalize(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, offsets, place of each byte in `data`): ASCII lower case, runs of blanks as one, none in front."""
+    """(bytes, offsets, place of each byte in `data`): lower case of ASCII and Latin-1 letters, runs of blanks as one, none in front."""
     blank = IS_SPACE[data]
     keep = ~blank
     keep[1:] |= ~blank[:-1]
     first = offsets[:-1][np.diff(offsets) > 0]
     keep[first] = ~blank[first]
     place = np.flatnonzero(keep)
-    return np.where(blank[place], np.uint8(32), LOWER[data[place]]), np.searchsorted(place, offsets), place
+    low = np.where(blank[place], np.uint8(32), LOWER[data[place]])
+    # The capitals U+00C0 to U+00DE but for U+00D7 lie 32 below their small letters in the second byte.
+    capital = (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97) & (low[:-1] == 0xC3)
+    low[1:][capital] += np.uint8(32)
+    return low, np.searchsorted(place, offsets), place
 
 
 def codes(b: np.ndarray) -> np.ndarray:

@@ -28,8 +28,8 @@ def topics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, topic) of every text.
 
     Words of five bytes or more fall into TOPICS classes by hash; a document's
-    topic is its most frequent class, the lowest on ties, and -1 without such
-    words.
+    topic is its most frequent class, the lowest on ties, -1 without such words
+    and -2 without any word.
     """
     tokens, topic = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for lo, hi in slices(column):
@@ -38,7 +38,7 @@ def topics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         long = length >= 5
         counts = np.bincount(row[long] * TOPICS + (hashed[long] % np.uint64(TOPICS)).astype(np.int64), minlength=(hi - lo) * TOPICS).reshape(-1, TOPICS)
         tokens.append(n)
-        topic.append(np.where(counts.sum(1) > 0, counts.argmax(1), -1).astype(np.int32))
+        topic.append(np.where(counts.sum(1) > 0, counts.argmax(1), np.where(n > 0, -1, -2)).astype(np.int32))
     return np.concatenate(tokens), np.concatenate(topic)
 
 
