@@ -68,7 +68,7 @@ def file_name(x: Column) -> Column:
 
 def clean_items(items: Column, most: int) -> Column:
     """Trimmed, blank ones dropped, first occurrences kept in order, at most `most`."""
-    kept = F.filter(F.transform(items, F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
     return F.slice(F.array_distinct(kept), 1, most)
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from corvid.functions.text import barrier, hash60, shingles, tokens
 
@@ -76,16 +77,19 @@ def slot_agreement(a: str, b: str) -> F.Column:
     return same / F.least(F.size(a), F.size(b))
 
 
-@F.pandas_udf("struct<minhash: array<bigint>, simhash: bigint>")
+# Types as objects: a string would need a running session at import.
+@F.pandas_udf(StructType([StructField("minhash", ArrayType(LongType())), StructField("simhash", LongType())]))
 def blake_signatures(sets: pd.Series) -> pd.DataFrame:
     """64 MinHash slots and a 64-bit SimHash over 8-byte blake2b hashes (little-endian), as signed bit patterns; no shingles: zeros."""
-    seeds = np.arange(64, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    digest = lambda x: hashlib.blake2b(x.encode(), digest_size=8).digest()
+    # The slots' seeds are the hashes of these names.
+    seeds = np.frombuffer(b"".join(digest(f"seed_{k}") for k in range(64)), dtype="<u8")[:, None]
     out = []
     for s in sets:
         if s is None or not len(s):
             out.append(([0] * 64, 0))
             continue
-        h = np.frombuffer(b"".join(hashlib.blake2b(x.encode(), digest_size=8).digest() for x in s), dtype="<u8")
+        h = np.frombuffer(b"".join(digest(x) for x in s), dtype="<u8")
         slots = ((h[None, :] ^ seeds) * np.uint64(PHI)).min(axis=1)
         votes = ((h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int64).sum(axis=0) * 2 - len(h)
         sim = sum(1 << k for k in range(64) if votes[k] > 0)
@@ -93,7 +97,7 @@ def blake_signatures(sets: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"minhash": [x for x, _ in out], "simhash": [y for _, y in out]})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def edit_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two token arrays, without junk heuristics."""
     return pd.Series([difflib.SequenceMatcher(None, list(x), list(y), autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
