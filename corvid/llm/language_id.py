@@ -136,7 +136,7 @@ def phrases(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def predict(model: dict, column: pa.Array) -> tuple[list, np.ndarray]:
     """(language, score) of every text of a column."""
     langs, scores = [], []
-    for lo, hi in slices(column, 2 << 20):
+    for lo, hi in slices(column, 1 << 20):
         data, offsets = flat(part := column.slice(lo, hi - lo))
         has = np.zeros(hi - lo, bool)
         full = np.diff(offsets) > 0

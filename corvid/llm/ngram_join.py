@@ -31,7 +31,7 @@ from corvid.llm.toplist import count_cut
 from corvid.sources.tables import materialize
 
 #: Tokens that are ordered last for their frequency, at most.
-HOT = 1 << 19
+HOT = 1 << 21
 #: Tokens in one block of a group.
 BLOCK_TOKENS = 1 << 20
 #: Buckets of the bit map that spares documents which are in no group.
@@ -82,7 +82,7 @@ def order_keys(tokens: np.ndarray, order: int, hot: np.ndarray, level: np.ndarra
         key |= (np.uint64(63) - (tokens & np.uint64(63))) << np.uint64(52)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
-        key |= np.where(hot[at] == tokens, level[at], np.uint64(0)) << np.uint64(58)
+        key |= np.where(hot[at] == tokens, level[at], np.uint8(0)).astype(np.uint64) << np.uint64(58)
     return key
 
 
@@ -138,7 +138,7 @@ def frequent_tokens(docs: DataFrame, width: int, percent: int) -> tuple[np.ndarr
     found = counts.where(F.col("df") >= F.lit(count_cut(counts, "df", HOT))).toArrow()
     token, df = found.column("token").to_numpy().view(np.uint64), found.column("df").to_numpy()
     order = np.argsort(token)
-    return token[order], np.minimum(63, 1 + np.log2(df[order].astype(float))).astype(np.uint64)
+    return token[order], np.minimum(63, 1 + np.log2(df[order].astype(float))).astype(np.uint8)
 
 
 def bucket_rows(docs: DataFrame, width: int, percent: int, shared) -> DataFrame:
@@ -331,10 +331,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id",
     members = buckets.repartition(parts, "token").sortWithinPartitions("token", "n", "s1", "s2").mapInArrow(memberships(percent), "c1 long, c2 long, m1 long, m2 long, n long").distinct()
     groups = materialize(candidate_groups(members))
     classes = materialize(live.groupBy("s1", "s2").agg(F.min("id").alias("rep")))
-    needed = materialize(groups.select(F.col("m1").alias("s1"), F.col("m2").alias("s2")).distinct().join(classes, ["s1", "s2"]))
+    members = materialize(groups.select("g", "block", F.col("m1").alias("s1"), F.col("m2").alias("s2")).join(classes, ["s1", "s2"]))
     # A bit map of bounded size; at worst it spares nothing.
     bits = np.zeros(MAP, bool)
-    bits[[r[0] for r in needed.select(F.pmod(F.xxhash64("rep"), F.lit(MAP)).cast("int")).distinct().collect()]] = True
+    bits[[r[0] for r in members.select(F.pmod(F.xxhash64("rep"), F.lit(MAP)).cast("int")).distinct().collect()]] = True
     mapped = spark.sparkContext.broadcast(np.packbits(bits))
 
     def sets(batches):
@@ -350,8 +350,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([picked.column(0).slice(lo, hi - lo), longs([x for x, _ in names]), longs([y for _, y in names]), pa.array([s.tobytes() for s in own], pa.binary())], names=["rep", "s1", "s2", "tokens"])
 
     hashed = slim.where("id is not null").withColumn("at", F.pmod(F.xxhash64("id"), F.lit(MAP)).cast("int"))
-    own = hashed.mapInArrow(sets, "rep long, s1 long, s2 long, tokens binary").join(needed, ["rep", "s1", "s2"])
-    dealt = groups.join(own, (groups["m1"] == own["s1"]) & (groups["m2"] == own["s2"])).select("g", "block", "rep", "tokens")
+    own = hashed.mapInArrow(sets, "rep long, s1 long, s2 long, tokens binary")
+    dealt = members.join(own, ["rep", "s1", "s2"]).select("g", "block", "rep", "tokens")
     links = dealt.repartition(parts, "g").sortWithinPartitions("g", "rep").mapInArrow(linked(percent, shared), "u long, v long")
     roots = components(links)
     named = rows.join(classes, ["s1", "s2"], "left").join(roots, F.col("rep") == F.col("node"), "left")

@@ -27,7 +27,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return every[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, most: int = 1 << 20):
+def slices(column: pa.Array, most: int = 1 << 19):
     """Row ranges (lo, hi) of about `most` bytes of text each; a longer row stands alone."""
     if len(column) == 0:
         return
