@@ -33,7 +33,7 @@ from corvid.sources.tables import materialize
 #: Tokens that are ordered last for their frequency, at most.
 HOT = 1 << 21
 #: Tokens in one block of a group.
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 #: Buckets of the bit map that spares documents which are in no group.
 MAP = 1 << 22
 NEAR = 1 << 20
@@ -233,10 +233,13 @@ def group_links(ids: np.ndarray, block: np.ndarray, sets: list[np.ndarray], perc
 
     def postings(parts: list[np.ndarray]):
         token = np.concatenate(parts)
-        owner = np.repeat(np.arange(m), [len(p) for p in parts])
-        _, dense = np.unique(token, return_inverse=True)
-        order = np.argsort(dense, kind="stable")
-        ptr = np.concatenate([[0], np.cumsum(np.bincount(dense))])
+        owner = np.repeat(np.arange(m, dtype=np.int32), [len(p) for p in parts])
+        order = np.argsort(token, kind="stable")
+        ranked = token[order]
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
+        dense = np.empty(len(token), np.int32)
+        dense[order] = np.cumsum(new) - 1
+        ptr = np.append(np.flatnonzero(new), len(token))
         return dense, np.concatenate([[0], np.cumsum([len(p) for p in parts])]), ptr, owner[order]
 
     def shared(index, k):
@@ -285,11 +288,11 @@ def linked(percent: int, shared):
         group, rows = None, []
         for b in batches:
             links = []
-            for g, block, id, s in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for g, block, id, s in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
                 if g != group:
                     links += flush(rows)
                     group, rows = g, []
-                rows.append((block, id, s))
+                rows.append((block, id, s.as_py()))
             if links:
                 yield pa.RecordBatch.from_arrays([longs([u for u, _ in links]), longs([v for _, v in links])], names=["u", "v"])
         if links := flush(rows):
