@@ -14,8 +14,9 @@ or a large group of copies brings no candidates by itself:
 Identical sets are one node from the start. A bucket never lists its pairs:
 its documents join the group of the bucket's first document in a window of
 sizes, each document once per group, and a group yields only the links that
-its components need. Groups of very many tokens are split into blocks, and
-every two blocks meet.
+its components need. Groups of very many tokens are split into pieces with a
+copy of the first document in each; only what a piece does not join to it, its
+strays, then meets the other pieces.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from corvid.sources.tables import materialize
 
 #: Tokens that are ordered last for their frequency, at most.
 HOT = 1 << 21
-#: Tokens in one block of a group.
+#: Tokens in one piece of a group.
 BLOCK_TOKENS = 1 << 19
 #: Buckets of the bit map that spares documents which are in no group.
 MAP = 1 << 22
@@ -272,69 +273,92 @@ def group_links(ids: np.ndarray, block: np.ndarray, sets: list[np.ndarray], perc
     return links
 
 
+def reached(center: int, links: list[tuple[int, int]]) -> set[int]:
+    """The ids that links join to `center`, itself included."""
+    near = {}
+    for u, v in links:
+        near.setdefault(u, []).append(v)
+        near.setdefault(v, []).append(u)
+    found, todo = {center}, [center]
+    while todo:
+        for v in near.get(todo.pop(), []):
+            if v not in found:
+                found.add(v)
+                todo.append(v)
+    return found
+
+
 def linked(percent: int, shared):
-    """A stream of (g, block, id, set) sorted by g and id to links (u, v)."""
+    """A stream of (g, block, id, set) sorted by g and id to links (null, u, v), and to strays (g, s1, s2).
+
+    A piece of a split group holds the group's center as block -1; its strays
+    are the names of those sets that its links do not join to the center.
+    """
 
-    def flush(rows):
+    def flush(g, rows):
         unique = {}
         for block, id, s in rows:
             unique.setdefault((id, s), block)
-        if len(unique) < 2:
-            return []
         keys = list(unique)
-        return group_links(np.array([k[0] for k in keys]), np.array([unique[k] for k in keys]), [np.frombuffer(k[1], np.uint64) for k in keys], percent, *shared.value)
+        block = np.array([unique[k] for k in keys], int)
+        split = len(block) and block.min() < 0
+        sets = [np.frombuffer(k[1], np.uint64) for k in keys]
+        links = group_links(np.array([k[0] for k in keys]), np.zeros(len(keys), int) if split else block, sets, percent, *shared.value) if len(keys) > 1 else []
+        out = [(None, u, v) for u, v in links]
+        if split:
+            met = reached(keys[int(block.argmin())][0], links)
+            out += [(g, *name_of(s)) for k, s in zip(keys, sets, strict=True) if k[0] not in met]
+        return out
+
+    def rows_of(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), longs([x[1] for x in out]), longs([x[2] for x in out])], names=["g", "u", "v"])
 
     def run(batches):
         group, rows = None, []
         for b in batches:
-            links = []
+            out = []
             for g, block, id, s in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
                 if g != group:
-                    links += flush(rows)
+                    out += flush(group, rows)
                     group, rows = g, []
                 rows.append((block, id, s.as_py()))
-            if links:
-                yield pa.RecordBatch.from_arrays([longs([u for u, _ in links]), longs([v for _, v in links])], names=["u", "v"])
-        if links := flush(rows):
-            yield pa.RecordBatch.from_arrays([longs([u for u, _ in links]), longs([v for _, v in links])], names=["u", "v"])
+            if out:
+                yield rows_of(out)
+        if out := flush(group, rows):
+            yield rows_of(out)
 
     return run
 
 
 def candidate_groups(members: DataFrame) -> DataFrame:
-    """(g, block, m1, m2): groups of at most about two BLOCK_TOKENS each. A larger group becomes pairs of blocks, and every two of its sets meet in one of them."""
+    """(g, block, c1, c2, b, k, s1, s2, n): the members of each piece g. A group of more than BLOCK_TOKENS is split into b pieces, each with a copy of the center as block -1."""
     members = materialize(members)
     blocks = members.groupBy("c1", "c2").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).cast("int").alias("b"))
-    rows = members.join(blocks, ["c1", "c2"]).withColumn("k", F.pmod(F.xxhash64("m1", "m2"), F.col("b").cast("long")).cast("int"))
-    one = rows.where("b = 1").select(F.xxhash64("c1", "c2").alias("g1"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "c1", "c2", "m1", "m2")
-    many = rows.where("b > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
-    # In the pair (k, k) a block meets itself: both sides count as one block.
-    many = many.select(F.xxhash64("c1", "c2").alias("g1"), F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "c1", "c2", "m1", "m2").select("g1", "i", "j", F.col("k").alias("block"), "c1", "c2", "m1", "m2")
-    return one.unionByName(many).select(F.concat_ws(":", "c1", "c2", "i", "j").alias("g"), "block", "m1", "m2")
+    rows = members.join(blocks, ["c1", "c2"]).withColumn("center", F.expr("b > 1 and m1 = c1 and m2 = c2"))
+    home = F.pmod(F.xxhash64("m1", "m2"), F.col("b").cast("long")).cast("int")
+    rows = rows.withColumn("k", F.explode(F.when(F.col("center"), F.sequence(F.lit(0), F.col("b") - 1)).otherwise(F.array(home))))
+    return rows.select(F.concat_ws(":", "c1", "c2", "k").alias("g"), F.when(F.col("center"), -1).otherwise(0).alias("block"), "c1", "c2", "b", "k", F.col("m1").alias("s1"), F.col("m2").alias("s2"), "n")
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of `docs`.
+def stray_groups(members: DataFrame, strays: DataFrame) -> DataFrame:
+    """(g, block, s1, s2, rep): pieces in which every stray of a split group meets all members of the group's other pieces.
 
-    Documents link when 100 * |A and B| >= percent * |A or B| over their sets
-    of `width`-word shingles (A-Z lowered, words between ASCII blanks); a
-    component's id is its smallest doc_id. Null or blank texts have no
-    shingles and are linked with nothing. Rows of a null id are linked with
-    nothing and have a null component_id. Repeated rows each get their row.
-    An empty table gives an empty table. Other columns are not read, whatever
-    their names. Shingles are compared by 58-bit hashes and sets named by 128.
+    Members that are joined to their group's center are in one component
+    already, so they do not meet each other again.
     """
-    spark = docs.sparkSession
-    slim = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = materialize(profile(slim, width))
-    live = rows.where("n > 0 and id is not null")
-    shared = spark.sparkContext.broadcast(frequent_tokens(slim.where("id is not null"), width, percent))
-    buckets = bucket_rows(slim.where("id is not null"), width, percent, shared)
+    home = members.where("b > 1 and block = 0").join(strays.withColumn("stray", F.lit(True)), ["g", "s1", "s2"], "left").drop("g", "block")
+    blocks = home.where("stray").groupBy("c1", "c2").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).cast("int").alias("of"))
+    home = materialize(home.join(blocks, ["c1", "c2"]))
+    stay = home.select("*", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("i"), F.col("k").alias("j"), F.lit(1).alias("block"))
+    move = home.where("stray").withColumn("i", F.pmod(F.xxhash64("s2", "s1"), F.col("of").cast("long")).cast("int"))
+    move = move.select("*", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("j"), F.lit(0).alias("block")).where("j <> k")
+    return stay.unionByName(move).select(F.concat_ws(":", "c1", "c2", "i", "j").alias("g"), "block", "s1", "s2", "rep")
+
+
+def piece_links(slim: DataFrame, members: DataFrame, width: int, percent: int, shared) -> DataFrame:
+    """(g, u, v), as `linked` yields them, of pieces `members` (g, block, rep, s1, s2); the sets come from the texts of `slim` (id, text)."""
+    spark = slim.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    members = buckets.repartition(parts, "token").sortWithinPartitions("token", "n", "s1", "s2").mapInArrow(memberships(percent), "c1 long, c2 long, m1 long, m2 long, n long").distinct()
-    groups = materialize(candidate_groups(members))
-    classes = materialize(live.groupBy("s1", "s2").agg(F.min("id").alias("rep")))
-    members = materialize(groups.select("g", "block", F.col("m1").alias("s1"), F.col("m2").alias("s2")).join(classes, ["s1", "s2"]))
     # A bit map of bounded size; at worst it spares nothing.
     bits = np.zeros(MAP, bool)
     bits[[r[0] for r in members.select(F.pmod(F.xxhash64("rep"), F.lit(MAP)).cast("int")).distinct().collect()]] = True
@@ -354,8 +378,38 @@ def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id",
 
     hashed = slim.where("id is not null").withColumn("at", F.pmod(F.xxhash64("id"), F.lit(MAP)).cast("int"))
     own = hashed.mapInArrow(sets, "rep long, s1 long, s2 long, tokens binary")
-    dealt = members.join(own, ["rep", "s1", "s2"]).select("g", "block", "rep", "tokens")
-    links = dealt.repartition(parts, "g").sortWithinPartitions("g", "rep").mapInArrow(linked(percent, shared), "u long, v long")
+    dealt = members.select("g", "block", "rep", "s1", "s2").join(own, ["rep", "s1", "s2"]).select("g", "block", "rep", "tokens")
+    return materialize(dealt.repartition(parts, "g").sortWithinPartitions("g", "rep").mapInArrow(linked(percent, shared), "g string, u long, v long"))
+
+
+def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of `docs`.
+
+    Documents link when 100 * |A and B| >= percent * |A or B| over their sets
+    of `width`-word shingles (A-Z lowered, words between ASCII blanks); a
+    component's id is its smallest doc_id. Null or blank texts have no
+    shingles and are linked with nothing. Rows of a null id are linked with
+    nothing and have a null component_id. Repeated rows each get their row.
+    An empty table gives an empty table. Other columns are not read, whatever
+    their names. Shingles are compared by 58-bit hashes and sets named by 128.
+    """
+    spark = docs.sparkSession
+    slim = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = materialize(profile(slim, width))
+    live = rows.where("n > 0 and id is not null")
+    shared = spark.sparkContext.broadcast(frequent_tokens(slim.where("id is not null"), width, percent))
+    buckets = bucket_rows(slim.where("id is not null"), width, percent, shared)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    members = buckets.repartition(parts, "token").sortWithinPartitions("token", "n", "s1", "s2").mapInArrow(memberships(percent), "c1 long, c2 long, m1 long, m2 long, n long").distinct()
+    groups = materialize(candidate_groups(members))
+    classes = materialize(live.groupBy("s1", "s2").agg(F.min("id").alias("rep")))
+    members = materialize(groups.join(classes, ["s1", "s2"]))
+    met = piece_links(slim, members, width, percent, shared)
+    links = met.where("g is null").select("u", "v")
+    strays = met.where("g is not null").select("g", F.col("u").alias("s1"), F.col("v").alias("s2")).distinct()
+    if not strays.isEmpty():
+        across = piece_links(slim, materialize(stray_groups(members, strays)), width, percent, shared)
+        links = links.unionByName(across.select("u", "v"))
     roots = components(links)
     named = rows.join(classes, ["s1", "s2"], "left").join(roots, F.col("rep") == F.col("node"), "left")
     alone = (F.col("n") == 0) | F.col("id").isNull()

@@ -103,6 +103,15 @@ def test_jaccard_blocks(spark, docs, monkeypatch):
     assert {tuple(r) for r in got.collect()} == brute_components(rows, 3, 94)
 
 
+def test_jaccard_strays(spark, monkeypatch):
+    """Windows that slide along one text link to their neighbours only, most of them in other pieces than the center's links reach."""
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 300)
+    rows = [(k, " ".join(f"w{j}" for j in range(k, k + 100))) for k in range(60)]
+    rows += [(100 + k, " ".join(f"w{j}" for j in range(k, k + 100) if j % 50)) for k in range(60)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), percent=92)
+    assert {tuple(r) for r in got.collect()} == brute_components(rows, 3, 92)
+
+
 def test_jaccard_odd_rows(odd, none):
     got = ngram_join.jaccard_components(odd).collect()
     assert len(got) == len(ODD)
