@@ -169,20 +169,23 @@ def memberships(percent: int):
     """A sorted stream of bucket rows to (c1, c2, m1, m2, n): each set with the center of its size windows, centers included once they have a member."""
 
     def run(batches):
-        held, token, centers, last = None, None, [], None
+        held, before, token, centers, last = None, None, None, [], None
         for b in batches:
             t = pa.Table.from_batches([b]).combine_chunks()
             if held is not None:
                 t = pa.concat_tables([held, t])
             rows = np.stack([t.column(k).to_numpy() for k in range(4)], axis=1)
-            # Only tokens of two rows or more can bring anything; the last row waits for its successor.
+            # Only tokens of two rows or more can bring anything; the last row waits for its successor, `before` is the token of the row before it.
             same = rows[1:, 0] == rows[:-1, 0]
             keep = np.concatenate([same, [False]])
             keep[1:] |= same
+            if before is not None and len(rows):
+                keep[0] |= rows[0, 0] == before
             out = []
             for tok, n, s1, s2 in rows[:-1][keep[:-1]].tolist():
                 token, centers, last = step(out, tok, n, s1, s2, token, centers, last, percent)
             held = t.slice(t.num_rows - 1) if t.num_rows else None
+            before = rows[-2, 0] if len(rows) > 1 else before
             if out:
                 yield packed(out)
         if held is not None and held.num_rows:

@@ -122,6 +122,25 @@ def test_jaccard_odd_rows(odd, none):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 3, 4, 5, 6, 7, 8]
 
 
+def test_memberships_do_not_depend_on_batches():
+    rows = sorted((tok, 100 + (7 * k) % 15, k, -k) for tok, size in enumerate((1, 2, 2, 1, 3, 5, 2)) for k in range(10 * tok, 10 * tok + size))
+
+    def members(cuts):
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], pa.int64()) for k in range(4)], names=["token", "n", "s1", "s2"]) for part in parts]
+        return [tuple(r.values()) for b in ngram_join.memberships(90)(iter(batches)) for r in b.to_pylist()]
+
+    whole = []
+    token, centers, last = None, [], None
+    for r in rows:
+        token, centers, last = ngram_join.step(whole, *r, token, centers, last, 90)
+    assert {m[2] for m in whole} == {r[2] for r in rows if sum(x[0] == r[0] for x in rows) > 1}
+    for a in range(len(rows) + 1):
+        for b in range(a, len(rows) + 1):
+            assert members([a, b]) == whole
+    assert members(range(1, len(rows))) == whole
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(50)] + [(100, 200), (200, 300), (7, 7)]
     got = {tuple(r) for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
