@@ -6,8 +6,10 @@ within its class a word has its share of the corpus. A document's score is the
 sum of the log-probabilities of all its words, each given both sides.
 
 Word counts cover the whole corpus. The network is trained in numpy on the
-executors: every partition takes steps on every RATE-th position of all its
-texts, and the partitions' weights are averaged by the positions they saw.
+executors: each of ROUNDS rounds takes every ROUNDS-th position of all texts,
+another one each time, so that every position is a target once. A partition
+takes steps on its own texts, and the partitions' weights are averaged by the
+positions they saw.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ CLASSES = OWN + SUFFIXES
 #: Words with an exact share of their class; the rest of a class shares its remaining mass evenly.
 VOCABULARY = 1 << 15
 SIDE, EMBED, HIDDEN = 2, 8, 16
-RATE, ROUNDS, BATCH = 16, 2, 512
+ROUNDS, BATCH = 2, 512
 PAD = CLASSES
 SHAPES = {"e": (CLASSES + 1, EMBED), "w": (2 * SIDE * EMBED, HIDDEN), "b": (HIDDEN,), "v": (HIDDEN, CLASSES), "c": (CLASSES,)}
 
@@ -157,18 +159,24 @@ def descend(p: dict, past: dict, around: np.ndarray, cls: np.ndarray, rate: floa
     x = p["e"][around].reshape(len(cls), -1)
     h = np.tanh(x @ p["w"] + p["b"])
     z = h @ p["v"] + p["c"]
-    d = np.exp(z - z.max(axis=1, keepdims=True))
+    z -= z.max(axis=1, keepdims=True)
+    d = np.exp(z, out=z)
     d /= d.sum(axis=1, keepdims=True)
     d[np.arange(len(cls)), cls] -= 1
     d /= len(cls)
     dh = (d @ p["v"].T) * (1 - h * h)
-    de = np.zeros_like(p["e"])
-    np.add.at(de, around.ravel(), (dh @ p["w"].T).reshape(-1, EMBED))
+    dx = (dh @ p["w"].T).reshape(-1, EMBED)
+    de = np.stack([np.bincount(around.ravel(), dx[:, k], minlength=CLASSES + 1) for k in range(EMBED)], axis=1).astype(np.float32)
     for k, g in (("e", de), ("w", x.T @ dh), ("b", dh.sum(axis=0)), ("v", h.T @ d), ("c", d.sum(axis=0))):
         past[k] += g * g
         p[k] = p[k] - np.float32(rate) * g / (np.sqrt(past[k]) + np.float32(1e-6))
 
 
+def targets(n: np.ndarray, turn: int) -> np.ndarray:
+    """Which words are targets of a round: those of every ROUNDS-th place in their text."""
+    return (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) % ROUNDS == turn
+
+
 def train(docs: DataFrame, lex: dict, text: str) -> np.ndarray:
     """Averaged weights after ROUNDS rounds over all partitions."""
     spark = docs.sparkSession
@@ -192,8 +200,7 @@ def train(docs: DataFrame, lex: dict, text: str) -> np.ndarray:
                 for lo, hi in slices(b.column(0)):
                     hashed, suffix, n = tokens(b.column(0).slice(lo, hi - lo))
                     cls, _ = classed(lex, hashed, suffix)
-                    at = np.arange(len(cls)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(n, n)
-                    mine = at % RATE == (turn * RATE) // ROUNDS
+                    mine = targets(n, turn)
                     held.append((contexts(cls, n)[mine], cls[mine]))
                     many += int(mine.sum())
                     seen += int(mine.sum())

@@ -415,6 +415,19 @@ def test_lm_scores(spark, docs, odd, none):
     assert lm_score.score(none, lm_score.fit(none)).count() == 0
 
 
+def test_lm_training_takes_every_position(spark, docs, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    plain = lm_score.descend
+
+    def counted(p, past, around, cls, rate):
+        seen.add(len(cls))
+        plain(p, past, around, cls, rate)
+
+    monkeypatch.setattr(lm_score, "descend", counted)
+    lm_score.train(docs, lm_score.lexicon(docs, "text"), "text")
+    assert seen.value == sum(len(r.text.split()) for r in docs.collect())
+
+
 def test_shares_sum_to_one_in_each_class(docs):
     lex = lm_score.lexicon(docs, "text")
     counts = {(r.word, r.cls): r.n for r in lm_score.word_counts(docs, "text").collect()}
