@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from corvid.llm.frames import extended
 from corvid.llm.textbytes import LOWER, flat, mix, slices, words
@@ -28,7 +28,7 @@ from corvid.sources.tables import materialize
 #: Frequent words that are a class of their own; the others fall into SUFFIXES classes by their last three bytes.
 OWN, SUFFIXES = 64, 64
 CLASSES = OWN + SUFFIXES
-#: Words with an exact share of their class; the rest of a class shares its remaining mass evenly.
+#: Words whose shares go to every executor; the counts of the others are joined to the words that texts hold.
 VOCABULARY = 1 << 15
 SIDE, EMBED, HIDDEN = 2, 8, 16
 ROUNDS, BATCH = 2, 512
@@ -97,31 +97,41 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def lexicon(docs: DataFrame, text: str) -> dict:
-    """Classes and in-class log shares: at most VOCABULARY most frequent words (all above a count, the smaller hash first on ties), and each class's rest."""
+    """The part of the lexicon that goes to every executor."""
+    return lexicon_and_others(docs, text)[0]
+
+
+def lexicon_and_others(docs: DataFrame, text: str) -> tuple[dict, DataFrame | None]:
+    """Classes and in-class log shares of at most VOCABULARY most frequent words (all above a count, the smaller hash first on ties), each class's share of a word seen once, and (word, n) of the other words seen more often, if there are any."""
     counts = materialize(word_counts(docs, text))
-    top = sorted(counts.where(F.col("n") >= F.lit(count_cut(counts, "n", VOCABULARY))).collect(), key=lambda r: (-r.n, r.word))
+    cut = count_cut(counts, "n", VOCABULARY)
+    top = sorted(counts.where(F.col("n") >= F.lit(cut)).collect(), key=lambda r: (-r.n, r.word))
     # CLASSES rows at most.
-    sums = {r.cls: (r.total, r.kinds) for r in counts.groupBy("cls").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).collect()}
-    total, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for cls, (n, k) in sums.items():
-        total[cls], kinds[cls] = n, k
+    total = np.zeros(CLASSES)
+    for r in counts.groupBy("cls").agg(F.sum("n").alias("total")).collect():
+        total[r.cls] = r.total
     word = np.array([r.word for r in top], np.int64).view(np.uint64)
     count = np.array([r.n for r in top], float)
     cls = np.array([r.cls for r in top], np.int64)
     np.subtract.at(total, cls[:OWN], count[:OWN])
-    np.subtract.at(kinds, cls[:OWN], 1)
     cls[:OWN] = np.arange(min(OWN, len(cls)))
-    total[: min(OWN, len(cls))], kinds[: min(OWN, len(cls))] = count[:OWN], 1
-    listed, names = np.bincount(cls, count, minlength=CLASSES), np.bincount(cls, minlength=CLASSES)
+    total[: min(OWN, len(cls))] = count[:OWN]
     # One count more per class stands for words that the corpus lacks.
     share = np.log(count / (total[cls] + 1)) if len(cls) else count
-    rest = np.log((total - listed + 1) / (total + 1) / np.maximum(1, kinds - names + 1))
     order = np.argsort(word)
-    return {"word": word[order], "cls": cls[order], "share": share[order], "rest": rest}
+    others = counts.where((F.col("n") < F.lit(cut)) & (F.col("n") > 1)).groupBy("word").agg(F.sum("n").alias("n"))
+    return {"word": word[order], "cls": cls[order], "share": share[order], "rest": -np.log(total + 1)}, None if others.isEmpty() else others
+
+
+def listed(lex: dict, hashed: np.ndarray) -> np.ndarray:
+    """Which words `lex` holds."""
+    if not len(lex["word"]):
+        return np.zeros(len(hashed), bool)
+    return lex["word"][np.minimum(np.searchsorted(lex["word"], hashed), len(lex["word"]) - 1)] == hashed
 
 
 def classed(lex: dict, hashed: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(class, log share within the class) of each word."""
+    """(class, log share within the class) of each word; words that `lex` lacks have the share of a word seen once."""
     if not len(lex["word"]):
         return suffix, lex["rest"][suffix]
     at = np.minimum(np.searchsorted(lex["word"], hashed), len(lex["word"]) - 1)
@@ -223,39 +233,62 @@ def train(docs: DataFrame, lex: dict, text: str) -> np.ndarray:
 
 def fit(docs: DataFrame, text: str = "text") -> dict:
     """Lexicon and network weights of a corpus. An empty corpus gives a model that knows no word."""
-    lex = lexicon(docs, text)
-    return {"lex": lex, "weights": train(docs, lex, text)}
+    lex, others = lexicon_and_others(docs, text)
+    return {"lex": lex, "weights": train(docs, lex, text), "others": others}
 
 
-def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: dict, text: str = "text", keep_text: bool = True) -> DataFrame:
     """`docs` with lm_tokens, lm_logprob (sum over all words) and lm_mean (per word).
 
     Null, empty or blank texts have no words: 0, 0.0 and a null mean. Rows and
     other columns pass unchanged; an input column of a new name is replaced.
-    An empty table gives an empty table.
+    An empty table gives an empty table. Without `keep_text` the text is left
+    out, which spares its copy where other words' counts have to be joined.
     """
     names = ["lm_tokens", "lm_logprob", "lm_mean"]
     docs = docs.drop(*names)
-    where, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
+    others = model.get("others")
+    open_words = others is not None
+    columns = [c for c in docs.columns if c != text or keep_text]
+    where, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast((model["lex"], model["weights"]))
 
     def run(batches):
-        lex, p = shared.value["lex"], unpack(shared.value["weights"])
+        lex, p = shared.value[0], unpack(shared.value[1])
         for b in batches:
             sizes, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+            rare, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for lo, hi in slices(b.column(where)):
                 hashed, suffix, n = tokens(b.column(where).slice(lo, hi - lo))
                 cls, share = classed(lex, hashed, suffix)
+                row = np.repeat(np.arange(hi - lo), n)
                 value = log_probabilities(p, contexts(cls, n), cls) + share
                 sizes.append(n)
-                sums.append(np.bincount(np.repeat(np.arange(hi - lo), n), value, minlength=hi - lo))
+                sums.append(np.bincount(row, value, minlength=hi - lo))
+                if open_words:
+                    out = ~listed(lex, hashed)
+                    rare.append(hashed[out])
+                    counts.append(np.bincount(row[out], minlength=hi - lo))
             n, total = np.concatenate(sizes), np.concatenate(sums)
-            mean = pa.array(total / np.maximum(1, n), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(total), mean], names=[*b.schema.names, *names])
-
-    return docs.mapInArrow(run, extended(docs, lm_tokens=LongType(), lm_logprob=DoubleType(), lm_mean=DoubleType()))
+            found = [*(b.column(c) for c in columns), pa.array(n), pa.array(total)]
+            if open_words:
+                ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+                found.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rare).view(np.int64))))
+            yield pa.RecordBatch.from_arrays(found, names=[*columns, *names[:2], *(["corvid_words"] if open_words else [])])
+
+    kinds = {"lm_tokens": LongType(), "lm_logprob": DoubleType()}
+    if open_words:
+        kinds["corvid_words"] = ArrayType(LongType())
+    out = docs.mapInArrow(run, extended(docs.select(*columns), **kinds))
+    if open_words:
+        # Rows are numbered once, in what is written, so that the sums find them again.
+        out = materialize(out.withColumn("corvid_row", F.monotonically_increasing_id()))
+        words = out.select("corvid_row", F.explode("corvid_words").alias("word"))
+        more = words.join(others, "word").groupBy("corvid_row").agg(F.sum(F.log("n")).alias("corvid_more"))
+        out = out.drop("corvid_words").join(more, "corvid_row", "left").withColumn("lm_logprob", F.col("lm_logprob") + F.coalesce("corvid_more", F.lit(0.0)))
+    return out.select(*columns, *names[:2], F.when(F.col("lm_tokens") > 0, F.col("lm_logprob") / F.col("lm_tokens")).alias("lm_mean"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-log-likelihood of every document under a model of all of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs, fit(docs)).drop("text")
+    return score(docs, fit(docs), keep_text=False)

@@ -428,6 +428,21 @@ def test_lm_training_takes_every_position(spark, docs, monkeypatch):
     assert seen.value == sum(len(r.text.split()) for r in docs.collect())
 
 
+def test_lm_words_beyond_the_vocabulary_keep_their_counts(spark, docs, odd, monkeypatch):
+    whole = lm_score.fit(docs)
+    monkeypatch.setattr(lm_score, "VOCABULARY", 200)
+    part = lm_score.fit(docs)
+    assert whole["others"] is None and part["others"] is not None and len(part["lex"]["word"]) <= 200
+    # The same classes and weights, so that only the shares' way to the words differs.
+    same = {**part, "weights": whole["weights"]}
+    for table in (docs, odd):
+        want = [tuple(r) for r in lm_score.score(table, whole).select("doc_id", "lm_tokens", "lm_logprob", "lm_mean").collect()]
+        got = [tuple(r) for r in lm_score.score(table, same, keep_text=False).select("doc_id", "lm_tokens", "lm_logprob", "lm_mean").collect()]
+        key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+        for a, b in zip(sorted(want, key=key), sorted(got, key=key), strict=True):
+            assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6 * max(1, abs(a[2])) and (a[3] is None) == (b[3] is None)
+
+
 def test_shares_sum_to_one_in_each_class(docs):
     lex = lm_score.lexicon(docs, "text")
     counts = {(r.word, r.cls): r.n for r in lm_score.word_counts(docs, "text").collect()}
