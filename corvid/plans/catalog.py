@@ -181,11 +181,11 @@ def q16_identifier_overlap(spark, sf_dir):
 
 @query("SELECT n.n_name AS term, count(*) AS docs FROM documents d JOIN (SELECT n_name FROM nation UNION ALL SELECT 'tion' UNION ALL SELECT 'License') n ON contains(lower(d.text), lower(n.n_name)) GROUP BY n.n_name")
 def q17_literal_mention(spark, sf_dir):
-    # A bounded list of terms: one pass over the texts, no join.
-    terms = [r[0] for r in table(spark, sf_dir, "nation").select("n_name").limit(1000).collect()] + ["tion", "License"]
-    low = F.lower("text")
-    found = F.filter(F.array(*(F.when(F.contains(low, F.lit(t.lower())), F.lit(t)) for t in terms)), lambda x: x.isNotNull())
-    return table(spark, sf_dir, "documents").select(F.explode(found).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
+    # One pass over the texts holds each against all terms, however many there are.
+    terms = table(spark, sf_dir, "nation").select(F.col("n_name").alias("term"))
+    terms = terms.unionByName(spark.createDataFrame([("tion",), ("License",)], "term string")).withColumn("t", F.lower("term"))
+    docs = table(spark, sf_dir, "documents").select(F.lower("text").alias("low"))
+    return docs.join(F.broadcast(terms), F.contains("low", "t")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query(r"""WITH h AS (SELECT page_id, unnest(['links', 'heads', 'items']) AS level, unnest([sha256(array_to_string(regexp_extract_all(html, 'href="[^"]*"'), ' ')), sha256(array_to_string(regexp_extract_all(html, '<h[1-6]'), ' ')), sha256(array_to_string(regexp_extract_all(html, '<li>'), ' '))]) AS h FROM pages)

@@ -41,3 +41,10 @@ def test_agrees_with_duckdb(spark, sf, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() >= 0
+
+
+def test_every_term_is_looked_for(spark, tmp_path):
+    spark.createDataFrame([(f"Term{k:04d}.",) for k in range(1500)], "n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(f"the term{k:04d}. here",) for k in range(1500)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["q17_literal_mention"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {(f"Term{k:04d}.", 1) for k in range(1500)}
