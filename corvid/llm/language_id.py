@@ -23,6 +23,8 @@ from corvid.llm.textbytes import LOWER, flat, slices
 #: Bytes of normalised labelled text per language; at most this many documents per language are looked at.
 TRAIN_BYTES = 24_000
 TRAIN_DOCS = 400
+#: Characters taken from the middle of a text for training.
+EXCERPT = 400
 PIECE = 512
 BROKEN = np.int32(1 << 30)
 UNDETERMINED = "und"
@@ -160,14 +162,16 @@ def predict(model: dict, column: pa.Array) -> tuple[list, np.ndarray]:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict:
-    """The automata, from at most TRAIN_DOCS documents of each language (the first by a hash of their text) and TRAIN_BYTES normalised bytes of these.
+    """The automata, from at most TRAIN_DOCS distinct texts of each language (the first by a hash) and TRAIN_BYTES normalised bytes of these.
 
-    An excerpt from the middle of each document is enough to learn from;
+    An excerpt of EXCERPT characters from the middle of each text is enough to learn from;
     predictions read whole texts.
     """
     mid = F.greatest(F.lit(1), F.floor(F.length(text) / 2).cast("int") - 100)
-    own = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("l"), F.xxhash64(text).alias("h"), F.substr(text, mid, F.lit(400)).alias("t"))
-    first = own.withColumn("r", F.rank().over(W.partitionBy("l").orderBy("h", "t"))).where(F.col("r") <= TRAIN_DOCS).select("l", "h", "t").distinct()
+    own = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("l"), F.xxhash64(text).alias("h"), F.substr(text, mid, F.lit(EXCERPT)).alias("t"))
+    # Copies of a text are one before the ranks are taken.
+    ranked = own.select("l", "h").distinct().withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h"))).where(F.col("r") <= TRAIN_DOCS)
+    first = own.join(F.broadcast(ranked.select("l", "h")), ["l", "h"], "left_semi").distinct()
     samples: dict[str, list] = {}
     for r in first.collect():
         samples.setdefault(r.l, []).append((r.h, " " + r.t + " "))

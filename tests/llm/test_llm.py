@@ -322,6 +322,17 @@ def test_language_id(spark, docs, odd, none):
     assert {r.lang_pred for r in language_id.identify(odd, language_id.fit(none)).collect()} == {"und"}
 
 
+def test_language_model_ranks_distinct_texts(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TRAIN_DOCS", 4)
+    learned = {}
+    monkeypatch.setattr(language_id, "compile_automata", lambda texts: learned.update(texts))
+    own = [f"{w} and more" for w in ("alpha", "bravo", "charlie", "delta", "echo", "foxtrot")]
+    language_id.fit(spark.createDataFrame([(t, "en") for t in own], "text string, lang string"))
+    alone = dict(learned)
+    language_id.fit(spark.createDataFrame([(t, "en") for t in own for _ in range(9)], "text string, lang string"))
+    assert learned == alone and alone["en"].count(b"and more") == 4
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(2)
     per_row = np.array([4, 1, 6, 3])
