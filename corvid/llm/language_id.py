@@ -1,11 +1,13 @@
 """Language identification by cross-parsing entropy.
 
-Per language a suffix automaton holds a bounded amount of labelled text. A
-text is parsed greedily into the longest phrases that occur in that text; the
-language that needs the fewest phrases, normalised by the text's length, wins.
-All automata share one transition table in which a missing transition already
-points to where the next phrase has got to, so many texts are parsed in step
-by numpy, one byte of each at a time.
+Per language a suffix automaton holds the labelled text of a bounded number of
+documents. A text is parsed greedily, from its beginning to its end, into the
+longest phrases that occur in that text; the language that needs the fewest
+phrases, normalised by the text's length, wins.
+
+Long texts are parsed in parts side by side without a change of the result: a
+part is parsed from its first byte, and then again from where the phrase that
+reaches into it ends, until no part's beginning moves any more.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ from pyspark.sql.types import DoubleType, StringType
 from corvid.llm.frames import extended
 from corvid.llm.textbytes import LOWER, flat, slices
 
-#: Bytes of normalised labelled text per language; at most this many documents per language are looked at.
-TRAIN_BYTES = 24_000
-TRAIN_DOCS = 400
-#: Characters taken from the middle of a text for training.
-EXCERPT = 400
-PIECE = 512
-BROKEN = np.int32(1 << 30)
+#: Distinct labelled texts that each language is learned from, at most; they are read whole.
+TRAIN_DOCS = 64
+#: Bytes of a text that one lane of the parser begins with.
+PART = 4096
+#: Bytes of text that are parsed at once.
+SLICE = 1 << 22
+WORD = 64
 UNDETERMINED = "und"
 
 LETTER = np.zeros(256, dtype=bool)
@@ -81,64 +83,106 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
 
 
 def compile_automata(texts: dict[str, bytes]) -> dict:
-    """One table for all languages: entry [state, symbol] is the next state times the alphabet size, with BROKEN set where a phrase ends."""
+    """All languages' automata in arrays: per state and 64 symbols a bit mask of the transitions and where they begin in `to`.
+
+    `first` [language, symbol] is the state after a phrase's first symbol; a
+    symbol that the language lacks leads to its last state, which has no way on.
+    """
     languages = sorted(texts)
-    alphabet = np.zeros(256, dtype=np.int32)
     used = sorted({c for t in texts.values() for c in t})
-    for k, c in enumerate(used):
-        alphabet[c] = k + 1
-    width = len(used) + 1
-    tables, roots, base = [], [], 0
+    alphabet = np.zeros(256, dtype=np.uint8)
+    alphabet[used] = np.arange(1, len(used) + 1)
+    width = -(-(len(used) + 1) // WORD)
+    masks, targets, first, base = [], [], [], 0
     for name in languages:
-        moves = suffix_automaton(texts[name])
-        root = np.full(width, base, dtype=np.int32)
-        for c, to in moves[0].items():
-            root[alphabet[c]] = base + to
-        table = np.tile(root | BROKEN, (len(moves), 1))
-        for s, own in enumerate(moves):
-            for c, to in own.items():
-                table[s, alphabet[c]] = base + to
-        tables.append(table)
-        roots.append(base)
+        moves = [*suffix_automaton(texts[name]), {}]
+        state = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
+        symbol = alphabet[np.fromiter((c for m in moves for c in m), np.int64, len(state))].astype(np.int64)
+        to = np.fromiter((t for m in moves for t in m.values()), np.int64, len(state)) + base
+        order = np.argsort(state * 256 + symbol, kind="stable")
+        state, symbol, to = state[order], symbol[order], to[order]
+        mask = np.zeros(len(moves) * width, np.uint64)
+        np.bitwise_or.at(mask, state * width + symbol // WORD, np.uint64(1) << (symbol % WORD).astype(np.uint64))
+        own = np.full(len(used) + 1, base + len(moves) - 1)
+        own[symbol[state == 0]] = to[state == 0]
+        masks.append(mask)
+        targets.append(to)
+        first.append(own)
         base += len(moves)
-    table = np.concatenate(tables) if tables else np.zeros((1, width), np.int32)
-    if base * width >= int(BROKEN):
-        raise ValueError("too much training text for 30-bit states")
-    broken = table & BROKEN
-    return {"languages": languages, "alphabet": alphabet, "table": ((table & ~BROKEN) * width | broken).ravel(), "roots": np.array(roots, np.int32) * width}
+    mask = np.concatenate(masks) if masks else np.zeros(0, np.uint64)
+    size = np.bitwise_count(mask).astype(np.int64)
+    to = np.concatenate(targets) if targets else np.zeros(0, np.int64)
+    return {"languages": languages, "alphabet": alphabet, "width": width, "mask": mask, "begin": (np.cumsum(size) - size).astype(np.int32), "to": np.append(to, 0).astype(np.int32), "first": np.array(first, np.int32).reshape(len(languages), len(used) + 1)}
+
+
+def run_lanes(model: dict, symbols: np.ndarray, lang: np.ndarray, at: np.ndarray, stop: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(phrases, exit) of lanes that parse from `at`: phrases that begin before `stop`, and where the last of them ends, at `end` at most. All lanes begin before their `stop`."""
+    count, exit, lane = np.ones(len(at), np.int64), end.copy(), np.arange(len(at))
+    first, mask, begin, to, width = model["first"].ravel(), model["mask"], model["begin"], model["to"], model["width"]
+    row = lang * model["first"].shape[1]
+    state = first[row + symbols[at]]
+    at, live = at + 1, np.ones(len(at), bool)
+    while True:
+        live &= at < end
+        if not live.all():
+            keep = np.flatnonzero(live)
+            lane, row, at, stop, end, state = lane[keep], row[keep], at[keep], stop[keep], end[keep], state[keep]
+            live = np.ones(len(keep), bool)
+        if not len(lane):
+            return count, exit
+        c = symbols[at].astype(np.int64)
+        cell = state if width == 1 else state * width + (c >> 6)
+        own, bit = mask[cell], np.uint64(1) << (c & 63).astype(np.uint64)
+        on = (own & bit) != 0
+        state = to[begin[cell] + np.bitwise_count(own & (bit - np.uint64(1)))]
+        off = np.flatnonzero(~on)
+        if len(off):
+            # A phrase ends here; the next one begins with this symbol, in this lane or in the part after it.
+            state[off] = first[row[off] + c[off]]
+            out = at[off] >= stop[off]
+            count[lane[off[~out]]] += 1
+            exit[lane[off[out]]] = at[off[out]]
+            live[off[out]] = False
+        at = at + 1
 
 
 def phrases(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """[row, language] phrase counts of normalised texts; a text is parsed in pieces of PIECE bytes, each from the root."""
-    rows, langs = len(offsets) - 1, len(model["roots"])
+    """[row, language] number of phrases of the greedy parse of each whole normalised text."""
+    rows, langs = len(offsets) - 1, len(model["languages"])
     length = np.diff(offsets)
-    pieces = -(-length // PIECE)
-    row = np.repeat(np.arange(rows), pieces)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    start = offsets[:-1][row] + nth * PIECE
-    size = np.minimum(PIECE, offsets[1:][row] - start)
-    order = np.argsort(-size, kind="stable")
-    row, start, size = row[order], start[order], size[order]
-    symbols, table = model["alphabet"][data], model["table"]
-    state = np.repeat(model["roots"][:, None], len(row), axis=1)
-    count = np.zeros((langs, len(row)), dtype=np.int32)
-    active = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
-    for step, n in enumerate(active):
-        c = symbols[start[:n] + step]
-        for k in range(langs):
-            to = table[state[k, :n] + c]
-            count[k, :n] += to >> 30
-            state[k, :n] = to & ~BROKEN
+    parts = -(-length // PART)
+    row = np.tile(np.repeat(np.arange(rows), parts), langs)
+    n = len(row) // max(1, langs)
+    nth = np.tile(np.arange(n) - np.repeat(np.cumsum(parts) - parts, parts), langs)
+    lang = np.repeat(np.arange(langs), n)
+    start = offsets[:-1][row] + nth * PART
+    end = offsets[1:][row]
+    stop = np.minimum(start + PART, end)
+    last = nth == parts[row] - 1
+    symbols = model["alphabet"][data]
+    at, count, exit = start.copy(), np.zeros(len(row), np.int64), start.copy()
+    todo = np.arange(len(row))
+    while len(todo):
+        inside = at[todo] < stop[todo]
+        passed = todo[~inside]
+        count[passed], exit[passed] = 0, at[passed]
+        mine = todo[inside]
+        mine = mine[np.argsort(start[mine] - end[mine], kind="stable")]
+        count[mine], exit[mine] = run_lanes(model, symbols, lang[mine], at[mine], stop[mine], end[mine])
+        after = todo[~last[todo]]
+        # A part begins anew where the one before it was left, if that has changed.
+        moved = after[at[after + 1] != exit[after]]
+        at[moved + 1] = exit[moved]
+        todo = moved + 1
     out = np.zeros((rows, langs))
-    for k in range(langs):
-        out[:, k] = np.bincount(row, count[k] + 1, minlength=rows)
+    np.add.at(out, (row, lang), count)
     return out
 
 
 def predict(model: dict, column: pa.Array) -> tuple[list, np.ndarray]:
     """(language, score) of every text of a column."""
     langs, scores = [], []
-    for lo, hi in slices(column, 1 << 20):
+    for lo, hi in slices(column, SLICE):
         data, offsets = flat(part := column.slice(lo, hi - lo))
         has = np.zeros(hi - lo, bool)
         full = np.diff(offsets) > 0
@@ -149,7 +193,7 @@ def predict(model: dict, column: pa.Array) -> tuple[list, np.ndarray]:
         low, ends = normalize(data, offsets)
         size = np.maximum(1, np.diff(ends))
         if model["languages"]:
-            rate = phrases(model, low, ends) / size[:, None]
+            rate = np.maximum(1, phrases(model, low, ends)) / size[:, None]
             best = rate.argmin(1)
             odds = np.exp(-100.0 * (rate - rate.min(1, keepdims=True)))
             score = odds[np.arange(hi - lo), best] / odds.sum(1)
@@ -161,24 +205,30 @@ def predict(model: dict, column: pa.Array) -> tuple[list, np.ndarray]:
     return langs, np.concatenate(scores) if scores else np.zeros(0)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict:
-    """The automata, from at most TRAIN_DOCS distinct texts of each language (the first by a hash) and TRAIN_BYTES normalised bytes of these.
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = TRAIN_DOCS) -> dict:
+    """The automata, from at most `sample` distinct texts of each language, read whole.
 
-    An excerpt of EXCERPT characters from the middle of each text is enough to learn from;
-    predictions read whole texts.
+    They are the first by a hash of the text, so rows of one text count once and
+    ties don't matter. Null languages and null or empty texts teach nothing. The driver
+    holds those texts, and one language's automaton while it is built.
     """
-    mid = F.greatest(F.lit(1), F.floor(F.length(text) / 2).cast("int") - 100)
-    own = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("l"), F.xxhash64(text).alias("h"), F.substr(text, mid, F.lit(EXCERPT)).alias("t"))
-    # Copies of a text are one before the ranks are taken.
-    ranked = own.select("l", "h").distinct().withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h"))).where(F.col("r") <= TRAIN_DOCS)
-    first = own.join(F.broadcast(ranked.select("l", "h")), ["l", "h"], "left_semi").distinct()
+    own = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("l"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    counts = {r.l: r.n for r in own.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    # A bound on the hash lets about four times the sample through, of each language; ranks choose among those.
+    bound = F.lit(None).cast("long")
+    for name, n in counts.items():
+        share = min(1.0, 4.0 * (sample + 16) / max(1, n))
+        bound = F.when(F.col("l") == name, F.lit(int(-(2**63) + min(2**64 - 1, share * 2**64)))).otherwise(bound)
+    low = own.where(F.col("h") <= bound)
+    ranked = low.select("l", "h").distinct().withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h"))).where(F.col("r") <= sample)
+    first = low.join(F.broadcast(ranked.select("l", "h")), ["l", "h"], "left_semi").groupBy("l", "h").agg(F.min("t").alias("t"))
     samples: dict[str, list] = {}
     for r in first.collect():
         samples.setdefault(r.l, []).append((r.h, " " + r.t + " "))
     texts = {}
     for name, rows in samples.items():
         parts, _ = normalize(*flat(pa.array([t for _, t in sorted(rows)])))
-        texts[name] = parts.tobytes()[:TRAIN_BYTES]
+        texts[name] = parts.tobytes()
     return compile_automata({k: v for k, v in texts.items() if v.strip()})
 
 
@@ -188,9 +238,8 @@ def identify(docs: DataFrame, model: dict, text: str = "text", lang_pred: str =
     `und` with score 0 for null texts, texts without a letter, and where the
     model has no language. Ties go to the first language by name. Rows and
     other columns pass unchanged; an input column with one of the two names is
-    replaced. An empty table gives an empty table. A single very long text is
-    parsed in pieces side by side, so it needs memory in proportion to its own
-    length only.
+    replaced. An empty table gives an empty table. A text needs memory in
+    proportion to its own length only.
     """
     docs = docs.drop(lang_pred, score)
     where, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corvid.llm import components, decontaminate, exact_dedup, language_id, lm_score, mixing, ngram_join, pii, quality, sharding, url_filter
@@ -285,30 +286,43 @@ def test_alignment_is_the_edit_distance():
 
 
 def brute_phrases(own: bytes, text: bytes) -> int:
-    n = 0
-    for lo in range(0, len(text), language_id.PIECE):
-        piece, at = text[lo : lo + language_id.PIECE], 0
-        n += 1
-        while at < len(piece):
-            k = at + 1
-            while k < len(piece) and piece[at : k + 1] in own:
-                k += 1
-            if piece[at:k] not in own:
-                n += at < k and True
-                at = k
-                continue
-            at = k
-            n += at < len(piece)
+    n = at = 0
+    while at < len(text):
+        k = at + 1
+        while k < len(text) and text[at : k + 1] in own:
+            k += 1
+        at, n = k, n + 1
     return n
 
 
+def counted(model, texts):
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    return language_id.phrases(model, data, ends)
+
+
 def test_cross_parsing_counts_longest_phrases():
-    own = b"the cat sat on the mat and the dog "
-    model = language_id.compile_automata({"en": own, "de": b"der hund und die katze "})
-    for text in (b"the cat and the dog", b"on the dog sat", b"the", b"mat mat mat "):
-        data = np.frombuffer(text, np.uint8)
-        got = language_id.phrases(model, data, np.array([0, len(text)]))[0, model["languages"].index("en")]
-        assert got == brute_phrases(own, text)
+    own = {"en": b"the cat sat on the mat and the dog ", "de": b"der hund und die katze ", "xx": bytes(range(97, 123)) + bytes(range(128, 250))}
+    model = language_id.compile_automata(own)
+    texts = [b"the cat and the dog", b"on the dog sat", b"the", b"mat mat mat ", b"", b"q", bytes([98, 99, 251, 251, 130, 131])]
+    got = counted(model, texts)
+    for k, name in enumerate(model["languages"]):
+        assert got[:, k].tolist() == [brute_phrases(own[name], t) for t in texts]
+
+
+@pytest.mark.parametrize("part", [1, 7, 512, 4096])
+def test_cross_parsing_is_of_whole_texts(monkeypatch, part):
+    """Copies of the learned text, whose phrases cross many parts, and texts of words in any order, at lengths around a part's."""
+    monkeypatch.setattr(language_id, "PART", part)
+    rng = random.Random(part)
+    words = ["".join(rng.choice("abcdefg") for _ in range(rng.randrange(2, 7))) for _ in range(60)]
+    own = " ".join(rng.choice(words) for _ in range(1500)).encode()
+    other = " ".join(rng.choice(words) for _ in range(900)).encode()
+    model = language_id.compile_automata({"a": own, "b": other})
+    texts = [own[100 : 100 + n] for n in (1, 511, 512, 513, 4000, 4097)] + [(own[50:700] + b" zz " + other[9:1500] + own[:3000])[:n] for n in (511, 513, 4000, 5000)]
+    got = counted(model, texts)
+    assert got[:, 0].tolist() == [brute_phrases(own, t) for t in texts]
+    assert got[:, 1].tolist() == [brute_phrases(other, t) for t in texts]
+    assert got[4, 0] == 1
 
 
 def test_language_id(spark, docs, odd, none):
@@ -323,16 +337,30 @@ def test_language_id(spark, docs, odd, none):
 
 
 def test_language_model_ranks_distinct_texts(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "TRAIN_DOCS", 4)
     learned = {}
     monkeypatch.setattr(language_id, "compile_automata", lambda texts: learned.update(texts))
     own = [f"{w} and more" for w in ("alpha", "bravo", "charlie", "delta", "echo", "foxtrot")]
-    language_id.fit(spark.createDataFrame([(t, "en") for t in own], "text string, lang string"))
+    language_id.fit(spark.createDataFrame([(t, "en") for t in own], "text string, lang string"), sample=4)
     alone = dict(learned)
-    language_id.fit(spark.createDataFrame([(t, "en") for t in own for _ in range(9)], "text string, lang string"))
+    language_id.fit(spark.createDataFrame([(t, "en") for t in own for _ in range(9)], "text string, lang string"), sample=4)
     assert learned == alone and alone["en"].count(b"and more") == 4
 
 
+def test_language_model_reads_whole_texts_and_ties(spark, monkeypatch):
+    learned = {}
+    monkeypatch.setattr(language_id, "compile_automata", lambda texts: learned.update(texts))
+    rows = [("same words " * 3, "en")] * 20_000 + [("long text " * 4000 + "ending", "en"), ("wort", "de"), ("x", None), (None, "de")]
+    language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert set(learned) == {"en", "de"}
+    assert learned["en"].count(b"same words") == 3 and learned["en"].count(b"long text") == 4000 and b"ending" in learned["en"]
+
+
+def test_language_columns_with_clashing_names(spark, docs):
+    model = language_id.fit(docs)
+    got = language_id.identify(docs.limit(5).withColumn("lang_pred", F.lit(1)).withColumn("lang_score", F.lit("x")), model)
+    assert dict(got.dtypes)["lang_pred"] == "string" and dict(got.dtypes)["lang_score"] == "double" and got.count() == 5
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(2)
     per_row = np.array([4, 1, 6, 3])
