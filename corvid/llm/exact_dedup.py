@@ -1,12 +1,13 @@
 """Exact deduplication: sorted digest runs merged along a tree of partitions.
 
 Every partition first makes a sorted run of its digests. Then partitions
-exchange runs in rounds as in a binomial tree: in round r, the nodes that
-differ only in digit r of their number trade the parts of their runs that
-belong to each other's digit of the digest, and each merges what it got with
-what it kept. After the last round a node holds the whole class of every
-digest that it owns, and no node ever holds more than its share: with equal
-texts merged at every level, a class is one row per node from round one on.
+exchange runs in binomial rounds: in round r, the two nodes that differ only
+in bit r of their number trade the parts of their runs that belong to the
+other's bit of the digest, and each merges, in one multiway pass, what it got
+with what it kept. Equal texts become one row at every level, which retains
+the best identifier, so a class of any size is one row per node from the first
+run on. After the last round a node holds the whole class of each digest that
+it owns.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 from corvid.sources.tables import materialize
 
 RUN = "node int, digest string, bytes long, crc long, keep long, rows long"
+#: Digests that a node should own; nodes are a power of two, and MOST_NODES at most.
+NODE_ROWS = 1 << 15
+MOST_NODES = 1 << 13
 
 
 def merge_sorted(batches):
@@ -45,31 +49,33 @@ def merge_sorted(batches):
 
 
 def merged(runs: DataFrame, nodes: int) -> DataFrame:
-    """One level of the tree: runs dealt to their nodes, sorted, merged."""
+    """One level of the tree: runs sent to their nodes, one task each, sorted, merged."""
     order = ["node", "digest", "bytes", "crc"]
-    return runs.repartition(nodes, "node").sortWithinPartitions(*order).mapInArrow(merge_sorted, RUN)
+    return runs.repartitionById(nodes, "node").sortWithinPartitions(*order).mapInArrow(merge_sorted, RUN)
 
 
-def digest_classes(rows: DataFrame, smallest: bool = True, radix_bits: int = 3, rounds: int = 2) -> DataFrame:
-    """Classes (digest, bytes, crc, keep, rows) of rows (digest, bytes, crc, id), by tree-merge.
+def tree_nodes(rows: int) -> int:
+    """The power of two at or above rows / NODE_ROWS, MOST_NODES at most."""
+    return min(MOST_NODES, 1 << max(0, -(-rows // NODE_ROWS) - 1).bit_length())
 
-    2 ** (radix_bits * rounds) nodes; a round merges 2 ** radix_bits runs at a
-    time. `smallest` picks the identifier that a class retains; null
-    identifiers lose against any other, and a class of nulls retains null.
+
+def digest_classes(rows: DataFrame, smallest: bool = True, nodes: int | None = None) -> DataFrame:
+    """Classes (digest, bytes, crc, keep, rows) of rows (digest, bytes, crc, id), by tree-merge over `nodes` (a power of two; None: by the number of rows).
+
+    `smallest` picks the identifier that a class retains; null identifiers
+    lose against any other, and a class of nulls retains null.
     """
-    radix, nodes = 1 << radix_bits, 1 << (radix_bits * rounds)
+    nodes = nodes or tree_nodes(rows.count())
     sign = F.lit(-1 if smallest else 1)
     node = F.spark_partition_id() % nodes
     run = rows.select(node.cast("int").alias("node"), "digest", "bytes", "crc", (F.col("id") * sign).alias("keep"), F.lit(1).cast("long").alias("rows"))
     # The first run: what one partition holds, merged where it lies.
     run = run.sortWithinPartitions("node", "digest", "bytes", "crc").mapInArrow(merge_sorted, RUN)
-    owner = F.conv(F.substring("digest", 1, 6), 16, 10).cast("long") % nodes
-    for r in range(rounds):
-        unit = radix**r
-        digit = (F.floor(owner / unit) % radix).cast("int")
-        at = F.col("node")
-        target = (at - (F.floor(at / unit) % radix).cast("int") * unit + digit * unit).cast("int")
-        run = merged(run.withColumn("node", target), nodes)
+    owner = F.conv(F.substring("digest", 1, 6), 16, 10).cast("int")
+    for bit in (1 << r for r in range(nodes.bit_length() - 1)):
+        run = merged(run.withColumn("node", F.col("node").bitwiseAND(F.lit(~bit)).bitwiseOR(owner.bitwiseAND(F.lit(bit)))), nodes)
+    if nodes == 1:
+        run = merged(run, 1)
     return run.select("digest", "bytes", "crc", (F.col("keep") * sign).alias("keep"), "rows")
 
 

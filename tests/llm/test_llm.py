@@ -49,6 +49,20 @@ def test_exact_dedup(spark, odd, none):
     assert exact_dedup.exact_duplicates(none).count() == 0
 
 
+def test_tree_merge_over_any_number_of_nodes(spark):
+    rng = random.Random(5)
+    rows = [(f"{rng.randrange(40):06x}" * 2, 1, 2, rng.choice([None, rng.randrange(1000)])) for _ in range(400)]
+    want = {}
+    for d, _, _, i in rows:
+        want.setdefault(d, []).append(i)
+    frame = spark.createDataFrame(rows, "digest string, bytes long, crc long, id long").repartition(7)
+    for nodes in (1, 2, 8, 32):
+        got = exact_dedup.digest_classes(frame, nodes=nodes)
+        assert got.rdd.getNumPartitions() == nodes
+        assert sorted((r.digest, r.keep, r.rows) for r in got.collect()) == sorted((d, min((i for i in ids if i is not None), default=None), len(ids)) for d, ids in want.items())
+    assert [exact_dedup.tree_nodes(n) for n in (0, 1, 1 << 15, (1 << 15) + 1, 10**6, 10**15)] == [1, 1, 1, 2, 32, 1 << 13]
+
+
 def test_exact_dedup_sql(spark, sf):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
