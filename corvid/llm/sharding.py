@@ -1,28 +1,28 @@
 """Sharding by longest-processing-time scheduling.
 
 Rows of equal text form a group that stays in one shard. Groups go, largest
-first, to the least-loaded shard. What the driver schedules is a histogram:
-size classes of 10 significant bits (below 1,024 bytes every size is its own
-class), so it holds at most about 55,000 classes times SALTS however many
-groups there are. Groups of one class are interchangeable; a class of many
-groups is poured in bulk, with the same outcome as one heap step per group.
+first, to the least-loaded shard, through a heap. Groups of one size are
+interchangeable, so what is scheduled is the table of sizes and their counts,
+streamed from the largest size down; all groups of a size are poured at once,
+with the same loads as one heap step per group. Distinct sizes number at most
+the square root of twice the bytes of all groups.
 """
 
 from __future__ import annotations
 
 import heapq
-from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvid.sources.tables import materialize
 
-SALTS = 16
-SUBS = 64
-BITS = 10
+#: Rows that one window ranks, on average; more are ranked in parts.
+PART_ROWS = 1 << 16
+#: Rows of a table that may be broadcast.
+SMALL = 1 << 20
 
 
 def pour(loads: list[int], size: int, count: int) -> list[int]:
@@ -52,53 +52,76 @@ def pour(loads: list[int], size: int, count: int) -> list[int]:
     return got
 
 
-def schedule(histogram: list[tuple[int, int, int, int]], shards: int) -> list[tuple[int, int, int, int, int]]:
-    """Rows (class, salt, lo, hi, shard) for a histogram of (class, salt, groups, bytes).
+def cuts(salts: list[tuple[int, int]], got: list[int]):
+    """Rows (salt, lo, hi, shard) that hand the groups of each (salt, count), in order, to the shards, `got` of them to each."""
+    shards = [[k, n] for k, n in enumerate(got) if n]
+    for salt, n in salts:
+        lo = 0
+        while lo < n:
+            take = min(shards[0][1], n - lo)
+            yield salt, lo, lo + take, shards[0][0]
+            lo += take
+            shards[0][1] -= take
+            if not shards[0][1]:
+                shards.pop(0)
 
-    Ranks lo <= r < hi of a class and salt go to the shard. Loads count in
-    1/1024 bytes, each group with its class's mean size.
-    """
-    loads, out = [0] * shards, []
-    for cls, rows in groupby(sorted(histogram, key=lambda r: (-r[0], r[1])), key=lambda r: r[0]):
-        rows = list(rows)
-        groups = sum(r[2] for r in rows)
-        got = pour(loads, sum(r[3] for r in rows) * 1024 // groups, groups)
-        cuts = [(k, n) for k, n in enumerate(got) if n]
-        at, left = 0, cuts[0][1]
-        for _, salt, n, _ in rows:
-            lo = 0
-            while lo < n:
-                if not left:
-                    at += 1
-                    left = cuts[at][1]
-                take = min(left, n - lo)
-                out.append((cls, salt, lo, lo + take, cuts[at][0]))
-                lo, left = lo + take, left - take
-    return out
-
-
-def size_class(size) -> F.Column:
-    """`size` with all but its top BITS bits cleared."""
-    drop = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int") - (BITS - 1))
-    return F.call_function("shiftleft", F.call_function("shiftright", size, drop), drop)
+
+def schedule(shards: int):
+    """A stream of (bytes, salt, groups), largest size first and its salts together, to (bytes, salt, lo, hi, shard): ranks lo <= r < hi of that size and salt go to the shard."""
+
+    def run(batches):
+        loads, out, size, salts = [0] * shards, [], None, []
+
+        def dealt():
+            got = pour(loads, size, sum(n for _, n in salts))
+            return [(size, *cut) for cut in cuts(salts, got)]
+
+        def rows(out):
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["bytes", "salt", "lo", "hi", "shard"]).cast(PLAN)
+
+        for b in batches:
+            for own, salt, n in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if own != size and salts:
+                    out += dealt()
+                    salts = []
+                size = own
+                salts.append((salt, n))
+            if out:
+                yield rows(out)
+                out = []
+        if salts:
+            yield rows(dealt())
+
+    return run
+
+
+PLAN = pa.schema([("bytes", pa.int64()), ("salt", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("shard", pa.int32())])
+
+
+def parts_of(rows: int | F.Column):
+    """In how many parts so many rows are ranked."""
+    return max(1, -(-rows // PART_ROWS)) if isinstance(rows, int) else F.ceil(rows / PART_ROWS)
 
 
 def shard_groups(groups: DataFrame, shards: int) -> DataFrame:
-    """(key, shard) for groups (key, bytes), one row per key."""
-    spark = groups.sparkSession
-    g = materialize(groups.select("key", "bytes", size_class(F.col("bytes")).alias("class"), (F.pmod(F.xxhash64("key"), F.lit(SALTS))).cast("int").alias("salt")))
-    histogram = [tuple(r) for r in g.groupBy("class", "salt").agg(F.count(F.lit(1)), F.sum("bytes")).collect()]
-    plan = spark.createDataFrame(pd.DataFrame(schedule(histogram, shards), columns=["class", "salt", "lo", "hi", "shard"]).astype({"salt": "int32", "shard": "int32"}) if histogram else [], "class long, salt int, lo long, hi long, shard int")
-    ranked = g.withColumn("r", F.row_number().over(W.partitionBy("class", "salt").orderBy(F.desc("bytes"), "key")) - 1)
-    on = (ranked["class"] == plan["class"]) & (ranked["salt"] == plan["salt"]) & (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi"))
-    return ranked.join(plan, on).select("key", "shard")
-
-
-def with_slots(rows: DataFrame, shards_column: str, by: str) -> DataFrame:
-    """`rows` with `slot`, 0 to n - 1 within each shard; ranks run in SUBS parts of a shard side by side."""
-    rows = rows.withColumn("sub", F.pmod(F.xxhash64(by, "nth"), F.lit(SUBS)).cast("int"))
+    """(key, shard) for groups (key, bytes), one row per key: the longest-processing-time schedule, the lowest shard first on ties."""
+    g = materialize(groups.select("key", "bytes"))
+    # Sizes of very many groups are ranked in parts. These are one size in PART_ROWS groups at most.
+    hot = materialize(g.groupBy("bytes").agg(parts_of(F.count(F.lit(1))).alias("parts")).where("parts > 1"))
+    g = g.join(F.broadcast(hot) if hot.count() <= SMALL else hot, "bytes", "left")
+    g = g.select("key", "bytes", F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt"))
+    sizes = g.groupBy("bytes", "salt").agg(F.count(F.lit(1)).alias("n"))
+    # One task sees the table of sizes, never the groups.
+    plan = sizes.repartition(1).sortWithinPartitions(F.desc("bytes"), "salt").mapInArrow(schedule(shards), "bytes long, salt int, lo long, hi long, shard int")
+    ranked = g.withColumn("r", F.row_number().over(W.partitionBy("bytes", "salt").orderBy("key")) - 1)
+    return ranked.join(plan, ["bytes", "salt"]).where("r >= lo and r < hi").select("key", "shard")
+
+
+def with_slots(rows: DataFrame, shards_column: str, by: str, subs: int) -> DataFrame:
+    """`rows` with `slot`, 0 to n - 1 within each shard; ranks run in `subs` parts of a shard side by side."""
+    rows = rows.withColumn("sub", F.pmod(F.xxhash64(by, "nth"), F.lit(subs)).cast("int"))
     counts = rows.groupBy(shards_column, "sub").agg(F.count(F.lit(1)).alias("n"))
-    # At most shards * SUBS rows.
+    # At most shards * subs rows, which is one in PART_ROWS rows and one per shard.
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy(shards_column).orderBy("sub").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     rank = F.row_number().over(W.partitionBy(shards_column, "sub").orderBy(by, "nth"))
     return rows.withColumn("rank", rank).join(F.broadcast(before), [shards_column, "sub"]).withColumn("slot", F.col("before") + F.col("rank") - 1)
@@ -126,7 +149,8 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", id: str = "doc_
     )
     groups = slim.groupBy("key").agg(F.sum("size").alias("bytes"))
     dealt = materialize(slim.join(materialize(shard_groups(groups, shards)), "key").select("doc_id", "size", "text_crc32", "shard", "nth"))
-    return with_slots(dealt, "shard", "doc_id").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    subs = parts_of(-(-dealt.count() // shards))
+    return with_slots(dealt, "shard", "doc_id", subs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,6 +177,32 @@ def test_pour_is_the_greedy_schedule():
         assert sorted(mine) == sorted(load for load, _ in heap)
 
 
+@pytest.mark.parametrize(("shards", "part_rows"), [(1, 1 << 16), (5, 1 << 16), (5, 3), (24, 8)])
+def test_shards_are_the_longest_processing_time_schedule(spark, monkeypatch, shards, part_rows):
+    monkeypatch.setattr(sharding, "PART_ROWS", part_rows)
+    rng = random.Random(shards)
+    sizes = [rng.choice([rng.randrange(9, 40), rng.randrange(2000, 2100), rng.randrange(9, 90_000)]) for _ in range(300)] + [1500] * 70 + [10**7]
+    got = sharding.shard_groups(spark.createDataFrame([(str(k).encode(), n) for k, n in enumerate(sizes)], "key binary, bytes long").repartition(3), shards)
+    mine = [0] * shards
+    rows = got.collect()
+    assert sorted(int(r.key) for r in rows) == list(range(len(sizes)))
+    for r in rows:
+        mine[r.shard] += sizes[int(r.key)]
+    heap = [(0, k) for k in range(shards)]
+    for n in sorted(sizes, reverse=True):
+        load, k = heapq.heappop(heap)
+        heapq.heappush(heap, (load + n, k))
+    assert sorted(mine) == sorted(load for load, _ in heap)
+
+
+def test_slots_are_gapless_in_parts(spark, docs, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 7)
+    slots = {}
+    for r in sharding.shard(docs, 3).collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_sharding(odd, none, docs):
     for frame, n in ((odd, len(ODD)), (docs, docs.count())):
         got = sharding.shard(frame, 5).collect()
