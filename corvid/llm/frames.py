@@ -9,3 +9,13 @@ from pyspark.sql.types import DataType, StructField, StructType
 def extended(df: DataFrame, **columns: DataType) -> StructType:
     """The schema of `df`, all nullable, followed by `columns`."""
     return StructType([StructField(f.name, f.dataType) for f in df.schema.fields] + [StructField(k, v) for k, v in columns.items()])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """`names`, each with as many underscores after it as `df` needs to have no column of that name (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

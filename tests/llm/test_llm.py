@@ -245,6 +245,82 @@ def test_mixing(odd, none):
     assert mixing.mix(none).count() == 0
 
 
+NEW = ["mix_tokens", "mix_topic", "mix_weight", "mix_probability", "mix_kept"]
+
+
+def fates(df):
+    return {r.doc_id: tuple(r[c] for c in NEW) for r in df.select("doc_id", *NEW).collect()}
+
+
+def test_mixing_with_clashing_columns(docs):
+    plain = fates(mixing.mix(docs))
+    clash = docs.withColumns({c: F.lit("x") for c in ("mix_a", "mix_lost", "mix_u", "mix_own", "mix_profile", "mix_kept", "a", "weight")})
+    for keep_text in (True, False):
+        got = mixing.mix(clash, keep_text=keep_text)
+        assert fates(got) == plain
+        assert {r.mix_a + r.mix_lost + r.mix_u + r.mix_own + r.mix_profile + r.a + r.weight for r in got.collect()} == {"x" * 7}
+        assert ("text" in got.columns) == keep_text
+
+
+def test_mixing_keeps_by_brute_force(spark, docs):
+    """Topics, cells, weights and kept rows against plain Python; the expected share is met."""
+    rows = docs.collect()
+    got = fates(mixing.mix(docs, share=0.4))
+    tokens = {r.doc_id: len(r.text.encode().split()) for r in rows}
+    assert {k: v[0] for k, v in got.items()} == tokens
+    cells = {}
+    for r in rows:
+        key = (r.source, r.lang, got[r.doc_id][1])
+        cells[key] = cells.get(key, 0) + tokens[r.doc_id]
+    full = [(*k, n) for k, n in cells.items() if n]
+    want = [mixing.tempered(full, k, p) for k, p in enumerate((0.5, 0.7, 0.5))]
+    fitted = mixing.rake(full, want)
+    whole = sum(cells.values())
+    for (*key, n), f in zip(full, fitted, strict=True):
+        for r in rows:
+            if (r.source, r.lang, got[r.doc_id][1]) == tuple(key):
+                assert abs(got[r.doc_id][2] - f / (n / whole)) < 1e-6
+    assert abs(sum(tokens[k] * v[3] for k, v in got.items()) - 0.4 * whole) < 1e-6 * whole
+    u = {r.doc_id: r.u for r in docs.select("doc_id", (F.pmod(F.xxhash64(F.lit(42), "doc_id", F.xxhash64("text")), F.lit(1 << 40)) / float(1 << 40)).alias("u")).collect()}
+    assert all(v[4] == (u[k] < v[3]) for k, v in got.items())
+
+
+def test_topics_by_brute_force(docs):
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    tokens, profile = mixing.profiles(pa.array(texts))
+    centers = None
+    for _ in range(mixing.ROUNDS):
+        near = mixing.topics_of(profile, tokens, centers)
+        sums = np.stack([profile[near == k].sum(0, dtype=np.int64) for k in range(mixing.TOPICS)]).astype(float)
+        centers = np.rint(1e6 * sums / np.maximum(1.0, np.sqrt((sums * sums).sum(1, keepdims=True)))).astype(np.int64)
+    want = [max(range(mixing.TOPICS), key=lambda k: (sum(int(x) * int(c) for x, c in zip(p, centers[k], strict=True)), -k)) if p.any() else -1 if n else -2 for p, n in zip(profile, tokens, strict=True)]
+    for parts in (1, 7):
+        got = mixing.mix(docs.repartition(parts)).orderBy("doc_id").collect()
+        assert [r.mix_topic for r in got] == want
+    assert len(set(want)) > 3
+
+
+def test_mixing_by_a_topic_column(docs):
+    got = mixing.mix(docs.withColumn("subject", F.concat(F.lit("t"), F.col("doc_id") % 3)), topic="subject").collect()
+    assert {r.mix_topic for r in got} == {"t0", "t1", "t2"} and all(r.mix_topic == r.subject for r in got)
+
+
+def test_any_number_of_cells_is_raked(spark, odd, monkeypatch):
+    rng = random.Random(2)
+    cells = [(a, b, c, rng.choice([0, rng.randrange(1, 500)])) for a in ("x", "y", None) for b in ("u", "v") for c in range(3)]
+    frame = spark.createDataFrame(cells, "a string, b string, c int, n long")
+    for targets in (None, [{"x": 3.0, None: 1.0, "z": 9.0}, {"u": 0.6, "v": 0.4}, {0: 0.2, 1: 0.3, 2: 0.5}]):
+        want = {c[:3]: c[3:] for c in mixing.cell_plan(cells, 0.4, (0.5, 0.7, 0.5), targets, rounds=2)}
+        got = {tuple(r)[:3]: tuple(r)[3:] for r in mixing.spark_cell_plan(frame, 0.4, (0.5, 0.7, 0.5), targets, rounds=2).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(x - y) < 1e-6 for k in want for x, y in zip(got[k], want[k], strict=True))
+    table = odd.where("doc_id is not null")
+    want = fates(mixing.mix(table, rounds=1))
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 2)
+    got = fates(mixing.mix(table, rounds=1))
+    assert all(got[k][:2] == v[:2] and abs(got[k][2] - v[2]) < 1e-6 and abs(got[k][3] - v[3]) < 1e-6 for k, v in want.items())
+
+
 def brute_urls(url):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     cut = min([k for k in (rest.find(c) for c in "/?#") if k >= 0], default=len(rest))
