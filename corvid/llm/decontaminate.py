@@ -1,11 +1,14 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-A benchmark item is cut into windows of WINDOW bytes (shorter items are one
-window). If a window of w bytes occurs in a text with at most k edits, the two
-share at least w + 1 - (k + 1) * q q-grams, and those lie on diagonals that
-are at most k apart. Shared q-grams are therefore counted in bands of
-2 * BAND diagonals that overlap by half; regions that meet the bound are
-verified by an alignment within the band.
+A benchmark item is cut into windows of WINDOW bytes, one every STRIDE bytes
+(shorter items are one window), so that any excerpt of WINDOW + STRIDE - 1
+bytes holds a whole window. If a window of w bytes occurs in a text with at
+most k edits, the two share at least w + 1 - (k + 1) * q q-grams, and those lie
+on diagonals that are at most k apart. Shared q-grams are therefore counted in
+bands of 2 * BAND diagonals that overlap by half; regions that meet the bound
+are verified by an alignment within the band. Equal windows are one window of
+several items. An item of fewer than q bytes has no q-gram and an edit budget
+of 0: it is looked up wherever it stands as whole words.
 """
 
 from __future__ import annotations
@@ -16,17 +19,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from corvid.llm.frames import extended
+from corvid.llm.frames import extended, unused
 from corvid.llm.textbytes import IS_SPACE, LOWER, flat, slices
 
 Q = 10
 WINDOW = 120
-STRIDE = 60
+STRIDE = 30
 BAND = 16
 ERROR = 0.08
 MAP_BITS = 21
-#: Benchmark bytes that one index holds; a larger benchmark is searched in blocks.
-BLOCK_BYTES = 8 << 20
+#: Benchmark characters that one index holds, about; a larger benchmark is searched in blocks, each one more pass over the texts.
+BLOCK_BYTES = 4 << 20
+#: Pairs of a text's and a window's q-gram that are held at once.
+PAIRS = 1 << 19
+#: Bytes of letters and digits, those beyond ASCII included.
+WORD = np.zeros(256, bool)
+WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
 ONE = np.int64(1 << 20)
 FAR = np.int64(1 << 40)
 
@@ -57,28 +65,24 @@ def codes(b: np.ndarray) -> np.ndarray:
 
 
 def build_index(items: list[tuple[int, str]]) -> dict:
-    """Windows of all items and the inverted list of their q-grams."""
-    window, owner, budget, short = [], [], [], {}
+    """Distinct windows of all items, with their items, and the inverted list of their q-grams; and the items without one."""
+    owners: dict[bytes, list[int]] = {}
+    short: dict[bytes, list[int]] = {}
     for item, text in items:
         b, _, _ = normalize(*flat(pa.array([text or ""])))
         raw = b.tobytes().rstrip(b" ")
-        if not raw:
-            continue
-        if len(raw) < Q:
-            short.setdefault(raw, item)
-            continue
-        starts = [0] if len(raw) <= WINDOW else sorted({*range(0, len(raw) - WINDOW, STRIDE), len(raw) - WINDOW})
-        for s in starts:
-            w = raw[s : s + WINDOW]
-            window.append(np.frombuffer(w, np.uint8))
-            owner.append(item)
-            budget.append(min(int(ERROR * len(w)), len(w) // Q - 1))
+        starts = [0] if len(raw) <= WINDOW else [*range(0, len(raw) - WINDOW, STRIDE), len(raw) - WINDOW]
+        for s in starts if raw else []:
+            own = (owners if len(raw) >= Q else short).setdefault(raw[s : s + WINDOW], [])
+            if not own or own[-1] != item:
+                own.append(item)
+    window = [np.frombuffer(w, np.uint8) for w in owners]
     size = np.array([len(w) for w in window], np.int64)
-    budget = np.array(budget, np.int64)
+    budget = np.minimum((ERROR * size).astype(np.int64), size // Q - 1)
     grams = np.concatenate([codes(w) for w in window]) if window else np.zeros(0, np.uint64)
     counts = np.maximum(0, size - Q + 1)
-    of = np.repeat(np.arange(len(window)), counts)
-    pos = np.arange(len(grams)) - np.repeat(np.cumsum(counts) - counts, counts)
+    of = np.repeat(np.arange(len(window), dtype=np.int32), counts)
+    pos = (np.arange(len(grams)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint8)
     order = np.argsort(grams, kind="stable")
     unique, first = np.unique(grams[order], return_index=True)
     seen = np.zeros(1 << MAP_BITS, dtype=bool)
@@ -87,12 +91,37 @@ def build_index(items: list[tuple[int, str]]) -> dict:
     for k, w in enumerate(window):
         padded[k, : len(w)] = w
     return {
-        "owner": np.array(owner, np.int64), "size": size, "budget": budget, "bound": size + 1 - (budget + 1) * Q,
-        "grams": unique, "ptr": np.append(first, len(grams)).astype(np.int64), "of": of[order], "pos": pos[order],
+        "owners": list(owners.values()), "size": size, "budget": budget, "bound": size + 1 - (budget + 1) * Q,
+        "grams": unique, "ptr": np.append(first, len(grams)).astype(np.int32), "of": of[order], "pos": pos[order],
         "seen": seen, "windows": padded, "short": short,
     }
 
 
+def whole_words(index: dict, b: np.ndarray, ends: np.ndarray):
+    """(row, item, start, stop) of every short item where no letter or digit adjoins one of its own, the first spot in each row."""
+    letter = WORD[b]
+    for n in sorted({len(w) for w in index["short"]}):
+        if len(b) < n:
+            break
+        grams = np.lib.stride_tricks.sliding_window_view(b, n)
+        for w, items in index["short"].items():
+            if len(w) != n:
+                continue
+            own = np.frombuffer(w, np.uint8)
+            at = np.flatnonzero(b[: len(b) - n + 1] == own[0])
+            at = at[(grams[at] == own).all(axis=1)]
+            row = np.searchsorted(ends, at, side="right") - 1
+            ok = at + n <= ends[row + 1]
+            if WORD[own[0]]:
+                ok &= (at == ends[row]) | ~letter[np.maximum(at - 1, 0)]
+            if WORD[own[-1]]:
+                ok &= (at + n == ends[row + 1]) | ~letter[np.minimum(at + n, len(b) - 1)]
+            row, k = np.unique(row[ok], return_index=True)
+            for r, start in zip(row.tolist(), (at[ok][k] - ends[row]).tolist(), strict=True):
+                for item in items:
+                    yield r, item, start, start + n
+
+
 def align(index: dict, b: np.ndarray, begin: np.ndarray, end: np.ndarray, win: np.ndarray, low: np.ndarray):
     """(edits, start, stop) of the best occurrence of each window on the diagonals from `low`, in bytes of the text begin..end.
 
@@ -131,11 +160,8 @@ def search(index: dict, column: pa.Array) -> list[tuple[int, int, int, int, int]
         data, offsets = flat(column.slice(lo, hi - lo))
         b, ends, place = normalize(data, offsets)
         hits: dict[tuple[int, int], tuple[int, int, int]] = {}
-        if index["short"]:
-            for row in np.flatnonzero((np.diff(ends) > 0) & (np.diff(ends) <= Q)):
-                raw = b[ends[row] : ends[row + 1]].tobytes().rstrip(b" ")
-                if raw in index["short"]:
-                    hits[int(row), index["short"][raw]] = (0, 0, len(raw))
+        for r, item, start, stop in whole_words(index, b, ends):
+            hits[r, item] = (0, start, stop)
         code = codes(b)
         at = np.flatnonzero(index["seen"][(code >> np.uint64(64 - MAP_BITS)).astype(np.int64)]) if len(index["grams"]) else np.zeros(0, np.int64)
         if len(at):
@@ -146,14 +172,14 @@ def search(index: dict, column: pa.Array) -> list[tuple[int, int, int, int, int]
             whole = at + Q <= ends[row + 1]
             enough = np.bincount(row[whole], minlength=hi - lo)[row] >= index["bound"].min()
             at, g, row = at[whole & enough], g[whole & enough], row[whole & enough]
-            for key in regions(index, at - ends[row], g, row):
-                r, w, band = key
-                edits, start, stop = align(index, b, ends[r], ends[r + 1], w, band * BAND)
+            for r, w, low in regions(index, at - ends[row], g, row, np.diff(ends)):
+                edits, start, stop = align(index, b, ends[r], ends[r + 1], w, low)
                 for k in np.flatnonzero(edits <= index["budget"][w]):
-                    it = (int(r[k]), int(index["owner"][w[k]]))
                     new = (int(edits[k]), max(0, int(start[k])), int(stop[k]))
-                    if it not in hits or new < hits[it]:
-                        hits[it] = new
+                    for item in index["owners"][w[k]]:
+                        it = (int(r[k]), item)
+                        if it not in hits or new < hits[it]:
+                            hits[it] = new
         for (r, item), (edits, start, stop) in sorted(hits.items()):
             spots = []
             for x in (start, stop - 1):
@@ -163,28 +189,40 @@ def search(index: dict, column: pa.Array) -> list[tuple[int, int, int, int, int]
     return found
 
 
-def regions(index: dict, at: np.ndarray, g: np.ndarray, row: np.ndarray, step: int = 1 << 19):
-    """Batches of (row, window, band) that share as many q-grams as the lemma asks for. Rows are ascending."""
-    n = index["ptr"][g + 1] - index["ptr"][g]
+def regions(index: dict, at: np.ndarray, g: np.ndarray, row: np.ndarray, length: np.ndarray):
+    """Batches of (row, window, first diagonal) of bands that share as many q-grams as the lemma asks for. Rows, and places in them, ascend.
+
+    Places go in runs of about PAIRS pairs. A run yields the bands that begin in its
+    own stretch of the text, and reads on to where the last of these ends.
+    """
+    n = (index["ptr"][g + 1] - index["ptr"][g]).astype(np.int64)
     total = np.concatenate([[0], np.cumsum(n)])
-    windows, lo = len(index["size"]), 0
+    windows, lo, reach = len(index["size"]), 0, 2 * BAND + WINDOW
+    # Rows on one axis, further apart than a band reaches, each from a multiple of BAND.
+    span = (length + 4 * reach) // BAND * BAND
+    base = np.cumsum(span) - span + 2 * reach // BAND * BAND
+    place, least = base[row] + at, -reach
     while lo < len(at):
-        # Whole rows at a time, so that no region's count is split.
-        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + step, side="right")) - 1)
-        hi = int(np.searchsorted(row, row[hi - 1], side="right"))
+        cut = max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS, side="right")) - 1)
+        most = int(place[cut]) // BAND * BAND - WINDOW if cut < len(at) else 1 << 62
+        if most <= least:
+            most = least + BAND
+        hi = int(np.searchsorted(place, most + reach))
         m = n[lo:hi]
-        entry = np.repeat(index["ptr"][g[lo:hi]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-        band = (np.repeat(at[lo:hi], m) - index["pos"][entry]) // BAND + WINDOW
-        bands = int(band.max()) + 2
-        key = (np.repeat(row[lo:hi], m).astype(np.int64) * windows + index["of"][entry]) * bands + band
-        key, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-        w = key // bands % windows
+        entry = np.repeat(index["ptr"][g[lo:hi]].astype(np.int64), m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        band = (np.repeat(place[lo:hi], m) - index["pos"][entry]) // BAND
+        key = np.concatenate([band, band - 1])
+        own = np.tile(index["of"][entry], 2)
+        ok = (key * BAND >= least) & (key * BAND < most)
+        key, count = np.unique(key[ok] * windows + own[ok], return_counts=True)
+        w = key % windows
         ok = count >= index["bound"][w]
-        key, w = key[ok], w[ok]
-        for k in range(0, len(key), 4096):
-            part = key[k : k + 4096]
-            yield part // bands // windows, w[k : k + 4096], part % bands - WINDOW
-        lo = hi
+        start, w = key[ok] // windows * BAND, w[ok]
+        r = np.searchsorted(base, start + reach, side="right") - 1
+        for k in range(0, len(start), 4096):
+            yield r[k : k + 4096], w[k : k + 4096], start[k : k + 4096] - base[r[k : k + 4096]]
+        least = most
+        lo = int(np.searchsorted(place, least))
 
 
 def blocks(benchmark: DataFrame, item: str, text: str):
@@ -203,10 +241,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     """(doc_id, item_id, edits, start, stop): benchmark items of which a window occurs in a document within the edit budget.
 
     One row per document row and item, with its best occurrence in code points
-    of the original text. Items under Q bytes count only where they are a whole
-    text; null or blank items and texts match nothing. Repeated rows are judged
-    one by one. An empty table on either side gives an empty result. Other
-    columns are not read, whatever their names.
+    of the original text. An item of fewer than Q bytes (lower-cased, runs of blanks
+    as one) is found where it stands as whole words; of equal items each is
+    reported. Null or blank items and texts match nothing. Repeated rows are
+    judged one by one. An empty table on either side gives an empty result.
+    Other columns are not read, whatever their names. A text needs memory in
+    proportion to its own length.
     """
     slim, spark, out = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")), docs.sparkSession, None
     for items in blocks(benchmark, item, item_text):
@@ -227,9 +267,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of `docs` in which no benchmark item occurs, unchanged; nothing is shuffled.
 
-    Nulls, empty tables, repeated rows: as in find_contamination.
+    Nulls, empty tables, repeated rows: as in find_contamination. Other columns
+    may have any names.
     """
-    where, spark, mark = docs.columns.index(text), docs.sparkSession, "corvid_contaminated"
+    where, spark, mark = docs.columns.index(text), docs.sparkSession, unused(docs, "contaminated")[0]
     for items in blocks(benchmark, item, item_text):
         shared = spark.sparkContext.broadcast(build_index(items))
 

@@ -359,13 +359,16 @@ def test_decontamination(spark, docs, sf):
             copy[rng.randrange(len(copy))] = "#"
         rows.append((k, "Some words before. " + "".join(c if c == "ß" else c.upper() for c in copy).replace(" ", "\n  ") + " and after"))
         want.add((k, item))
-    bench = spark.createDataFrame([*items, (900, None), (901, ""), (902, "tiny")], "item_id long, text string")
-    frame = spark.createDataFrame([*rows, (500, None), (501, ""), (502, " Tiny "), (503, "not tiny")], "doc_id long, text string")
+    bench = spark.createDataFrame([*items, (900, None), (901, ""), (902, "tiny"), (903, " TINY"), (904, items[0][1])], "item_id long, text string")
+    frame = spark.createDataFrame([*rows, (500, None), (501, ""), (502, " Tiny "), (503, "not  tiny, no"), (504, "tinyx xtiny"), (505, " ")], "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(frame, bench).collect()}
-    assert want | {(502, 902)} <= got
+    assert want | {(d, i) for d in (502, 503) for i in (902, 903)} | {(0, 904)} <= got
+    assert not {d for d, _ in got} & {500, 501, 504, 505}
     clean = spark.createDataFrame([(r.doc_id, r.text[::-1]) for r in docs.limit(50).collect()], "doc_id long, text string")
     assert decontaminate.find_contamination(clean, bench).count() == 0
-    assert {r.doc_id for r in decontaminate.decontaminate(frame, bench).collect()} == {500, 501, 503}
+    assert {r.doc_id for r in decontaminate.decontaminate(frame, bench).collect()} == {500, 501, 504, 505}
+    clash = decontaminate.decontaminate(frame.withColumns({"contaminated": F.lit("x"), "Contaminated_": F.lit("y")}), bench)
+    assert {tuple(r)[0] for r in clash.collect()} == {500, 501, 504, 505} and clash.columns == ["doc_id", "text", "contaminated", "Contaminated_"]
     assert decontaminate.find_contamination(frame, bench.limit(0)).count() == 0
 
 
@@ -380,6 +383,58 @@ def test_decontamination_against_all_exact_passages(spark, sf):
             assert " ".join(text[r.doc_id][r.start : r.stop].lower().split()) in " ".join(item[r.item_id].lower().split())
 
 
+def least_edits(text: bytes, windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each window, the edits of its best occurrence anywhere in the text, by the whole matrix."""
+    n, width = windows.shape
+    ramp = np.arange(width + 1)
+    column = np.tile(ramp, (n, 1))
+    best = column[np.arange(n), sizes].copy()
+    for c in text:
+        new = np.zeros_like(column)
+        new[:, 1:] = np.minimum(column[:, :-1] + (windows != c), column[:, 1:] + 1)
+        column = np.minimum.accumulate(new - ramp, axis=1) + ramp
+        best = np.minimum(best, column[np.arange(n), sizes])
+    return best
+
+
+@pytest.mark.parametrize("pairs", [1 << 19, 300])
+def test_decontamination_finds_all_and_only_windows_within_the_budget(spark, sf, monkeypatch, pairs):
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+    rng = random.Random(4)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()][:12] + [(99, "abcabcabcabd" * 5), (98, "ein kurzes stück")]
+    index = decontaminate.build_index(items)
+    texts = []
+    for _ in range(200):
+        t = rng.choice(items)[1]
+        at, n = rng.randrange(max(1, len(t) - 60)), rng.randrange(20, 260)
+        part = list(t[at : at + n])
+        for _ in range(rng.randrange(0, 1 + len(part) // 12)):
+            part[rng.randrange(len(part))] = rng.choice(["", "x", "yz", " "])
+        texts.append("".join(rng.choice("abcde ") for _ in range(rng.randrange(80))) + "".join(part) * rng.choice([1, 1, 2]) + "abcabc" * rng.randrange(20))
+    got = {}
+    for r, item, edits, _, _ in decontaminate.search(index, pa.array(texts)):
+        got[r, item] = edits
+    want = {}
+    for r, t in enumerate(texts):
+        b, _, _ = decontaminate.normalize(*decontaminate.flat(pa.array([t])))
+        best = least_edits(b.tobytes(), index["windows"], index["size"])
+        for w in np.flatnonzero(best <= index["budget"]):
+            for item in index["owners"][w]:
+                want[r, item] = min(want.get((r, item), 99), int(best[w]))
+    assert got == want and len(want) > 20
+
+
+def test_decontamination_of_long_repetitive_text():
+    """1 MB of one letter against items of that letter: bounded memory, and the items found."""
+    import resource
+
+    index = decontaminate.build_index([(k, "a" * 5000) for k in range(50)])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = decontaminate.search(index, pa.array(["a" * (1 << 20), "ab" * 1000]))
+    assert {x[1] for x in got if x[0] == 0} == set(range(50)) and all(x[2] == 0 for x in got if x[0] == 0)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20
+
+
 def test_alignment_is_the_edit_distance():
     rng = random.Random(8)
     for _ in range(40):
