@@ -6,10 +6,9 @@ within its class a word has its share of the corpus. A document's score is the
 sum of the log-probabilities of all its words, each given both sides.
 
 Word counts cover the whole corpus. The network is trained in numpy on the
-executors: each of ROUNDS rounds takes every ROUNDS-th position of all texts,
-another one each time, so that every position is a target once. A partition
-takes steps on its own texts, and the partitions' weights are averaged by the
-positions they saw.
+executors: a hash of the text deals the documents to STEPS batches, and each
+batch's gradient, summed over every position of its texts, makes one step. So
+the weights depend on the corpus, not on its order or its partitions.
 """
 
 from __future__ import annotations
@@ -18,20 +17,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType
 
-from corvid.llm.frames import extended
+from corvid.llm.frames import extended, unused
 from corvid.llm.textbytes import LOWER, flat, mix, slices, words
 from corvid.llm.toplist import count_cut
 from corvid.sources.tables import materialize
 
 #: Frequent words that are a class of their own; the others fall into SUFFIXES classes by their last three bytes.
-OWN, SUFFIXES = 64, 64
+OWN, SUFFIXES = 128, 64
 CLASSES = OWN + SUFFIXES
 #: Words whose shares go to every executor; the counts of the others are joined to the words that texts hold.
 VOCABULARY = 1 << 15
 SIDE, EMBED, HIDDEN = 2, 8, 16
-ROUNDS, BATCH = 2, 512
+STEPS, RATE = 16, 0.1
 PAD = CLASSES
 SHAPES = {"e": (CLASSES + 1, EMBED), "w": (2 * SIDE * EMBED, HIDDEN), "b": (HIDDEN,), "v": (HIDDEN, CLASSES), "c": (CLASSES,)}
 
@@ -44,14 +43,18 @@ def unpack(flat_weights) -> dict:
     out, at = {}, 0
     for k, shape in SHAPES.items():
         n = int(np.prod(shape))
-        out[k] = np.asarray(flat_weights[at : at + n], np.float32).reshape(shape)
+        out[k] = np.asarray(flat_weights[at : at + n]).reshape(shape)
         at += n
     return out
 
 
-def first_weights(seed: int = 17) -> np.ndarray:
+def first_weights(total: np.ndarray | None = None, seed: int = 17) -> np.ndarray:
+    """Small random weights; the output bias is that of the classes' totals, where given."""
     rng = np.random.default_rng(seed)
-    return pack({k: (rng.standard_normal(s) * 0.1 * (len(s) > 1)).astype(np.float32) for k, s in SHAPES.items()})
+    p = {k: rng.standard_normal(s) * 0.1 * (len(s) > 1) for k, s in SHAPES.items()}
+    if total is not None:
+        p["c"] = np.log((total + 1) / (total.sum() + CLASSES))
+    return pack(p)
 
 
 def suffix_class(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -120,7 +123,7 @@ def lexicon_and_others(docs: DataFrame, text: str) -> tuple[dict, DataFrame | No
     share = np.log(count / (total[cls] + 1)) if len(cls) else count
     order = np.argsort(word)
     others = counts.where((F.col("n") < F.lit(cut)) & (F.col("n") > 1)).groupBy("word").agg(F.sum("n").alias("n"))
-    return {"word": word[order], "cls": cls[order], "share": share[order], "rest": -np.log(total + 1)}, None if others.isEmpty() else others
+    return {"word": word[order], "cls": cls[order], "share": share[order], "rest": -np.log(total + 1), "total": total}, None if others.isEmpty() else others
 
 
 def listed(lex: dict, hashed: np.ndarray) -> np.ndarray:
@@ -154,7 +157,7 @@ def contexts(cls: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def log_probabilities(p: dict, around: np.ndarray, cls: np.ndarray, step: int = 1 << 14) -> np.ndarray:
-    out = np.zeros(len(cls))
+    p, out = {k: v.astype(np.float32) for k, v in p.items()}, np.zeros(len(cls))
     for lo in range(0, len(cls), step):
         h = np.tanh(p["e"][around[lo : lo + step]].reshape(-1, 2 * SIDE * EMBED) @ p["w"] + p["b"])
         z = h @ p["v"] + p["c"]
@@ -164,131 +167,172 @@ def log_probabilities(p: dict, around: np.ndarray, cls: np.ndarray, step: int =
     return out
 
 
-def descend(p: dict, past: dict, around: np.ndarray, cls: np.ndarray, rate: float) -> None:
-    """One Adagrad step on the mean cross entropy."""
-    x = p["e"][around].reshape(len(cls), -1)
-    h = np.tanh(x @ p["w"] + p["b"])
-    z = h @ p["v"] + p["c"]
-    z -= z.max(axis=1, keepdims=True)
-    d = np.exp(z, out=z)
-    d /= d.sum(axis=1, keepdims=True)
-    d[np.arange(len(cls)), cls] -= 1
-    d /= len(cls)
-    dh = (d @ p["v"].T) * (1 - h * h)
-    dx = (dh @ p["w"].T).reshape(-1, EMBED)
-    de = np.stack([np.bincount(around.ravel(), dx[:, k], minlength=CLASSES + 1) for k in range(EMBED)], axis=1).astype(np.float32)
-    for k, g in (("e", de), ("w", x.T @ dh), ("b", dh.sum(axis=0)), ("v", h.T @ d), ("c", d.sum(axis=0))):
-        past[k] += g * g
-        p[k] = p[k] - np.float32(rate) * g / (np.sqrt(past[k]) + np.float32(1e-6))
-
-
-def targets(n: np.ndarray, turn: int) -> np.ndarray:
-    """Which words are targets of a round: those of every ROUNDS-th place in their text."""
-    return (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) % ROUNDS == turn
-
-
-def train(docs: DataFrame, lex: dict, text: str) -> np.ndarray:
-    """Averaged weights after ROUNDS rounds over all partitions."""
-    spark = docs.sparkSession
-    weights = first_weights()
-    for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((lex, weights))
-
-        def run(batches, shared=shared, turn=turn):
-            lex, start = shared.value
-            p, seen = unpack(start), 0
-            past = {k: np.full_like(v, 1e-4) for k, v in p.items()}
-            held, many = [], 0
-
-            def learn():
-                around, cls = np.concatenate([a for a, _ in held]), np.concatenate([c for _, c in held])
-                order = np.random.default_rng(len(cls)).permutation(len(cls))
-                for lo in range(0, len(cls), BATCH):
-                    descend(p, past, around[order[lo : lo + BATCH]], cls[order[lo : lo + BATCH]], 0.1 / (1 + turn))
+def gradient(p: dict, around: np.ndarray, cls: np.ndarray, step: int = 1 << 12) -> np.ndarray:
+    """The packed gradient of the summed cross entropy, in double precision."""
+    out = {k: np.zeros(s) for k, s in SHAPES.items()}
+    for lo in range(0, len(cls), step):
+        near, own = around[lo : lo + step], cls[lo : lo + step]
+        x = p["e"][near].reshape(len(own), -1)
+        h = np.tanh(x @ p["w"] + p["b"])
+        z = h @ p["v"] + p["c"]
+        z -= z.max(axis=1, keepdims=True)
+        d = np.exp(z, out=z)
+        d /= d.sum(axis=1, keepdims=True)
+        d[np.arange(len(own)), own] -= 1
+        dh = (d @ p["v"].T) * (1 - h * h)
+        dx = (dh @ p["w"].T).reshape(-1, EMBED)
+        for k in range(EMBED):
+            out["e"][:, k] += np.bincount(near.ravel(), dx[:, k], minlength=CLASSES + 1)
+        for k, g in (("w", x.T @ dh), ("b", dh.sum(axis=0)), ("v", h.T @ d), ("c", d.sum(axis=0))):
+            out[k] += g
+    return pack(out)
+
+
+def classes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(classes of all words, words of each row) of what `prepared` packed."""
+    parts = [np.frombuffer(x or b"", np.uint8) for x in column.to_pylist()]
+    return np.concatenate([np.zeros(0, np.uint8), *parts]).astype(np.int64), np.array([len(x) for x in parts], np.int64)
+
+
+def prepared(docs: DataFrame, lex: dict, text: str, names: list[str], keep_text: bool, open_words: bool) -> DataFrame:
+    """`docs` with, under `names`: batch number, class of every word, words, sum of log shares, and the words that `lex` lacks."""
+    assert CLASSES < 256
+    columns = [c for c in docs.columns if c != text or keep_text]
+    dealt = docs.withColumn(names[0], F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(STEPS)).cast("int"))
+    where, keep, shared = docs.columns.index(text), [docs.columns.index(c) for c in columns], docs.sparkSession.sparkContext.broadcast(lex)
 
+    def run(batches):
+        lex = shared.value
+        for b in batches:
+            packs, sizes, sums = [], [np.zeros(0, np.int64)], [np.zeros(0)]
+            rare, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for lo, hi in slices(b.column(where)):
+                hashed, suffix, n = tokens(b.column(where).slice(lo, hi - lo))
+                cls, share = classed(lex, hashed, suffix)
+                row = np.repeat(np.arange(hi - lo), n)
+                ends = np.cumsum(n).tolist()
+                whole = cls.astype(np.uint8).tobytes()
+                packs += [whole[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+                sizes.append(n)
+                sums.append(np.bincount(row, share, minlength=hi - lo))
+                out = ~listed(lex, hashed) if open_words else np.zeros(len(hashed), bool)
+                rare.append(hashed[out])
+                counts.append(np.bincount(row[out], minlength=hi - lo))
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rare).view(np.int64)))
+            found = [pa.array(packs, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(sums)), words]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), b.column(b.num_columns - 1), *found], names=[*columns, *names])
+
+    kinds = dict(zip(names, (IntegerType(), BinaryType(), LongType(), DoubleType(), ArrayType(LongType())), strict=True))
+    return dealt.mapInArrow(run, extended(docs.select(*columns), **kinds))
+
+
+def train(prep: DataFrame, lex: dict, batch: str, cls: str) -> np.ndarray:
+    """Weights after one step of Adam for each batch of `prepared` documents; a batch without a word makes none."""
+    spark = prep.sparkSession
+    weights = first_weights(lex["total"])
+    m, v, taken = np.zeros_like(weights), np.zeros_like(weights), 0
+    for turn in range(STEPS):
+        shared = spark.sparkContext.broadcast(weights)
+
+        def run(batches, shared=shared):
+            p, sums, seen = unpack(shared.value), np.zeros(len(shared.value)), 0
             for b in batches:
-                for lo, hi in slices(b.column(0)):
-                    hashed, suffix, n = tokens(b.column(0).slice(lo, hi - lo))
-                    cls, _ = classed(lex, hashed, suffix)
-                    mine = targets(n, turn)
-                    held.append((contexts(cls, n)[mine], cls[mine]))
-                    many += int(mine.sum())
-                    seen += int(mine.sum())
-                    if many >= 1 << 16:
-                        learn()
-                        held, many = [], 0
-            if many:
-                learn()
+                lo = 0
+                while lo < b.num_rows:
+                    # Some rows at a time, so that contexts need bounded memory but for one text's own.
+                    hi, many = lo, 0
+                    while hi < b.num_rows and (hi == lo or many < 1 << 16):
+                        many += len(b.column(0)[hi].as_py())
+                        hi += 1
+                    own, n = classes_of(b.column(0).slice(lo, hi - lo))
+                    sums += gradient(p, contexts(own, n), own)
+                    seen, lo = seen + len(own), hi
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([(pack(p).astype(float) * seen).tolist()], pa.list_(pa.float64())), pa.array([float(seen)])], names=["w", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64())), pa.array([float(seen)])], names=["g", "n"])
 
         # The sums are taken by position, so what reaches the driver doesn't grow with the partitions.
-        own = docs.select(text).mapInArrow(run, "w array<double>, n double")
-        sums = own.select("n", F.posexplode("w").alias("k", "w")).groupBy("k").agg((F.sum("w") / F.sum("n")).alias("w")).collect()
-        if sums:
-            weights = np.zeros(len(weights), np.float32)
-            weights[[r.k for r in sums]] = [r.w for r in sums]
+        own = prep.where(F.col(batch) == turn).select(cls).mapInArrow(run, "g array<double>, n double")
+        rows = own.select("n", F.posexplode("g").alias("k", "g")).groupBy("k").agg((F.sum("g") / F.sum("n")).alias("g")).collect()
+        if rows:
+            g = np.zeros_like(weights)
+            g[[r.k for r in rows]] = [r.g for r in rows]
+            taken += 1
+            m, v = 0.8 * m + 0.2 * g, 0.95 * v + 0.05 * g * g
+            rate = RATE * (1 - 0.8 * turn / STEPS)
+            weights = weights - rate * (m / (1 - 0.8**taken)) / (np.sqrt(v / (1 - 0.95**taken)) + 1e-4)
     return weights
 
 
+def inner_names(docs: DataFrame) -> list[str]:
+    return unused(docs, "lm_batch", "lm_classes", "lm_words", "lm_share", "lm_rare")
+
+
 def fit(docs: DataFrame, text: str = "text") -> dict:
     """Lexicon and network weights of a corpus. An empty corpus gives a model that knows no word."""
     lex, others = lexicon_and_others(docs, text)
-    return {"lex": lex, "weights": train(docs, lex, text), "others": others}
+    own = docs.select(text)
+    names = inner_names(own)
+    prep = materialize(prepared(own, lex, text, names, False, False).select(*names[:2]))
+    return {"lex": lex, "weights": train(prep, lex, *names[:2]), "others": others}
+
+
+def scored(prep: DataFrame, model: dict, names: list[str], columns: list[str]) -> DataFrame:
+    """`columns` of `prepared` documents with the three score columns. With other words to be joined, `prep` has to be written already."""
+    _, cls, tokens_, share, rare = names
+    others, shared = model.get("others"), prep.sparkSession.sparkContext.broadcast(model["weights"])
+    picked = prep.select(*columns, cls, share, rare, F.col(tokens_).alias("lm_tokens"))
+    at = len(columns)
+
+    def run(batches):
+        p = unpack(shared.value)
+        for b in batches:
+            total = b.column(at + 1).to_numpy(zero_copy_only=False).copy()
+            lo = 0
+            while lo < b.num_rows:
+                hi, many = lo, 0
+                while hi < b.num_rows and (hi == lo or many < 1 << 16):
+                    many += len(b.column(at)[hi].as_py())
+                    hi += 1
+                own, n = classes_of(b.column(at).slice(lo, hi - lo))
+                total[lo:hi] += np.bincount(np.repeat(np.arange(hi - lo), n), log_probabilities(p, contexts(own, n), own), minlength=hi - lo)
+                lo = hi
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(at)), b.column(at + 2), b.column(at + 3), pa.array(total)], names=[*columns, rare, "lm_tokens", "lm_logprob"])
+
+    out = picked.mapInArrow(run, extended(prep.select(*columns), **{rare: ArrayType(LongType()), "lm_tokens": LongType(), "lm_logprob": DoubleType()}))
+    if others is not None:
+        # Rows are numbered once, in what is written, so that the sums find them again.
+        row, more = unused(out, "lm_row", "lm_more")
+        out = materialize(out.withColumn(row, F.monotonically_increasing_id()))
+        sums = out.select(row, F.explode(rare).alias("word")).join(others, "word").groupBy(row).agg(F.sum(F.log("n")).alias(more))
+        out = out.join(sums, row, "left").withColumn("lm_logprob", F.col("lm_logprob") + F.coalesce(more, F.lit(0.0)))
+    return out.select(*columns, "lm_tokens", "lm_logprob", F.when(F.col("lm_tokens") > 0, F.col("lm_logprob") / F.col("lm_tokens")).alias("lm_mean"))
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", keep_text: bool = True) -> DataFrame:
     """`docs` with lm_tokens, lm_logprob (sum over all words) and lm_mean (per word).
 
     Null, empty or blank texts have no words: 0, 0.0 and a null mean. Rows and
-    other columns pass unchanged; an input column of a new name is replaced.
-    An empty table gives an empty table. Without `keep_text` the text is left
-    out, which spares its copy where other words' counts have to be joined.
+    other columns pass unchanged, whatever their names; an input column of a
+    new name is replaced. An empty table gives an empty table. Without
+    `keep_text` the text is left out, which spares its copy where other words'
+    counts have to be joined.
     """
-    names = ["lm_tokens", "lm_logprob", "lm_mean"]
-    docs = docs.drop(*names)
-    others = model.get("others")
-    open_words = others is not None
-    columns = [c for c in docs.columns if c != text or keep_text]
-    where, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast((model["lex"], model["weights"]))
+    docs = docs.drop("lm_tokens", "lm_logprob", "lm_mean")
+    names = inner_names(docs)
+    prep = prepared(docs, model["lex"], text, names, keep_text, model.get("others") is not None)
+    return scored(prep, model, names, [c for c in docs.columns if c != text or keep_text])
 
-    def run(batches):
-        lex, p = shared.value[0], unpack(shared.value[1])
-        for b in batches:
-            sizes, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
-            rare, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for lo, hi in slices(b.column(where)):
-                hashed, suffix, n = tokens(b.column(where).slice(lo, hi - lo))
-                cls, share = classed(lex, hashed, suffix)
-                row = np.repeat(np.arange(hi - lo), n)
-                value = log_probabilities(p, contexts(cls, n), cls) + share
-                sizes.append(n)
-                sums.append(np.bincount(row, value, minlength=hi - lo))
-                if open_words:
-                    out = ~listed(lex, hashed)
-                    rare.append(hashed[out])
-                    counts.append(np.bincount(row[out], minlength=hi - lo))
-            n, total = np.concatenate(sizes), np.concatenate(sums)
-            found = [*(b.column(c) for c in columns), pa.array(n), pa.array(total)]
-            if open_words:
-                ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
-                found.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rare).view(np.int64))))
-            yield pa.RecordBatch.from_arrays(found, names=[*columns, *names[:2], *(["corvid_words"] if open_words else [])])
-
-    kinds = {"lm_tokens": LongType(), "lm_logprob": DoubleType()}
-    if open_words:
-        kinds["corvid_words"] = ArrayType(LongType())
-    out = docs.mapInArrow(run, extended(docs.select(*columns), **kinds))
-    if open_words:
-        # Rows are numbered once, in what is written, so that the sums find them again.
-        out = materialize(out.withColumn("corvid_row", F.monotonically_increasing_id()))
-        words = out.select("corvid_row", F.explode("corvid_words").alias("word"))
-        more = words.join(others, "word").groupBy("corvid_row").agg(F.sum(F.log("n")).alias("corvid_more"))
-        out = out.drop("corvid_words").join(more, "corvid_row", "left").withColumn("lm_logprob", F.col("lm_logprob") + F.coalesce("corvid_more", F.lit(0.0)))
-    return out.select(*columns, *names[:2], F.when(F.col("lm_tokens") > 0, F.col("lm_logprob") / F.col("lm_tokens")).alias("lm_mean"))
+
+def fit_and_score(docs: DataFrame, text: str = "text") -> DataFrame:
+    """`score` of `docs`, without their text, under a model of themselves; words are looked up once for both."""
+    docs = docs.drop("lm_tokens", "lm_logprob", "lm_mean")
+    lex, others = lexicon_and_others(docs, text)
+    names = inner_names(docs)
+    prep = materialize(prepared(docs, lex, text, names, False, others is not None))
+    return scored(prep, {"weights": train(prep, lex, *names[:2]), "others": others}, names, [c for c in docs.columns if c != text])
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-log-likelihood of every document under a model of all of them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs, fit(docs), keep_text=False)
+    return fit_and_score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

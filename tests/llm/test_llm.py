@@ -743,8 +743,13 @@ def test_pii(spark, odd, none, pii_model):
     assert pii.redact(spark.createDataFrame([("x a.b@c.de y",)], "text string"), model).first().text == "x <email> y"
 
 
-def test_lm_scores(spark, docs, odd, none):
-    model = lm_score.fit(docs)
+@pytest.fixture(scope="module")
+def lm(docs):
+    return lm_score.fit(docs)
+
+
+def test_lm_scores(spark, docs, odd, none, lm):
+    model = lm
     got = {r.doc_id: r for r in lm_score.score(docs, model).collect()}
     lex, p = model["lex"], lm_score.unpack(model["weights"])
     for d in docs.limit(5).collect():
@@ -757,28 +762,54 @@ def test_lm_scores(spark, docs, odd, none):
             total += z[cls[k]] - np.log(np.exp(z).sum()) + share[k]
         assert abs(total - got[d.doc_id].lm_logprob) < 1e-3 * abs(total)
         assert got[d.doc_id].lm_tokens == len(d.text.split()) == n[0]
-    first = {"lex": lex, "weights": lm_score.first_weights()}
+    first = {"lex": lex, "weights": lm_score.first_weights(lex["total"])}
     assert sum(r.lm_logprob for r in got.values()) > sum(r.lm_logprob for r in lm_score.score(docs, first).collect())
     out = {r.doc_id: r for r in lm_score.score(odd, model).collect()}
     assert (out[3].lm_tokens, out[3].lm_logprob, out[3].lm_mean) == (0, 0.0, None)
-    assert lm_score.score(none, lm_score.fit(none)).count() == 0
+    assert lm_score.score(none, model).count() == 0
+    clash = docs.withColumns({c: F.lit("x") for c in ("lm_tokens", "lm_batch", "LM_words", "lm_rare", "lm_row", "lm_share")})
+    again = lm_score.score(clash, model).collect()
+    assert {r.doc_id: r.lm_logprob for r in again} == {k: r.lm_logprob for k, r in got.items()} and {r.lm_batch + r.LM_words + r.lm_rare + r.lm_row + r.lm_share for r in again} == {"x" * 5}
+
+
+def test_lm_of_nothing(none):
+    assert lm_score.fit_and_score(none).count() == 0
+
+
+def test_lm_scores_do_not_depend_on_partitions(docs):
+    few, many = (({r.doc_id: r.lm_logprob for r in lm_score.fit_and_score(docs.select("doc_id", "text").repartition(n)).collect()}) for n in (2, 16))
+    assert all(abs(few[k] - many[k]) <= 1e-6 * max(1, abs(few[k])) for k in few) and few.keys() == many.keys()
+
+
+def test_lm_gradient():
+    rng = np.random.default_rng(4)
+    n = np.array([7, 1, 0, 12])
+    cls = rng.integers(0, lm_score.CLASSES, n.sum())
+    around, w = lm_score.contexts(cls, n), lm_score.first_weights() * 3
+    loss = lambda w: -sum((z := np.tanh(p["e"][a].ravel() @ p["w"] + p["b"]) @ p["v"] + p["c"])[c] - np.log(np.exp(z).sum()) for p in [lm_score.unpack(w)] for a, c in zip(around, cls, strict=True))
+    g = lm_score.gradient(lm_score.unpack(w), around, cls, step=5)
+    for k in rng.integers(0, len(w), 60):
+        up, down = w.copy(), w.copy()
+        up[k] += 1e-5
+        down[k] -= 1e-5
+        assert abs((loss(up) - loss(down)) / 2e-5 - g[k]) < 1e-5
 
 
 def test_lm_training_takes_every_position(spark, docs, monkeypatch):
     seen = spark.sparkContext.accumulator(0)
-    plain = lm_score.descend
+    plain = lm_score.gradient
 
-    def counted(p, past, around, cls, rate):
+    def counted(p, around, cls):
         seen.add(len(cls))
-        plain(p, past, around, cls, rate)
+        return plain(p, around, cls)
 
-    monkeypatch.setattr(lm_score, "descend", counted)
-    lm_score.train(docs, lm_score.lexicon(docs, "text"), "text")
+    monkeypatch.setattr(lm_score, "gradient", counted)
+    lm_score.fit(docs)
     assert seen.value == sum(len(r.text.split()) for r in docs.collect())
 
 
-def test_lm_words_beyond_the_vocabulary_keep_their_counts(spark, docs, odd, monkeypatch):
-    whole = lm_score.fit(docs)
+def test_lm_words_beyond_the_vocabulary_keep_their_counts(spark, docs, odd, lm, monkeypatch):
+    whole = lm
     monkeypatch.setattr(lm_score, "VOCABULARY", 200)
     part = lm_score.fit(docs)
     assert whole["others"] is None and part["others"] is not None and len(part["lex"]["word"]) <= 200
