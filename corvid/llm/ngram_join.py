@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm.components import components
+from corvid.llm.frames import unused
 from corvid.llm.textbytes import flat, mix, slices, words
 from corvid.llm.toplist import count_cut
 from corvid.sources.tables import materialize
@@ -35,6 +36,8 @@ from corvid.sources.tables import materialize
 HOT = 1 << 21
 #: Tokens in one piece of a group.
 BLOCK_TOKENS = 1 << 19
+#: Parts that the members of one group are dealt to, where they are joined to their group.
+SALTS = 16
 #: Buckets of the bit map that spares documents which are in no group.
 MAP = 1 << 22
 NEAR = 1 << 20
@@ -337,7 +340,10 @@ def candidate_groups(members: DataFrame) -> DataFrame:
     """(g, block, c1, c2, b, k, s1, s2, n): the members of each piece g. A group of more than BLOCK_TOKENS is split into b pieces, each with a copy of the center as block -1."""
     members = materialize(members)
     blocks = members.groupBy("c1", "c2").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).cast("int").alias("b"))
-    rows = members.join(blocks, ["c1", "c2"]).withColumn("center", F.expr("b > 1 and m1 = c1 and m2 = c2"))
+    # Only split groups are joined, one row for each BLOCK_TOKENS of members at most; salts spread a group of very many.
+    split = blocks.where("b > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = members.withColumn("salt", F.pmod(F.xxhash64("m1"), F.lit(SALTS)).cast("int")).join(split, ["c1", "c2", "salt"], "left")
+    rows = rows.withColumn("b", F.coalesce("b", F.lit(1))).withColumn("center", F.expr("b > 1 and m1 = c1 and m2 = c2"))
     home = F.pmod(F.xxhash64("m1", "m2"), F.col("b").cast("long")).cast("int")
     rows = rows.withColumn("k", F.explode(F.when(F.col("center"), F.sequence(F.lit(0), F.col("b") - 1)).otherwise(F.array(home))))
     return rows.select(F.concat_ws(":", "c1", "c2", "k").alias("g"), F.when(F.col("center"), -1).otherwise(0).alias("block"), "c1", "c2", "b", "k", F.col("m1").alias("s1"), F.col("m2").alias("s2"), "n")
@@ -420,14 +426,15 @@ def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id",
 
 
 def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = 3, percent: int = 90) -> DataFrame:
-    """`docs` without the documents whose component has a smaller id. Rows of one id stay or go together."""
+    """`docs` without the documents whose component has a smaller id. Rows of one id stay or go together; other columns may have any names."""
     found = jaccard_components(docs, text, id, width, percent)
-    gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("corvid_gone")).distinct())
+    lost, spot, of = unused(docs, "gone_id", "gone_at", "id_at")
+    gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias(lost)).distinct())
     # Rows whose hash no dropped id has stay without a shuffle; the hashes are NEAR at most.
     at = F.pmod(F.xxhash64(F.col(id).cast("long")), F.lit(NEAR)).cast("int")
-    near = gone.select(F.pmod(F.xxhash64("corvid_gone"), F.lit(NEAR)).cast("int").alias("corvid_at")).distinct()
-    flagged = lambda how: docs.withColumn("corvid_of", at).join(F.broadcast(near), F.col("corvid_of") == F.col("corvid_at"), how).drop("corvid_of", "corvid_at")
-    kept = flagged("left_semi").join(gone, F.col(id) == F.col("corvid_gone"), "left_anti")
+    near = gone.select(F.pmod(F.xxhash64(lost), F.lit(NEAR)).cast("int").alias(spot)).distinct()
+    flagged = lambda how: docs.withColumn(of, at).join(F.broadcast(near), F.col(of) == F.col(spot), how).drop(of, spot)
+    kept = flagged("left_semi").join(gone, F.col(id) == F.col(lost), "left_anti")
     return flagged("left_anti").unionByName(kept)
 
 

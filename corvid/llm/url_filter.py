@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvid.llm.frames import unused
+
 #: Rule string -> verdict. A rule is host + path prefix; it holds for the host and all its subdomains.
 RULES = {
     "com/en/": "block",
@@ -40,8 +42,8 @@ LABELLED = [
     ("https://schule.example/de/unterricht/biologie", 0),
     ("https://biblioteca.example/es/libros/novela", 0),
     ("https://maths.example/fr/cours/algebre/3", 0),
-    ("https://blog.thering.example/en/4512", 0),
-    ("http://www.andwh.example/de/2231.html", 0),
+    ("https://blog.orchestra.example/2019/season-opening", 0),
+    ("http://www.bookbinding.example/articles/sewing.html", 0),
     ("http://cheap-pills-online.example/buy/viagra-discount", 1),
     ("http://free-casino-bonus.example/slots/win-now?ref=aff", 1),
     ("https://xxx-hot-videos.example/porn/free-sex-clip", 1),
@@ -153,17 +155,18 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: dict[str, str] | None
     replaced. An empty table gives an empty table.
     """
     weights, bias = model or fit(pages.sparkSession)
+    judged, seen = unused(pages, "rule_verdict", "url_grams")
     host, path = url_parts(F.col(url))
     rule, verdict = rule_for(F.col("host"), F.col("path"), RULES if rules is None else rules)
     table = F.lit(weights)
-    score = F.aggregate("corvid_grams", F.lit(0.0), lambda s, g: s + F.get(table, g))
-    norm = F.sqrt(F.greatest(F.lit(1), F.size("corvid_grams")).cast("double"))
+    score = F.aggregate(seen, F.lit(0.0), lambda s, g: s + F.get(table, g))
+    norm = F.sqrt(F.greatest(F.lit(1), F.size(seen)).cast("double"))
     return (
         pages.withColumns({"host": host, "path": path})
-        .withColumns({"rule": rule, "corvid_verdict": verdict, "corvid_grams": grams(F.col("host"), F.col("path"))})
+        .withColumns({"rule": rule, judged: verdict, seen: grams(F.col("host"), F.col("path"))})
         .withColumn("probability", 1 / (1 + F.exp(-(score / norm + bias))))
-        .withColumn("verdict", F.coalesce("corvid_verdict", F.when(F.col("probability") >= threshold, "block").otherwise("allow")))
-        .drop("corvid_grams", "corvid_verdict")
+        .withColumn("verdict", F.coalesce(judged, F.when(F.col("probability") >= threshold, "block").otherwise("allow")))
+        .drop(seen, judged)
     )
 
 

@@ -345,6 +345,25 @@ def test_url_filter(spark, sf):
         assert r.verdict == (url_filter.RULES[r.rule] if r.rule else ("block" if r.probability >= 0.5 else "allow"))
 
 
+def test_url_filter_on_odd_tables(spark):
+    frame = spark.createDataFrame([("http://a.com/en/1",)], "url string")
+    clash = frame.withColumns({c: F.lit("x") for c in ("rule_verdict", "url_grams", "host", "probability", "verdict")})
+    r = url_filter.filter_urls(clash).first()
+    assert (r.rule_verdict, r.url_grams, r.host, r.verdict) == ("x", "x", "a.com", "block")
+    assert url_filter.filter_urls(frame.limit(0)).count() == 0
+
+
+def test_url_probability_by_hand(spark):
+    """The model's score of every url against plain Python over the same hashed n-grams."""
+    weights, bias = url_filter.fit(spark)
+    urls = ["http://Cheap-Pills.example/buy?x", "https://docs.library.example/en/tutorial", "x", None]
+    for r in url_filter.filter_urls(spark.createDataFrame([(u,) for u in urls], "url string"), rules={}, model=(weights, bias)).collect():
+        host, path, _ = brute_urls(r.url)
+        hashes = [zlib.crc32((tag + t[k : k + n]).encode()) % url_filter.BUCKETS for tag, t in (("h", f"^{host}$"), ("p", f"^{path}$")) for n in url_filter.SIZES for k in range(len(t) - n + 1)]
+        z = sum(weights[h] for h in hashes) / max(1, len(hashes)) ** 0.5 + bias
+        assert abs(r.probability - 1 / (1 + np.exp(-z))) < 1e-9 and r.verdict == ("block" if r.probability >= 0.5 else "allow")
+
+
 def test_url_model_learns_its_table(spark):
     frame = spark.createDataFrame(url_filter.LABELLED + [("http://free-porn-casino.example/xxx/bonus", 1), ("https://docs.garden.example/guide/tutorial", 0)], "url string, y int")
     got = url_filter.filter_urls(frame, rules={}).collect()
@@ -843,6 +862,55 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
 
+def test_stages_on_odd_rows(spark, sf, odd, none, docs):
+    """Nulls, empty and long texts, repeats, extra columns with clashing names, an empty table: each stage's defined result."""
+    clash = {c: F.lit("x") for c in ("mix_kept", "mix_tokens", "contaminated", "lang_pred", "told", "score", "corvid_gone", "shard", "size")}
+    table = odd.unionByName(docs.limit(80), allowMissingColumns=True).withColumns(clash)
+    ids = {name: sorted(r.doc_id or 0 for r in stage(spark, table, sf).collect()) for name, stage in corpus_pipeline.STAGES}
+    every = sorted(r.doc_id or 0 for r in table.collect())
+    # Texts: 1, 2, 2 and the null id are equal; 3 null, 4 empty, 5 blank, 6 a word, 7 long, 8 digits.
+    mine = lambda name: [i for i in ids[name] if i < 9]
+    own = sorted(r[0] or 0 for r in ODD)
+    real = [r.doc_id for r in docs.limit(80).collect()]
+    assert min(real) >= 0
+    texts = {r.doc_id: r.text for r in docs.limit(80).collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, table, sf).columns == table.columns
+        assert stage(spark, none.withColumns(clash), sf).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, none, sf).count() == 0
+    gone = {3, 4, 5, 8}
+    assert ids["language_id"] == sorted(x for r in table.collect() for x in [r.doc_id or 0] if r.text and any(c.isalpha() for c in r.text))
+    assert len(ids["sharding"]) == len(every) and ids["sharding"] == every
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, odd, sf).collect()]
+    assert sorted(i for i in kept if i is not None) == [1, 3, 4, 5, 6, 7, 8] and kept.count(None) == 1
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.benchmark_free(spark, odd, sf).collect()) == own
+    fate = {}
+    for r in corpus_pipeline.mixture(spark, odd, sf).collect():
+        fate[r.doc_id] = fate.get(r.doc_id, 0) + 1
+    assert fate.get(2, 2) == 2 and gone | set(texts) and mine("mixing") is not None
+
+
+def test_pipeline_goes_on_after_its_last_whole_stage(spark, sf, tmp_path, monkeypatch):
+    done = []
+
+    def stage(name, fails=False):
+        def run(spark, docs, sf_dir):
+            if fails:
+                raise OSError("lost")
+            done.append(name)
+            return docs.where(f"doc_id % {len(done) + 1} = 0")
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("a"), stage("b", fails=True), stage("c")])
+    with pytest.raises(OSError):
+        corpus_pipeline.run(spark, sf, f"{tmp_path}/p")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("a"), stage("b"), stage("c")])
+    got = corpus_pipeline.run(spark, sf, f"{tmp_path}/p")
+    assert done == ["a", "b", "c"] and all(r.doc_id % 12 == 0 for r in got.collect())
+    assert [p.name for p in (tmp_path / "p").iterdir()] == ["2-c"]
+
+
 def test_near_duplicate_stage_keeps_one_of_each(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found = brute_components([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
