@@ -46,14 +46,6 @@ def short_digest(x: Column) -> Column:
     return F.substring(F.sha1(x.cast("binary")), 1, 16)
 
 
-def strip_comments_and_strings(code: Column) -> Column:
-    """Block comments, line comments, then double- and single-quoted literals give way to blanks and marks."""
-    c = F.regexp_replace(code, r"(?s)/\*.*?\*/", " ")
-    c = F.regexp_replace(c, r"//[^\n]*", " ")
-    c = F.regexp_replace(c, r'"(?:\\.|[^"\\])*"', " STR ")
-    return F.regexp_replace(c, r"'(?:\\.|[^'\\])*'", " CHR ")
-
-
 def source_prefix(name: Column) -> Column:
     """Text before the first dot, else the leading alphanumerics, else the first 32 characters."""
     lead = F.regexp_extract(name, r"^[A-Za-z0-9]+", 0)

@@ -101,3 +101,43 @@ def blake_signatures(sets: pd.Series) -> pd.DataFrame:
 def edit_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two token arrays, without junk heuristics."""
     return pd.Series([difflib.SequenceMatcher(None, list(x), list(y), autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+
+
+def minhash_matches(left: DataFrame, right: DataFrame, a: str, b: str, slots: int, least: float) -> DataFrame:
+    """(a, b, agreement) of pairs of signatures (id, sig) of which a share `least` (over 0) of the slots is equal.
+
+    Such pairs share a slot's value, so the join is on (slot, value) and the counts are the equal slots.
+    """
+    flat = lambda df, id: df.select(id, F.posexplode("sig").alias("slot", "value"))
+    same = flat(left, a).join(flat(right, b), ["slot", "value"]).groupBy(a, b).agg((F.count(F.lit(1)) / slots).alias("agreement"))
+    return same.where(F.col("agreement") >= least)
+
+
+def simhash_matches(left: DataFrame, right: DataFrame, a: str, b: str, most: int = 4, least: int = 20, bits: int = 60) -> DataFrame:
+    """(a, b, hamming) of pairs of (id, n, simhash) that differ in `most` bits at most, the larger set having `least` shingles.
+
+    The bits are cut into most + 1 bands, one of which is equal in any such pair: the join is on (band, value).
+    """
+    width = -(-bits // (most + 1))
+    bands = [F.shiftright("simhash", k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(most + 1)]
+    flat = lambda df, id, h, n: df.select(id, F.col("simhash").alias(h), F.col("n").alias(n), F.posexplode(F.array(*bands)).alias("band", "value"))
+    both = flat(left, a, "h_a", "n_a").join(flat(right, b, "h_b", "n_b"), ["band", "value"])
+    hamming = F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))).cast("bigint").alias("hamming")
+    return both.where(F.greatest("n_a", "n_b") >= least).select(a, b, hamming).where(F.col("hamming") <= most).distinct()
+
+
+def semantic_matches(left: DataFrame, right: DataFrame, a: str, b: str, key: str, jaccard: float = 0.45, containment: float = 0.75) -> DataFrame:
+    """Pairs of rows (id, text, key) of equal keys whose shingle sets reach either bound."""
+    tagged = lambda df, id: shingle_rows(df.withColumn("id", F.struct(id, key)), "id").select("id", "n", F.concat_ws("|", F.col(f"id.{key}"), "s").alias("s")).withColumn(id, F.col(f"id.{id}")).drop("id")
+    pairs = set_overlap(tagged(left, a), tagged(right, b), a, b)
+    return pairs.where((F.col("jaccard") >= jaccard) | (F.col("containment") >= containment))
+
+
+def set_jaccard(shared: F.Column, n_a: F.Column, n_b: F.Column) -> F.Column:
+    """Jaccard similarity from the sizes; two empty sets are equal (1), an empty and another set share nothing (0)."""
+    return F.when((n_a == 0) & (n_b == 0), 1.0).when((n_a == 0) | (n_b == 0), 0.0).otherwise(shared / (n_a + n_b - shared))
+
+
+def set_containment(shared: F.Column, n_a: F.Column, n_b: F.Column) -> F.Column:
+    """Share of the smaller set; 0 if either is empty."""
+    return F.when((n_a == 0) | (n_b == 0), 0.0).otherwise(shared / F.least(n_a, n_b))

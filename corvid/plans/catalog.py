@@ -2,40 +2,16 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvid.functions import features, text
 from corvid.operators import evaluation, ordering, similarity
+from corvid.plans.registry import QUERIES, SQL, query, shared  # noqa: F401  the first two for callers
 from corvid.plans.relational import SHARED
 from corvid.sources.tables import table
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def shared(name: str, sql: str) -> None:
-    names = sorted(set(re.findall(r"\{(\w+)\}", sql)))
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
-
-    run.__name__ = name
-    QUERIES[name], SQL[name] = run, re.sub(r"\{(\w+)\}", r"\1", sql)
-
-
 for _name, _sql in SHARED.items():
     shared(_name, _sql)
 
@@ -118,13 +94,6 @@ def q07_token_counts(spark, sf_dir):
 D_H = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 
 
-@query(f"""WITH {d_shingles('b', 'benchmark', 'item_id', 1)}
-        SELECT item_id, {', '.join(f"min({D_H.format(f"'{k}:' || s")}) AS m{k}" for k in range(8))} FROM b_d GROUP BY item_id""")
-def q08_minhash_portable(spark, sf_dir):
-    rows = similarity.shingle_rows(table(spark, sf_dir, "benchmark"), "item_id")
-    return similarity.portable_minhash(rows, "item_id", 8).select("item_id", *(F.col("sig")[k].alias(f"m{k}") for k in range(8)))
-
-
 @query()
 def q09_minhash_blake2b(spark, sf_dir):
     docs, items = docs_and_items(spark, sf_dir)
@@ -133,12 +102,6 @@ def q09_minhash_blake2b(spark, sf_dir):
     return toks.select("dataset", "id", similarity.blake_signatures(text.shingles(F.col("t"), 5)).alias("s")).select("dataset", "id", F.col("s.minhash").alias("minhash"), F.col("s.simhash").alias("simhash"))
 
 
-@query(f"""WITH {d_shingles('b', 'benchmark', 'item_id', 1)}, h AS (SELECT item_id, {D_H.format('s')} AS h FROM b_d)
-        SELECT item_id, {' + '.join(f"CASE WHEN sum(CASE WHEN (h >> {k}) & 1 = 1 THEN 1 ELSE -1 END) > 0 THEN {1 << k}::BIGINT ELSE 0::BIGINT END" for k in range(60))} AS simhash FROM h GROUP BY item_id""")
-def q10_simhash_portable(spark, sf_dir):
-    return similarity.portable_simhash(similarity.shingle_rows(table(spark, sf_dir, "benchmark"), "item_id"), "item_id").select("item_id", "simhash")
-
-
 @query()
 def q11_edit_similarity(spark, sf_dir):
     docs, items = docs_and_items(spark, sf_dir)
@@ -146,7 +109,8 @@ def q11_edit_similarity(spark, sf_dir):
     a = docs.select("doc_id", text.tokens(F.col("text")).alias("ta"))
     b = items.select("item_id", text.tokens(F.col("text")).alias("tb"))
     near = hits.join(a, "doc_id").join(b, "item_id").where(F.least(F.size("ta"), F.size("tb")) <= 3000)
-    return near.select("doc_id", "item_id", F.round(similarity.edit_ratio("ta", "tb"), 6).alias("edit_similarity"))
+    scored = text.barrier(near.select("doc_id", "item_id", similarity.edit_ratio("ta", "tb").alias("edit_similarity")), "edit_similarity")
+    return scored.where("edit_similarity >= 0.88").withColumn("edit_similarity", F.round("edit_similarity", 6))
 
 
 @query(D_PAIRS + " SELECT item_id, doc_id, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM pairs) WHERE rank <= 20")

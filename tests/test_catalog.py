@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from corvid.plans import code_catalog  # noqa: F401  registers its queries
 from corvid.plans.catalog import QUERIES, SQL
 
 

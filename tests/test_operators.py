@@ -27,7 +27,6 @@ def test_hash_and_names(spark):
     assert one(spark, text.compact(F.lit(" a \n b "))) == "a b"
     assert one(spark, text.source_prefix(F.lit("abc.def"))) == "abc"
     assert one(spark, text.clean_items(F.array(*(F.lit(x) for x in (" a", "", "b", "a"))), 5)) == ["a", "b"]
-    assert one(spark, text.strip_comments_and_strings(F.lit('a /* x */ "q" // z'))).split() == ["a", "STR"]
 
 
 def test_blake_signatures(spark):
