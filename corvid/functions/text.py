@@ -36,6 +36,12 @@ def shingles(toks: Column, width: int) -> Column:
     return F.array_distinct(F.when(F.size(toks) < width, toks).otherwise(runs))
 
 
+def shingle_hashes(toks: Column, width: int) -> Column:
+    """As `shingles`, each as a 64-bit hash of its tokens: no text is joined, and sets are of numbers."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(toks) - width), lambda i: F.xxhash64(*(F.get(toks, i + k) for k in range(width))))
+    return F.array_distinct(F.when(F.size(toks) < width, F.transform(toks, lambda t: F.xxhash64(t))).otherwise(runs))
+
+
 def hash60(x: Column) -> Column:
     """The top 60 bits of md5 as a bigint; other SQL engines agree on it."""
     return F.conv(F.substring(F.md5(x.cast("binary")), 1, 15), 16, 10).cast("bigint")

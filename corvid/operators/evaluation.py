@@ -35,6 +35,15 @@ def trimmed_mean(values: Column, cut: float = 0.2) -> Column:
     return F.aggregate(use, F.lit(0.0), lambda a, x: a + x) / F.size(use)
 
 
+def trimmed_means(df: DataFrame, by: str, value: str, cut: float = 0.2) -> DataFrame:
+    """(by, trimmed): the mean of each group without its floor(n * cut) smallest and largest values, by ranks; a group of any size is never one array."""
+    sizes = df.groupBy(by).agg(F.count(value).alias("n")).select(by, "n", F.floor(F.col("n") * cut).alias("drop"))
+    ranked = df.where(F.col(value).isNotNull()).select(by, value, F.row_number().over(W.partitionBy(by).orderBy(value)).alias("k"))
+    # Where nothing would be left, all is kept.
+    inside = (F.col("n") <= 2 * F.col("drop")) | ((F.col("k") > F.col("drop")) & (F.col("k") <= F.col("n") - F.col("drop")))
+    return ranked.join(sizes, by).where(inside).groupBy(by).agg(F.avg(value).alias("trimmed"))
+
+
 def fixed_domain_counts(df: DataFrame, by: str, column: str, domain: list[str]) -> DataFrame:
     """Counts of each value of a fixed domain per group, zero-filled; other values are left out."""
     return df.groupBy(by).pivot(column, domain).count().fillna(0)

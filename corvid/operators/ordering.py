@@ -55,4 +55,4 @@ def contiguous_shards(df: DataFrame, order: str, shards: int) -> DataFrame:
     size = max(1, -(-total // shards))
     rank = F.row_number().over(W.partitionBy("_p").orderBy(order)) - 1
     # One row per partition.
-    return ranged.withColumn("_r", rank).join(F.broadcast(before), "_p").withColumn("shard", F.floor((F.col("_before") + F.col("_r")) / size)).drop("_p", "_r", "_before")
+    return ranged.withColumn("_r", rank).join(F.broadcast(before), "_p").withColumn("shard", F.expr(f"(_before + _r) div {size}")).drop("_p", "_r", "_before")

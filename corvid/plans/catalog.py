@@ -10,7 +10,7 @@ from corvid.functions import features, text
 from corvid.operators import evaluation, ordering, similarity
 from corvid.plans.registry import QUERIES, SQL, query, shared  # noqa: F401  the first two for callers
 from corvid.plans.relational import SHARED
-from corvid.sources.tables import table
+from corvid.sources.tables import materialize, table
 
 for _name, _sql in SHARED.items():
     shared(_name, _sql)
@@ -38,7 +38,7 @@ def docs_and_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = docs_and_items(spark, sf_dir)
-    return similarity.set_overlap(similarity.shingle_rows(docs, "doc_id", least=8), similarity.shingle_rows(items, "item_id", least=8), "doc_id", "item_id")
+    return similarity.set_overlap(similarity.shingle_rows(docs, "doc_id", least=8, hashed=True), similarity.shingle_rows(items, "item_id", least=8, hashed=True), "doc_id", "item_id")
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -54,9 +54,11 @@ def q01_shingle_containment(spark, sf_dir):
 @query(rf"""WITH c AS (SELECT doc_id, sha256(array_to_string(regexp_extract_all(lower(text), '{D_TOKEN}'), ' ')) AS h FROM documents)
         SELECT x.doc_id, y.doc_id AS first_doc FROM c x JOIN (SELECT h, min(doc_id) AS doc_id FROM c GROUP BY h) y USING (h) WHERE x.doc_id <> y.doc_id AND h <> sha256('')""")
 def q02_exact_text_match(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.canonical(F.col("text")), 256).alias("h"))
-    first = docs.groupBy("h").agg(F.min("doc_id").alias("first_doc"))
-    return similarity.exact_pairs(docs, first, "doc_id", "first_doc", "h").where("doc_id <> first_doc").select("doc_id", "first_doc")
+    # Digests are worked out once and written; a text without a token has none.
+    docs = text.barrier(table(spark, sf_dir, "documents").select("doc_id", text.canonical(F.col("text")).alias("c")), "c").where("c <> ''")
+    docs = materialize(docs.select("doc_id", F.unhex(F.sha2("c", 256)).alias("h")))
+    first = docs.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return docs.join(first, "h").where("doc_id <> first_doc").select("doc_id", "first_doc")
 
 
 @query("""WITH d AS (SELECT doc_id, source, CASE WHEN doc_id % 10 = 0 THEN 'dev' ELSE 'train' END AS split, md5(lower(text)) AS h FROM documents),
@@ -229,8 +231,22 @@ def q28_pass_at_k(spark, sf_dir):
 @query("""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events)
         SELECT user_id, round(avg(value), 6) AS trimmed FROM r WHERE k > floor(n * 0.2) AND k <= n - floor(n * 0.2) GROUP BY user_id""")
 def q30_trimmed_speedup(spark, sf_dir):
-    # One user's values are one array here, as a task's few repetitions are; ranks serve keys without such a bound.
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(evaluation.trimmed_mean(F.collect_list("value")), 6).alias("trimmed"))
+    return evaluation.trimmed_means(table(spark, sf_dir, "events"), "user_id", "value").select("user_id", F.round("trimmed", 6).alias("trimmed"))
+
+
+@query("""SELECT doc_id, 'short_text' AS kind, 'error' AS severity FROM documents WHERE n_chars < 100
+        UNION ALL SELECT doc_id, 'long_text', 'warning' FROM documents WHERE n_chars > 10000
+        UNION ALL SELECT d.doc_id, 'unlabelled', 'info' FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL
+        UNION ALL SELECT d.doc_id, 'low_quality', 'error' FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 0
+        UNION ALL SELECT d.doc_id, 'toxic', 'error' FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic = 1""")
+def q37_contract_findings(spark, sf_dir):
+    """One scan of either table: a row's findings are an array, each as often as it holds."""
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.count_if(F.col("quality") == 0).alias("low"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.lit(True).alias("known"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(marks, "doc_id", "left")
+    times = lambda rule: F.when(rule, 1).otherwise(0)
+    kinds = [("short_text", "error", times(F.col("n_chars") < 100)), ("long_text", "warning", times(F.col("n_chars") > 10000)), ("unlabelled", "info", times(F.col("known").isNull())), ("low_quality", "error", F.coalesce("low", F.lit(0))), ("toxic", "error", F.coalesce("toxic", F.lit(0)))]
+    found = F.flatten(F.array(*(F.array_repeat(F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity")), n.cast("int")) for k, s, n in kinds)))
+    return docs.select("doc_id", F.inline(found))
 
 
 @query("""WITH e AS (SELECT event_id, (props->>'k')::INT AS k, event_type FROM events),
@@ -274,12 +290,23 @@ def q43_fixed_domain_counts(spark, sf_dir):
 D_ORDERS = "o AS (SELECT o_orderkey AS id, o_custkey AS k, year(o_orderdate) * 400 + month(o_orderdate) * 32 + day(o_orderdate) AS b, year(o_orderdate) * 400 + month(o_orderdate) * 32 + day(o_orderdate) + floor(o_totalprice / 1000)::BIGINT AS e FROM orders)"
 
 
+def intervals(spark, sf_dir):
+    """Orders as intervals (id, key, begin, end) of days."""
+    day = F.year("o_orderdate") * 400 + F.month("o_orderdate") * 32 + F.day("o_orderdate")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"), day.cast("bigint").alias("b"), (day + F.floor(F.col("o_totalprice") / 1000)).cast("bigint").alias("e"))
+
+
+@query(f"WITH {D_ORDERS} SELECT i.id, count(p.id) AS depth FROM o i LEFT JOIN o p ON i.k = p.k AND p.b <= i.b AND i.e <= p.e AND p.e - p.b > i.e - i.b GROUP BY i.id")
+def q44_interval_containment_depth(spark, sf_dir):
+    items = intervals(spark, sf_dir)
+    found = ordering.enclosing(items, "k", "b", "e", "id", 512).groupBy("id").agg(F.count(F.lit(1)).alias("depth"))
+    return items.select("id").join(found, "id", "left").select("id", F.coalesce("depth", F.lit(0).cast("bigint")).alias("depth"))
+
+
 @query(f"""WITH {D_ORDERS}, p AS (SELECT i.id, p.id AS parent, row_number() OVER (PARTITION BY i.id ORDER BY p.e - p.b, p.id) AS r FROM o i JOIN o p ON i.k = p.k AND p.b <= i.b AND i.e <= p.e AND p.e - p.b > i.e - i.b)
         SELECT id, parent FROM p WHERE r = 1""")
 def q45_immediate_parent(spark, sf_dir):
-    day = F.year("o_orderdate") * 400 + F.month("o_orderdate") * 32 + F.day("o_orderdate")
-    items = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"), day.cast("bigint").alias("b"), (day + F.floor(F.col("o_totalprice") / 1000)).cast("bigint").alias("e"))
-    found = ordering.enclosing(items, "k", "b", "e", "id", 512)
+    found = ordering.enclosing(intervals(spark, sf_dir), "k", "b", "e", "id", 512)
     return found.groupBy("id").agg(F.min(F.struct("width", "parent")).alias("p")).select("id", F.col("p.parent").alias("parent"))
 
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 SHARED = {
     "q04_duplicate_size_histogram": """
-        WITH g AS (SELECT sha2h AS h, count(*) AS n FROM (SELECT md5(lower(text)) AS sha2h FROM {documents}) t GROUP BY sha2h),
-        r AS (SELECT n, row_number() OVER (ORDER BY n DESC, h) AS k FROM g WHERE n >= 2)
-        SELECT cast(coalesce(sum(CASE WHEN n >= 2 THEN 1 ELSE 0 END), 0) AS bigint) AS groups_2, cast(coalesce(sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END), 0) AS bigint) AS groups_3,
+        WITH g AS (SELECT h, count(*) AS n FROM (SELECT md5(lower(text)) AS h FROM {documents}) t GROUP BY h HAVING count(*) >= 2),
+        top AS (SELECT n FROM g ORDER BY n DESC LIMIT 20)
+        SELECT count(*) AS groups_2, cast(coalesce(sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END), 0) AS bigint) AS groups_3,
                cast(coalesce(sum(CASE WHEN n >= 5 THEN 1 ELSE 0 END), 0) AS bigint) AS groups_5, cast(coalesce(sum(CASE WHEN n >= 10 THEN 1 ELSE 0 END), 0) AS bigint) AS groups_10,
                cast(coalesce(sum(n), 0) AS bigint) AS rows_2, cast(coalesce(sum(CASE WHEN n >= 5 THEN n ELSE 0 END), 0) AS bigint) AS rows_5, coalesce(max(n), 0) AS largest,
-               cast(coalesce(sum(CASE WHEN k <= 20 THEN n ELSE 0 END), 0) AS bigint) AS top20_rows FROM r""",
+               cast((SELECT coalesce(sum(n), 0) FROM top) AS bigint) AS top20_rows FROM g""",
     "q05_duplicate_unique_counts": """
-        SELECT count(*) AS row_count, count(DISTINCT text) AS exact_unique, count(DISTINCT lower(text)) AS folded_unique, count(DISTINCT source) AS sources FROM {documents}""",
+        SELECT count(*) AS row_count, count(DISTINCT md5(text)) AS exact_unique, count(DISTINCT md5(lower(text))) AS folded_unique, count(DISTINCT source) AS sources FROM {documents}""",
     "q22_split_summary": """
         SELECT CASE WHEN doc_id % 10 = 0 THEN 'dev' ELSE 'train' END AS split, lang, source, count(*) AS n, cast(sum(n_chars) AS bigint) AS chars
         FROM {documents} GROUP BY CASE WHEN doc_id % 10 = 0 THEN 'dev' ELSE 'train' END, lang, source""",
@@ -33,12 +33,6 @@ SHARED = {
         GROUP BY CASE WHEN event_type = 'error' AND value > 50 THEN 'timed out' WHEN event_type = 'error' THEN 'failed' WHEN value IS NULL THEN 'missing' WHEN event_type = 'purchase' THEN 'passed' ELSE 'skipped' END""",
     "q36_composite_distinct": """
         SELECT user_id, event_type, props, count(*) AS n, min(event_id) AS first_event FROM {events} GROUP BY user_id, event_type, props""",
-    "q37_contract_findings": """
-        SELECT doc_id, 'short_text' AS kind, 'error' AS severity FROM {documents} WHERE n_chars < 100
-        UNION ALL SELECT doc_id, 'long_text', 'warning' FROM {documents} WHERE n_chars > 10000
-        UNION ALL SELECT d.doc_id, 'unlabelled', 'info' FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL
-        UNION ALL SELECT d.doc_id, 'low_quality', 'error' FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id WHERE l.quality = 0
-        UNION ALL SELECT d.doc_id, 'toxic', 'error' FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id WHERE l.toxic = 1""",
     "q38_category_manifest": """
         SELECT CASE WHEN o.o_orderstatus = 'F' AND o.o_totalprice > 300000 THEN 'not_suitable' WHEN o.o_orderpriority = '1-URGENT' THEN 'holdout' WHEN c.c_acctbal < 0 THEN 'requires_context' WHEN o.o_orderstatus = 'P' THEN 'hybrid' ELSE 'pure' END AS category,
                c.c_mktsegment AS strategy, count(*) AS n, count(DISTINCT c.c_custkey) AS customers
@@ -53,9 +47,6 @@ SHARED = {
     "q41_overlay_coalesce": """
         SELECT d.doc_id, coalesce(CASE WHEN l.quality = 0 THEN 'override' END, d.source) AS source, CASE WHEN l.quality = 0 THEN 'manual' ELSE 'passthrough' END AS origin
         FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
-    "q44_interval_containment_depth": """
-        WITH o AS (SELECT o_orderkey AS id, o_custkey AS k, cast(year(o_orderdate) * 400 + month(o_orderdate) * 32 + day(o_orderdate) AS bigint) AS b, cast(year(o_orderdate) * 400 + month(o_orderdate) * 32 + day(o_orderdate) + floor(o_totalprice / 1000) AS bigint) AS e FROM {orders})
-        SELECT i.id, count(p.id) AS depth FROM o i LEFT JOIN o p ON i.k = p.k AND p.b <= i.b AND i.e <= p.e AND p.e - p.b > i.e - i.b GROUP BY i.id""",
     "q50_arg_reduction": """
         WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS k FROM {lineitem})
         SELECT l_suppkey, l_orderkey AS best_order, l_linenumber AS best_line, l_extendedprice AS best_price FROM r WHERE k = 1""",
@@ -88,4 +79,58 @@ SHARED = {
         SELECT conv_id, cast(len AS bigint) AS len, cast(ceil(len / 8.0) * 8 AS bigint) AS padded FROM n""",
     "q68_risk_rollup": """
         SELECT coalesce(lang, 'all') AS lang, coalesce(source, 'all') AS source, count(*) AS n FROM {documents} GROUP BY ROLLUP (lang, source)""",
+    "q80_last_in_file": """
+        WITH k AS (SELECT user_id, event_type, event_id, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM {events})
+        SELECT user_id, event_type, event_id, value FROM k WHERE r = 1""",
+    "q81_results_by_ordinal": """
+        WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM {events} WHERE event_type = 'view'),
+        b AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM {events} WHERE event_type = 'click')
+        SELECT a.event_id AS sample, b.event_id AS result, b.value FROM a JOIN b ON a.user_id = b.user_id AND a.k = b.k""",
+    "q82_prior_initialiser": """
+        WITH w AS (SELECT event_id, event_type, max(CASE WHEN event_type = 'view' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM {events})
+        SELECT event_id, coalesce(cast(p AS varchar(20)), '0') AS prior FROM w WHERE event_type = 'purchase'""",
+    "q83_two_left_lookups": """
+        SELECT o.o_orderkey, coalesce(c.c_name, n.n_name, '') AS name, coalesce(n.n_nationkey, 0) AS row_index
+        FROM {orders} o LEFT JOIN {customer} c ON o.o_custkey = c.c_custkey AND c.c_acctbal > 0 LEFT JOIN {nation} n ON o.o_orderkey % 40 = n.n_nationkey""",
+    "q84_four_key_override": """
+        WITH m AS (SELECT l_returnflag, l_linestatus, l_linenumber, cast(l_quantity AS int) AS qty, min(l_orderkey) AS override FROM {lineitem} WHERE l_quantity < 5 GROUP BY l_returnflag, l_linestatus, l_linenumber, cast(l_quantity AS int))
+        SELECT l.l_orderkey, l.l_linenumber, coalesce(m.override, l.l_partkey) AS chosen FROM {lineitem} l LEFT JOIN m ON l.l_returnflag = m.l_returnflag AND l.l_linestatus = m.l_linestatus AND l.l_linenumber = m.l_linenumber AND cast(l.l_quantity AS int) = m.qty""",
+    "q85_same_array_dependency": """
+        SELECT w.l_partkey AS base, w.l_linenumber AS write_index, r.l_linenumber AS read_index, count(*) AS pairs
+        FROM {lineitem} w JOIN {lineitem} r ON w.l_partkey = r.l_partkey AND w.l_orderkey = r.l_orderkey AND w.l_linenumber <> r.l_linenumber AND w.l_linestatus = 'O' GROUP BY w.l_partkey, w.l_linenumber, r.l_linenumber""",
+    "q86_type_vote": """
+        WITH v AS (SELECT l_suppkey, l_returnflag AS type, sum(cast(l_quantity AS bigint)) AS score, min(l_orderkey) AS ord FROM {lineitem} GROUP BY l_suppkey, l_returnflag),
+        r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, ord, type DESC) AS k FROM v)
+        SELECT l_suppkey, type, score FROM r WHERE k = 1""",
+    "q87_reference_order": """
+        SELECT p_size, p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END, p_brand, p_partkey) AS place FROM {part}""",
+    "q88_begin_order_nulls_last": """
+        SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 100 END, 1000000000), o_orderkey) AS place FROM {orders}""",
+    "q89_event_interleave": """
+        WITH u AS (SELECT o_orderkey AS k, o_orderkey % 10 AS begin_at, 0 AS kind, o_orderkey AS id FROM {orders} UNION ALL SELECT l_orderkey, l_partkey % 10, 1, l_linenumber FROM {lineitem})
+        SELECT k, kind, id, begin_at, row_number() OVER (PARTITION BY k ORDER BY begin_at, kind, id) AS place FROM u""",
+    "q90_match_ordering": """
+        SELECT s.s_nationkey AS benchmark, s.s_suppkey AS bench_id, n.n_regionkey AS core_id FROM {supplier} s JOIN {nation} n ON s.s_nationkey = n.n_nationkey ORDER BY benchmark, bench_id, core_id""",
+    "q91_group_ordering": """
+        WITH g AS (SELECT 'exact' AS kind, md5(text) AS h FROM {documents} UNION ALL SELECT 'folded', md5(lower(text)) FROM {documents})
+        SELECT kind, h AS digest, count(*) AS n FROM g GROUP BY kind, h HAVING count(*) >= 2 ORDER BY kind, n DESC, digest""",
+    "q92_input_order": """
+        SELECT CASE WHEN doc_id % 10 = 0 THEN 'dev' ELSE 'train' END AS split, doc_id AS line FROM {documents} ORDER BY CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END, doc_id""",
+    "q93_union_of_datasets": """
+        SELECT 'core' AS dataset, CASE WHEN doc_id % 10 = 0 THEN 'dev' ELSE 'train' END AS split, doc_id AS id, cast(row_number() OVER (PARTITION BY source, CASE WHEN doc_id % 10 = 0 THEN 'dev' ELSE 'train' END ORDER BY doc_id) AS bigint) AS row_index, source AS source_name FROM {documents}
+        UNION ALL SELECT 'bench', 'benchmark', item_id, item_id + 1, '' FROM {benchmark}""",
+    "q94_zero_filled_subtypes": """
+        WITH d AS (SELECT 'A' AS type, 'F' AS subtype UNION ALL SELECT 'A', 'O' UNION ALL SELECT 'A', 'X' UNION ALL SELECT 'N', 'F' UNION ALL SELECT 'N', 'O' UNION ALL SELECT 'N', 'X' UNION ALL SELECT 'R', 'F' UNION ALL SELECT 'R', 'O' UNION ALL SELECT 'R', 'X'),
+        n AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} WHERE l_quantity > 48 GROUP BY l_returnflag, l_linestatus)
+        SELECT d.type, d.subtype, coalesce(n.n, 0) AS n FROM d LEFT JOIN n ON d.type = n.l_returnflag AND d.subtype = n.l_linestatus""",
+    "q95_name_subset": """
+        WITH a AS (SELECT DISTINCT user_id, event_type FROM {events} WHERE value > 50), b AS (SELECT DISTINCT user_id, event_type FROM {events} WHERE value <= 50)
+        SELECT a.user_id, sum(CASE WHEN b.event_type IS NULL THEN 1 ELSE 0 END) = 0 AS subset, cast(sum(CASE WHEN b.event_type IS NULL THEN 0 ELSE 1 END) AS bigint) AS common FROM a LEFT JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type GROUP BY a.user_id""",
+    "q96_shape_match": """
+        WITH a AS (SELECT DISTINCT p_type AS name, p_size % 3 AS shape FROM {part} WHERE p_size < 25), b AS (SELECT DISTINCT p_type AS name, p_size % 3 AS shape FROM {part} WHERE p_size >= 25)
+        SELECT a.name, count(*) AS matches, cast(sum(CASE WHEN a.shape = b.shape THEN 1 ELSE 0 END) AS bigint) AS same_shape FROM a JOIN b ON a.name = b.name GROUP BY a.name""",
+    "q97_audit_totals": """
+        SELECT count(*) AS row_count, cast(sum(CASE WHEN n_chars >= 100 AND n_chars <= 10000 THEN 1 ELSE 0 END) AS bigint) AS passed, cast(sum(CASE WHEN n_chars >= 100 AND n_chars <= 10000 THEN 0 ELSE 1 END) AS bigint) AS failed, count(DISTINCT source) AS sources FROM {documents}""",
+    "q98_style_counters": """
+        SELECT o_orderstatus AS style, o_orderpriority AS pattern, count(*) AS n, cast(sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END) AS bigint) AS ast_ok FROM {orders} GROUP BY o_orderstatus, o_orderpriority""",
 }
