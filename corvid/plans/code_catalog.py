@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvid.functions import code, features, text
+from corvid.functions import code, features, regions, text
 from corvid.operators import similarity
 from corvid.plans.catalog import D_H, d_shingles, docs_and_items
 from corvid.plans.registry import query
@@ -205,3 +205,81 @@ def q79_result_locations(spark, sf_dir):
     places = [("final", (F.col("z") == 1) & (F.col("role") == "assistant")), ("best", F.col("b") == 1), ("last", F.col("z") == 1)]
     found = F.array(*(F.when(rule, F.lit(name)) for name, rule in places), F.when(F.col("role") != "system", F.concat(F.lit("history["), F.col("k") - 1, F.lit("].result"))))
     return r.select("conv_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("label"), "turn")
+
+
+def flag_columns(names, share: int, salt: int = 0) -> str:
+    """SQL of boolean columns that hold for about share / 11 of the events, each in its own way."""
+    return ", ".join(f"(event_id * event_id % 1009 * {k + 2 + salt} + event_id * {k + 1}) % 11 < {share} AS {n}" for k, n in enumerate(names))
+
+
+OPS = "CASE WHEN event_id % 3 = 0 THEN '=' ELSE '+=' END AS op"
+SOME_KINDS = ("prefix_scan_predicate", "arg_reduction", "bounded_predicate_scan", "conflict_update", "dependency_or_inplace_update", "nested_reduction_update", "array_update", "two_pointer_swap", "hybrid_elementwise_store", "pseudocode_loop")
+KINDS = "CASE " + " ".join(f"WHEN event_id % 23 = {k} THEN '{n}'" for k, n in enumerate(SOME_KINDS)) + " ELSE 'store_map' END AS kind"
+
+
+@query(f"SELECT event_id, {regions.ladder_case(regions.REGIONS, 'pseudocode_loop')} AS kind FROM (SELECT event_id, {flag_columns(regions.REGION_FLAGS, 3)} FROM events)")
+def q99_region_kinds(spark, sf_dir):
+    return table(spark, sf_dir, "events").selectExpr("event_id", *flag_columns(regions.REGION_FLAGS, 3).split(", ")).select("event_id", regions.region_kind().alias("kind"))
+
+
+@query(f"SELECT event_id, kind, {regions.RENDERED} AS vector FROM (SELECT event_id, {KINDS}, {flag_columns(regions.RENDER_FLAGS, 2)} FROM events)")
+def q100_vector_regions(spark, sf_dir):
+    return table(spark, sf_dir, "events").selectExpr("event_id", KINDS, *flag_columns(regions.RENDER_FLAGS, 2).split(", ")).select("event_id", "kind", regions.runs_as_vector().alias("vector"))
+
+
+@query(f"SELECT event_id, {regions.ladder_case(regions.LABELS, 'compute')} AS label FROM (SELECT event_id, {KINDS}, {OPS}, {flag_columns(regions.LABEL_FLAGS, 3)} FROM events)")
+def q101_item_labels(spark, sf_dir):
+    return table(spark, sf_dir, "events").selectExpr("event_id", KINDS, OPS, *flag_columns(regions.LABEL_FLAGS, 3).split(", ")).select("event_id", regions.item_label().alias("label"))
+
+
+@query(f"""WITH r AS (SELECT event_id, {regions.ladder_case(regions.ROUTES, 'generic_code_like_pseudocode')} AS pattern FROM (SELECT event_id, {flag_columns(regions.ROUTE_FLAGS, 1)} FROM events))
+        SELECT CASE WHEN pattern IN ('scalar_or_irregular_control', 'generic_code_like_pseudocode') THEN 'pseudocode' ELSE 'dataflow_pseudocode' END AS style, pattern, count(*) AS n FROM r GROUP BY pattern""")
+def q102_routes(spark, sf_dir):
+    """Bootstrap counters: how many functions go which way."""
+    seen = table(spark, sf_dir, "events").selectExpr("event_id", *flag_columns(regions.ROUTE_FLAGS, 1).split(", ")).select(regions.route().alias("pattern"))
+    return seen.groupBy(regions.route_style(F.col("pattern")).alias("style"), "pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH t AS (SELECT p_partkey, line, trim(line) AS t, regexp_replace(line, '"[^"]*"', ' ', 'g') AS bare FROM (SELECT p_partkey, unnest([p_name || ' +', '  ', 'a = f(b, "(" , c)', 'g((x)', 'g((x) ...', p_type || '(', p_brand || ' = 2;']) AS line FROM part))
+        SELECT p_partkey, line, t = '' OR regexp_matches(t, '[-+*/&|^]$') OR (length(bare) - length(replace(bare, '(', '')) > length(bare) - length(replace(bare, ')', '')) AND NOT ends_with(t, '...')) AS malformed FROM t""")
+def q103_malformed_lines(spark, sf_dir):
+    lines = F.array(F.concat("p_name", F.lit(" +")), F.lit("  "), F.lit('a = f(b, "(" , c)'), F.lit("g((x)"), F.lit("g((x) ..."), F.concat("p_type", F.lit("(")), F.concat("p_brand", F.lit(" = 2;")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(lines).alias("line")).withColumn("malformed", regions.is_malformed_line(F.col("line")))
+
+
+@query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'sequential' WHEN o_orderkey % 3 = 1 THEN 'hybrid' ELSE 'pure' END AS s, o_totalprice > 200000 AS c, o_orderstatus = 'P' AS u FROM orders)
+        SELECT o_orderkey, CASE WHEN u THEN 'not_suitable_for_single_function' WHEN s = 'sequential' THEN 'sequential_holdout' WHEN c THEN 'requires_context_prelude' WHEN s = 'hybrid' THEN 'hybrid_single_function' ELSE 'pure_sve_single_function' END AS category FROM o""")
+def q104_primary_category(spark, sf_dir):
+    key = F.col("o_orderkey")
+    strategy = F.when(key % 3 == 0, "sequential").when(key % 3 == 1, "hybrid").otherwise("pure")
+    return table(spark, sf_dir, "orders").select("o_orderkey", features.primary_category(strategy, F.col("o_totalprice") > 200000, F.col("o_orderstatus") == "P").alias("category"))
+
+
+@query(rf"""{D_CODE}, f AS (SELECT id, code, 'at /home/u/' || id || '/f.cpp:3: error in /mnt/x/y' || chr(10) || '```cpp' || chr(10) || code || chr(10) || '```' || chr(10) || 'end' AS t FROM code)
+        SELECT id, trim(regexp_extract(t, '(?s)```[A-Za-z0-9_+-]*[ \t]*\n(.*?)```', 1), chr(10) || ' ') AS body, array_to_string([x for x in string_split(code, chr(10)) if NOT starts_with(ltrim(x), '#include')], chr(10)) AS no_includes,
+          array_to_string([x for x in string_split(replace(code, ';', chr(10) || ' ' || chr(10)), chr(10)) if trim(x) <> ''], chr(10)) AS no_blanks, regexp_replace(split_part(t, chr(10), 1), '/(?:home|mnt)/(?:[^\s:/]+/)*([^\s:/]+)', '\1', 'g') AS message FROM f""")
+def q105_cleaned_texts(spark, sf_dir):
+    fenced = F.concat(F.lit("at /home/u/"), "id", F.lit("/f.cpp:3: error in /mnt/x/y\n```cpp\n"), "code", F.lit("\n```\nend"))
+    rows = snippets(spark, sf_dir).withColumn("t", fenced)
+    return rows.select("id", code.without_fences(F.col("t")).alias("body"), code.without_includes(F.col("code")).alias("no_includes"), code.without_blank_lines(F.replace(F.col("code"), F.lit(";"), F.lit("\n \n"))).alias("no_blanks"), code.hidden_paths(F.split_part("t", F.lit("\n"), F.lit(1))).alias("message"))
+
+
+@query(rf"""{D_CODE}, g AS (SELECT id, {D_SIG} AS s FROM code), a AS (SELECT id, s, regexp_replace(regexp_replace(s, '\s*([(),*])\s*', '\1', 'g'), '[*]', ' * ', 'g') AS c FROM g)
+        SELECT id, trim(replace(replace(replace(regexp_replace(c, '\s+', ' ', 'g'), ' ,', ','), ' )', ')'), '( ', '(')) AS signature, regexp_extract(s, '([A-Za-z_]\w*)\s*\(', 1) AS entry FROM a""")
+def q106_signature_text(spark, sf_dir):
+    s = text.barrier(snippets(spark, sf_dir).select("id", code.signature(F.col("code")).alias("s")), "s")
+    odd = F.concat(F.lit(" extern  "), "s", F.lit(" ; "))
+    return s.select("id", code.signature_text(odd).alias("signature"), code.entry_point(F.col("s")).alias("entry"))
+
+
+@query(rf"""{D_CODE}, g AS (SELECT id, {D_SIG} AS s FROM code), p AS (SELECT id, s, {D_PARAMS} AS l FROM g), u AS (SELECT id, unnest(l) AS p, generate_subscripts(l, 1) - 1 AS k FROM p),
+        a AS (SELECT id, k, replace(p, chr(1), ',') AS p FROM u)
+        SELECT id, k::INT AS place, p AS param, regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '\b(?:__restrict__|__restrict|restrict)\b', ' restrict', 'g'), '\b[A-Za-z_][A-Za-z0-9_]*\s*((?:\[[^\]]*\])?\s*)$', 'NAME\1'), '\s+', ' ', 'g'), ' ?([*&]) ?', '\1', 'g') AS type FROM a""")
+def q107_parameter_types(spark, sf_dir):
+    s = text.barrier(snippets(spark, sf_dir).select("id", code.signature(F.col("code")).alias("s")), "s")
+    return s.select("id", F.posexplode(code.parameters(F.col("s"))).alias("place", "param")).withColumn("type", code.type_text(F.col("param")))
+
+
+@query()
+def q108_loop_depth(spark, sf_dir):
+    return token_rows(spark, sf_dir).select("id", code.loop_depth(F.col("l")).alias("depth"))
