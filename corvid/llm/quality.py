@@ -16,9 +16,11 @@ from pyspark.sql.types import DoubleType
 from corvid.llm.frames import extended
 from corvid.llm.textbytes import flat, mix, slices, words
 
-#: Labelled documents that the model is fitted on, the first by a hash of their text.
+#: Labelled documents that the model is fitted on, the first by a hash of their id; their texts are read whole.
 TRAIN_DOCS = 6_000
 BINS = 8
+#: Weights of the squares in the objective, per document.
+PENALTY, LINK_PENALTY = 1e-2, 5e-2
 
 
 def _classes() -> np.ndarray:
@@ -95,8 +97,8 @@ def with_neighbours(bins: np.ndarray, per_row: np.ndarray, width: int) -> np.nda
     return np.concatenate([own, before, after], axis=1)
 
 
-def marginals(evidence: np.ndarray, per_row: np.ndarray, link: np.ndarray):
-    """P(good) of every line, and the expected pair counts [2, 2] of neighbouring labels.
+def marginals(evidence: np.ndarray, per_row: np.ndarray, link: np.ndarray, weight: np.ndarray | None = None):
+    """P(good) of every line, and the expected pair counts [2, 2] of neighbouring labels, each row's times its weight.
 
     `evidence` is each line's log-odds, `link` the [2, 2] transition scores.
     Rows run in step, the longest first; ratios stay finite at any length.
@@ -128,6 +130,8 @@ def marginals(evidence: np.ndarray, per_row: np.ndarray, link: np.ndarray):
     x, y, o = fore[to - 1], back[to], odds[to]
     pair = np.stack([(1 - x) * a[0, 0] * (1 - y), (1 - x) * a[0, 1] * o * y, x * a[1, 0] * (1 - y), x * a[1, 1] * o * y])
     pair = pair / np.maximum(pair.sum(axis=0), 1e-300)
+    if weight is not None:
+        pair = pair * np.repeat(weight, per_row)[to]
     return p, pair.sum(axis=1).reshape(2, 2)
 
 
@@ -141,29 +145,36 @@ def weigh(p: np.ndarray, size: np.ndarray, per_row: np.ndarray) -> np.ndarray:
 
 
 def train(features: np.ndarray, size: np.ndarray, per_row: np.ndarray, labels: np.ndarray, rounds: int = 150) -> dict:
-    """Weights, transitions and calibration. A line's label is its document's."""
+    """Weights, transitions and calibration.
+
+    A line's label is its document's, as no line labels exist. What is raised is one
+    penalised sum: over documents, the log-probability of the label chain per line, with
+    both labels in balance, less the squares of the weights and of the transitions. As a
+    chain never changes its label here, only the penalty bounds the transitions.
+    """
     edges = np.quantile(features, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T.copy()
     width = 3 * features.shape[1] * BINS
     columns = with_neighbours(binned(features, edges), per_row, width)
     y = np.repeat(labels, per_row).astype(float)
-    # Every document counts alike, and so do both labels.
     share = np.array([max(1, (labels == k).sum()) for k in (0, 1)], dtype=float)
-    doc_weight = len(labels) / (2 * share[labels])
-    line_weight = np.repeat(doc_weight / per_row, per_row)
+    weight = len(labels) / (2 * share[labels]) / per_row
+    line_weight = np.repeat(weight, per_row)
     w, link = np.zeros(width + 1), np.zeros((2, 2))
-    past, rate = np.full(width + 1, 1e-6), 0.3
+    past, past_link, rate = np.full(width + 1, 1e-6), np.full((2, 2), 1e-6), 0.3
     inner = np.ones(len(y), bool)
     inner[np.cumsum(per_row) - per_row] = False
     seen = np.zeros((2, 2))
-    np.add.at(seen, (y[np.flatnonzero(inner) - 1].astype(int), y[inner].astype(int)), 1)
+    np.add.at(seen, (y[np.flatnonzero(inner) - 1].astype(int), y[inner].astype(int)), line_weight[inner])
     for _ in range(rounds):
-        p, pairs = marginals(w[columns].sum(axis=1), per_row, link)
+        p, pairs = marginals(w[columns].sum(axis=1), per_row, link, weight)
         miss = (y - p) * line_weight
-        gradient = np.bincount(columns.ravel(), np.repeat(miss, columns.shape[1]), minlength=width + 1) - 1e-2 * len(labels) / width * w
+        gradient = np.bincount(columns.ravel(), np.repeat(miss, columns.shape[1]), minlength=width + 1) - PENALTY * len(labels) / width * w
         gradient[width] = 0
         past += gradient**2
         w += rate * gradient / np.sqrt(past)
-        link = np.clip(link + 0.05 * (seen - pairs) / max(1.0, seen.sum()), -1.5, 1.5)
+        gradient = seen - pairs - LINK_PENALTY * len(labels) * link
+        past_link += gradient**2
+        link = link + rate * gradient / np.sqrt(past_link)
     p, _ = marginals(w[columns].sum(axis=1), per_row, link)
     z = weigh(p, size, per_row)
     a, b = 1.0, 0.0

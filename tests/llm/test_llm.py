@@ -573,6 +573,40 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(pairs, total)
 
 
+def test_pairs_are_weighted_by_row():
+    rng = np.random.default_rng(9)
+    per_row, link = np.array([3, 1, 5]), rng.normal(size=(2, 2))
+    e, weight = rng.normal(size=9), np.array([0.5, 2.0, 3.0])
+    alone = [quality.marginals(e[a:b], np.array([b - a]), link)[1] for a, b in ((0, 3), (3, 4), (4, 9))]
+    assert np.allclose(quality.marginals(e, per_row, link, weight)[1], sum(w * p for w, p in zip(weight, alone, strict=True)))
+
+
+def brute_line(line: bytes):
+    """The features of one line but the last, which counts its copies."""
+    share = lambda ok: sum(map(ok, line)) / max(1, len(line))
+    words = [w for w in __import__("re").split(rb"[ \t-\r]+", line) if w]
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    n = max(1, len(words))
+    return [
+        share(lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128), share(lambda c: 65 <= c <= 90), share(lambda c: 48 <= c <= 57), share(lambda c: c in b"!?"), share(lambda c: c in b"#$%&*+<=>@\\^_`~|{}[]/"), share(lambda c: c in b".,;:"),
+        np.log1p(len(line)), np.log1p(len(words)), sum(map(len, words)) / n, sum(a == b for a, b in itertools.pairwise(low)) / n, len(set(low)) / n, sum(len(w) <= 3 for w in words) / n,
+    ]
+
+
+def test_line_features_by_hand(docs):
+    texts = ["", "\n", "One two two\n\nOne two two\n#$ 12 é!?", *(r.text for r in docs.limit(20).collect())]
+    features, size, per_row = quality.line_features(*quality.flat(pa.array(texts)))
+    lines = [line for t in texts for line in t.encode().split(b"\n")]
+    assert per_row.tolist() == [t.count("\n") + 1 for t in texts] and size.tolist() == [len(x) for x in lines]
+    assert np.allclose(features[:, :-1], [brute_line(x) for x in lines])
+    assert np.allclose(np.exp(features[3:7, -1]), [2, 1, 2, 1])
+
+
+def test_quality_with_clashing_names(docs, spark):
+    got = quality.score(docs.withColumn("quality_score", F.lit("x")), None)
+    assert {r.quality_score for r in got.collect()} == {0.5} and got.count() == docs.count()
+
+
 def test_quality(spark, odd, none):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
