@@ -79,3 +79,20 @@ def primary_category(strategy: Column, needs_context: Column, unsuitable: Column
     """The first that holds: unsuitable, sequential, in need of context, hybrid; else pure."""
     chain = F.when(unsuitable, "not_suitable_for_single_function").when(strategy == "sequential", "sequential_holdout").when(needs_context, "requires_context_prelude")
     return chain.when(strategy == "hybrid", "hybrid_single_function").otherwise("pure_sve_single_function")
+
+
+def structure_key(code: Column, most: int = 80) -> Column:
+    """Counts of loops, branches, accesses and operators, and the first `most` vector intrinsics with their categories, in one line."""
+    n = lambda pattern: F.regexp_count(code, F.lit(pattern)).cast("string")
+    has = lambda part: F.contains(code, F.lit(part)).cast("int").cast("string")
+    named = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    intrinsics = F.slice(F.regexp_extract_all(code, F.lit(r"\bsv[a-zA-Z0-9_]*\b"), F.lit(0)), 1, most)
+    kinds = F.transform(intrinsics, lambda x: category(x, INTRINSICS, "other_sv"))
+    return F.concat_ws(
+        "|",
+        named("loop=f", n(r"\bfor\s*\("), ":w", n(r"\bwhile\s*\("), ":if", n(r"\bif\s*\("), ":ret", n(r"\breturn\b")),
+        named("mem=sub", n(r"\[[^\]]+\]"), ":ptr", n(r"\+\s*[A-Za-z_][A-Za-z0-9_]*"), ":vec", has("std::vector"), ":str", has("std::string")),
+        named("ops=mod", n("%"), ":shift", n("<<|>>"), ":tern", n(r"\?")),
+        named("svseq=", F.array_join(kinds, ",")),
+        named("sve=", F.array_join(intrinsics, ",")),
+    )

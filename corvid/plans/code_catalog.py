@@ -283,3 +283,60 @@ def q107_parameter_types(spark, sf_dir):
 @query()
 def q108_loop_depth(spark, sf_dir):
     return token_rows(spark, sf_dir).select("id", code.loop_depth(F.col("l")).alias("depth"))
+
+
+#: How many items of each kind a feature bundle keeps.
+CAPS = {"loops": 12, "branches": 16, "assignments": 24, "returns": 8, "controls": 16, "calls": 24, "array_subscripts": 32, "members": 16, "var_decls": 32, "read_write": 64, "same_array_dependencies": 12}
+D_KIND = "CASE " + " ".join(f"WHEN l_partkey % {len(CAPS)} = {k} THEN '{n}'" for k, n in enumerate(CAPS)) + " END"
+D_CAP = "CASE " + " ".join(f"WHEN l_partkey % {len(CAPS)} = {k} THEN {c}" for k, c in enumerate(CAPS.values())) + " END"
+
+
+@query(f"WITH r AS (SELECT l_suppkey, {D_KIND} AS kind, {D_CAP} AS cap, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey, {D_KIND} ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem) SELECT l_suppkey, kind, count(*) AS kept, max(l_orderkey) AS last_kept FROM r WHERE k <= cap GROUP BY l_suppkey, kind")
+def q110_capped_lists(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey", f"{D_KIND} AS kind", f"{D_CAP} AS cap", "l_orderkey", "l_linenumber")
+    ranked = rows.withColumn("k", F.row_number().over(W.partitionBy("l_suppkey", "kind").orderBy("l_orderkey", "l_linenumber"))).where("k <= cap")
+    return ranked.groupBy("l_suppkey", "kind").agg(F.count(F.lit(1)).alias("kept"), F.max("l_orderkey").alias("last_kept"))
+
+
+@query(rf"""{D_CODE}, n AS (SELECT id, unnest(regexp_extract_all(code, '([A-Za-z_]\w*)\s*\([^;{{}}()]*\)\s*\{{', 1)) AS name FROM code), t AS (SELECT DISTINCT id, name FROM n WHERE name NOT IN {D_CONTROL} AND length(name) >= 4),
+        o AS (SELECT name, min(id) AS owner FROM t WHERE id % 10 = 0 GROUP BY name), w AS (SELECT DISTINCT id, unnest(regexp_extract_all(code, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM code WHERE id % 10 <> 0)
+        SELECT o.name, o.owner, o.name IN {among(*code.GENERIC)} AS generic, count(*) AS mentions FROM o JOIN w USING (name) GROUP BY o.name, o.owner""")
+def q112_name_mentions(spark, sf_dir):
+    """Function names of four characters or more that every tenth snippet defines, looked for as whole words in the others; the first snippet owns a name."""
+    c = F.col("code")
+    rows = snippets(spark, sf_dir)
+    names = rows.where("id % 10 = 0").select("id", F.explode(code.function_names(c)).alias("name")).where(F.length("name") >= 4).groupBy("name").agg(F.min("id").alias("owner"))
+    words = rows.where("id % 10 <> 0").select("id", F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("name"))
+    return names.join(words, "name").groupBy("name", "owner").agg(F.count(F.lit(1)).alias("mentions")).withColumn("generic", F.col("name").isin(*code.GENERIC))
+
+
+@query("""WITH d AS (SELECT p_brand AS name, p_type AS sig, min(p_partkey) AS first FROM part GROUP BY p_brand, p_type)
+        SELECT name, count(*) AS overloads, string_agg(sig, ';' ORDER BY first) AS signatures FROM d GROUP BY name""")
+def q113_overloads(spark, sf_dir):
+    """Distinct signatures of each name, in the order in which they come first."""
+    d = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name"), F.col("p_type").alias("sig")).agg(F.min("p_partkey").alias("first"))
+    ordered = F.array_sort(F.collect_list(F.struct("first", "sig")))
+    return d.groupBy("name").agg(F.count(F.lit(1)).alias("overloads"), F.array_join(F.transform(ordered, lambda x: x["sig"]), ";").alias("signatures"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type, (props->>'k')::INT AS k FROM events), c AS (SELECT user_id, event_type, '{"event":"' || event_type || '","k":' || k || ',"user":' || user_id || '}' AS j, event_id FROM e)
+        SELECT sha256(j) AS digest, count(*) AS n, min(event_id) AS first_event FROM c GROUP BY j""")
+def q115_canonical_json(spark, sf_dir):
+    """Rows that are the same object in canonical JSON: keys in order, no blanks."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.from_json("props", "k int")["k"].alias("k"))
+    j = F.to_json(F.struct(F.col("event_type").alias("event"), "k", F.col("user_id").alias("user")))
+    return e.select("event_id", j.alias("j")).groupBy("j").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event")).select(F.sha2("j", 256).alias("digest"), "n", "first_event")
+
+
+D_SV = "CASE " + " ".join(f"WHEN contains(x, '{n}') THEN '{c}'" for n, c in features.INTRINSICS) + " ELSE 'other_sv' END"
+
+
+@query(rf"""{D_CODE}, f AS (SELECT id, code, len(regexp_extract_all(code, '\bfor\s*\(')) AS f, len(regexp_extract_all(code, '\bwhile\s*\(')) AS w, len(regexp_extract_all(code, '\bif\s*\(')) AS i, len(regexp_extract_all(code, '\breturn\b')) AS r, len(regexp_extract_all(code, '\[[^\]]+\]')) AS sub,
+          len(regexp_extract_all(code, '\+\s*[A-Za-z_][A-Za-z0-9_]*')) AS ptr, contains(code, 'std::vector')::INT AS vec, contains(code, 'std::string')::INT AS str, length(code) - length(replace(code, '%', '')) AS mods, len(regexp_extract_all(code, '<<|>>')) AS shifts, length(code) - length(replace(code, '?', '')) AS tern,
+          regexp_extract_all(code, '\bsv[a-zA-Z0-9_]*\b') AS sv FROM code),
+        k AS (SELECT id, concat_ws('|', 'loop=f' || f || ':w' || w || ':if' || i || ':ret' || r, 'mem=sub' || sub || ':ptr' || ptr || ':vec' || vec || ':str' || str, 'ops=mod' || mods || ':shift' || shifts || ':tern' || tern, 'svseq=' || array_to_string([{D_SV} for x in sv], ','), 'sve=' || array_to_string(sv, ',')) AS key FROM f)
+        SELECT id, key AS feature_key, substr(sha1(key), 1, 16) AS struct_hash FROM k""")
+def q116_feature_key(spark, sf_dir):
+    """The structural key of every snippet: loops, memory, operators and intrinsics with their kinds."""
+    rows = snippets(spark, sf_dir).select("id", features.structure_key(F.col("code")).alias("feature_key"))
+    return rows.withColumn("struct_hash", text.short_digest(F.col("feature_key")))

@@ -133,4 +133,20 @@ SHARED = {
         SELECT count(*) AS row_count, cast(sum(CASE WHEN n_chars >= 100 AND n_chars <= 10000 THEN 1 ELSE 0 END) AS bigint) AS passed, cast(sum(CASE WHEN n_chars >= 100 AND n_chars <= 10000 THEN 0 ELSE 1 END) AS bigint) AS failed, count(DISTINCT source) AS sources FROM {documents}""",
     "q98_style_counters": """
         SELECT o_orderstatus AS style, o_orderpriority AS pattern, count(*) AS n, cast(sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END) AS bigint) AS ast_ok FROM {orders} GROUP BY o_orderstatus, o_orderpriority""",
+    "q109_first_rows": """
+        SELECT user_id, event_id, ts FROM {events} ORDER BY ts, event_id LIMIT 100""",
+    "q111_first_match": """
+        WITH b AS (SELECT s_nationkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM {supplier})
+        SELECT c.c_custkey, b.s_name AS first_supplier FROM {customer} c JOIN (SELECT * FROM b WHERE r = 1) b ON c.c_nationkey = b.s_nationkey""",
+    "q114_pending_attribute": """
+        WITH w AS (SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM {events})
+        SELECT event_id, event_type, CASE WHEN before = 'signup' THEN 1 ELSE 0 END AS marked FROM w WHERE event_type <> 'signup'""",
+    "q117_parent_cross_check": """
+        WITH p AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM {conversations})
+        SELECT d.doc_id, coalesce(p.text, '') AS parent, CASE WHEN p.text IS NOT NULL AND length(p.text) <> d.n_chars THEN 'parent_mismatch' ELSE 'ok' END AS finding
+        FROM {documents} d LEFT JOIN (SELECT * FROM p WHERE r = 1) p ON d.doc_id = p.conv_id""",
+    "q118_unknown_samples": """
+        SELECT e.event_id FROM {events} e LEFT JOIN {customer} c ON e.user_id = c.c_custkey WHERE c.c_custkey IS NULL""",
+    "q119_error_counts": """
+        SELECT event_type AS reason, count(*) AS n, min(event_id) AS first_event, cast(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS bigint) AS without_value, cast(sum(CASE WHEN value > 90 THEN 1 ELSE 0 END) AS bigint) AS high FROM {events} GROUP BY event_type ORDER BY n DESC, first_event LIMIT 20""",
 }
