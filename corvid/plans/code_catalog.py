@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvid.functions import code, features, regions, text
+from corvid.functions import code, features, regions, syntax, text
 from corvid.operators import similarity
 from corvid.plans.catalog import D_H, d_shingles, docs_and_items
 from corvid.plans.registry import query
@@ -340,3 +340,46 @@ def q116_feature_key(spark, sf_dir):
     """The structural key of every snippet: loops, memory, operators and intrinsics with their kinds."""
     rows = snippets(spark, sf_dir).select("id", features.structure_key(F.col("code")).alias("feature_key"))
     return rows.withColumn("struct_hash", text.short_digest(F.col("feature_key")))
+
+
+HEADER = "'for (' || CASE WHEN p_size % 2 = 0 THEN 'int ' ELSE '' END || 'i = ' || cast(p_size AS string) || '; ' || CASE WHEN p_size % 7 = 0 THEN 'k' ELSE 'i' END || CASE WHEN p_size % 3 = 0 THEN ' >= ' ELSE ' < ' END || 'n' || CASE WHEN p_size % 5 = 0 THEN ' && a[i]' WHEN p_size % 11 = 0 THEN ' || b' ELSE '' END || '; ' || CASE WHEN p_size % 4 = 0 THEN 'i++' WHEN p_size % 4 = 1 THEN 'j++, i -= 2' WHEN p_size % 4 = 2 THEN 'i = i + w' ELSE 'j--' END || ')'"
+
+
+@query(rf"""WITH h AS (SELECT p_partkey, p_size AS s, {HEADER} AS header FROM part)
+        SELECT p_partkey, header, 'i' AS var, regexp_extract(header, 'i = ([0-9]+);', 1) AS start, CASE WHEN s % 3 = 0 THEN '>=' ELSE '<' END AS cmp, 'n' AS "end", CASE WHEN s % 5 = 0 THEN 'a[i]' ELSE '' END AS extra,
+          CASE WHEN s % 3 = 0 AND s % 4 <> 1 THEN '-' ELSE '' END || CASE s % 4 WHEN 0 THEN '1' WHEN 1 THEN '-2' ELSE 'w' END AS step
+        FROM h WHERE s % 7 <> 0 AND s % 4 <> 3 AND NOT contains(header, '||')""")
+def q120_loop_specs(spark, sf_dir):
+    h = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{HEADER} AS header")
+    found = text.barrier(h.select("p_partkey", "header", syntax.loop_spec(F.col("header")).alias("s")), "s")
+    return found.where("s is not null").select("p_partkey", "header", "s.*")
+
+
+DECLARED = ("const float *__restrict", "std::vector<double>", "std::vector<std::string>", "std::string &", "int [4]", "auto", "std::map<int, float>", "float16_t * *", "uint8_t", "void *")
+
+
+@query("SELECT p_partkey, [" + ", ".join(f"'{d}'" for d in DECLARED) + """][(p_partkey % 10)::INT + 1] AS declared, ['float', 'double', '', 'char', 'int', '', '', 'float16_t', 'uint8_t', ''][(p_partkey % 10)::INT + 1] AS element,
+        (p_partkey % 10)::INT IN (0, 7) AS floating, (p_partkey % 10)::INT IN (1, 2, 3, 6) AS container FROM part""")
+def q121_declared_types(spark, sf_dir):
+    kinds = F.array(*(F.lit(d) for d in DECLARED))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.get(kinds, (F.col("p_partkey") % 10).cast("int")).alias("declared"))
+    c = F.col("declared")
+    return rows.select("p_partkey", "declared", syntax.element_type(c).alias("element"), syntax.is_floating(c).alias("floating"), syntax.is_container(c).alias("container"))
+
+
+#: A dumped tree for each row of part: an included function, a helper, the target with a loop, a call, an operator and a variable, and main.
+TREE = """'{"kind":"TranslationUnitDecl","inner":[{"kind":"FunctionDecl","name":"lib","loc":{"includedFrom":{"file":"x"}},"inner":[{"kind":"CompoundStmt"}]},'
+    || CASE WHEN p_size % 2 = 0 THEN '{"kind":"FunctionDecl","name":"helper","type":{"qualType":"int ()"},"inner":[{"kind":"CompoundStmt","inner":[{"kind":"ReturnStmt"}]}]},' ELSE '' END
+    || '{"kind":"FunctionDecl","name":"f' || cast(p_size AS string) || '","type":{"qualType":"void (float *)"},"inner":[{"kind":"ParmVarDecl","name":"a","type":{"qualType":"float *"}},{"kind":"CompoundStmt","inner":['
+    || CASE WHEN p_size % 3 = 0 THEN '{"kind":"VarDecl","type":{"qualType":"int"}},' ELSE '' END
+    || '{"kind":"ForStmt","inner":[{"kind":"BinaryOperator","opcode":"<"},{"kind":"CallExpr","inner":[{"kind":"DeclRefExpr","referencedDecl":{"kind":"FunctionDecl","name":"svadd"}}]}]}]}]},{"kind":"FunctionDecl","name":"main","inner":[{"kind":"CompoundStmt"}]}]}'"""
+
+
+@query(f"""SELECT p_partkey, (2 + (p_size % 2 = 0)::INT)::BIGINT AS functions, 'f' || p_size AS target, (7 + (p_size % 3 = 0)::INT)::BIGINT AS nodes, 'ret=void (float *)|params=float *' AS signature,
+        'CompoundStmt,' || CASE WHEN p_size % 3 = 0 THEN 'VarDecl:int,' ELSE '' END || 'ForStmt,BinaryOperator:<,CallExpr:CALL,DeclRefExpr:FunctionDecl' AS kinds FROM part""")
+def q122_tree_features(spark, sf_dir):
+    rows = text.barrier(table(spark, sf_dir, "part").selectExpr("p_partkey", f"{TREE} AS t").select("p_partkey", syntax.tree_nodes("t").alias("n")), "n")
+    found = text.barrier(rows.select("p_partkey", "n", syntax.functions_of(F.col("n")).alias("f")), "f")
+    target = found.withColumn("own", syntax.target_function(F.col("f"), F.lit("absent")))
+    own = F.slice(F.col("n"), F.col("own.at") + 1, F.col("own.size"))
+    return target.select("p_partkey", F.size("f").cast("bigint").alias("functions"), F.col("own.name").alias("target"), F.size(own).cast("bigint").alias("nodes"), syntax.tree_signature(own).alias("signature"), syntax.kind_stream(own).alias("kinds"))

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from corvid.functions import code, features, regions
+from corvid.functions import code, features, regions, syntax
 from corvid.operators import similarity
 
 
@@ -115,3 +115,18 @@ def test_signature_matches_by_brute_force(spark):
     frame = lambda name: spark.createDataFrame(sigs, f"{name} long, sig array<long>")
     want = {(x, y, sum(p == q for p, q in zip(s, t, strict=True)) / 16) for (x, s), (y, t) in itertools.product(sigs, sigs)}
     assert {tuple(r) for r in similarity.minhash_matches(frame("a"), frame("b"), "a", "b", 16, 0.84).collect()} == {w for w in want if w[2] >= 0.84}
+
+
+def test_loop_specs(spark):
+    spec = lambda t: one(spark, t, syntax.loop_spec)
+    assert tuple(spec("for (int  i = 0; i < n && a[i]; ++i)")) == ("i", "0", "<", "n", "a[i]", "1")
+    assert tuple(spec("for (std::size_t i = n - 1; i >= lo; i -= 4)")) == ("i", "n - 1", ">=", "lo", "", "-4")
+    assert tuple(spec("for (i = 0; i > n; s += k, i = i + w)"))[5] == "-w"
+    assert [spec(t) for t in ("for (int i = 0; j < n; i++)", "for (i = 0; i < n || b; i++)", "while (x)", "for (i = 0, j = 9; i < j; i++)", "for (auto x : y)", None)] == [None] * 6
+
+
+def test_trees(spark):
+    nodes = one(spark, '{"kind":"A","inner":[{"kind":"B","inner":[{"kind":"C"},{}]},{"kind":"D","isImplicit":true}]}', syntax.tree_nodes)
+    assert [(n.kind, n.depth, n.size, n.hidden) for n in nodes] == [("A", 0, 5, False), ("B", 1, 3, False), ("C", 2, 1, False), (None, 2, 1, False), ("D", 1, 1, True)]
+    assert [one(spark, t, syntax.tree_nodes) for t in ("{", "", None, "7")] == [None] * 4
+    assert [n.kind for n in one(spark, '[{"kind":"X"},{"kind":"Y"}]', syntax.tree_nodes)] == [None, "X", "Y"]
