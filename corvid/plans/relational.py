@@ -99,16 +99,16 @@ SHARED = {
         SELECT w.l_partkey AS base, w.l_linenumber AS write_index, r.l_linenumber AS read_index, count(*) AS pairs
         FROM {lineitem} w JOIN {lineitem} r ON w.l_partkey = r.l_partkey AND w.l_orderkey = r.l_orderkey AND w.l_linenumber <> r.l_linenumber AND w.l_linestatus = 'O' GROUP BY w.l_partkey, w.l_linenumber, r.l_linenumber""",
     "q86_type_vote": """
-        WITH v AS (SELECT l_suppkey, l_returnflag AS type, sum(cast(l_quantity AS bigint)) AS score, min(l_orderkey) AS ord FROM {lineitem} GROUP BY l_suppkey, l_returnflag),
+        WITH v AS (SELECT l_suppkey, l_returnflag AS type, cast(sum(cast(l_quantity AS bigint)) AS bigint) AS score, min(l_orderkey) AS ord FROM {lineitem} GROUP BY l_suppkey, l_returnflag),
         r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, ord, type DESC) AS k FROM v)
         SELECT l_suppkey, type, score FROM r WHERE k = 1""",
     "q87_reference_order": """
-        SELECT p_size, p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END, p_brand, p_partkey) AS place FROM {part}""",
+        SELECT p_size, p_partkey, cast(row_number() OVER (PARTITION BY p_size ORDER BY CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END, p_brand, p_partkey) AS bigint) AS place FROM {part}""",
     "q88_begin_order_nulls_last": """
-        SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 100 END, 1000000000), o_orderkey) AS place FROM {orders}""",
+        SELECT o_custkey, o_orderkey, cast(row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 100 END, 1000000000), o_orderkey) AS bigint) AS place FROM {orders}""",
     "q89_event_interleave": """
         WITH u AS (SELECT o_orderkey AS k, o_orderkey % 10 AS begin_at, 0 AS kind, o_orderkey AS id FROM {orders} UNION ALL SELECT l_orderkey, l_partkey % 10, 1, l_linenumber FROM {lineitem})
-        SELECT k, kind, id, begin_at, row_number() OVER (PARTITION BY k ORDER BY begin_at, kind, id) AS place FROM u""",
+        SELECT k, kind, id, begin_at, cast(row_number() OVER (PARTITION BY k ORDER BY begin_at, kind, id) AS bigint) AS place FROM u""",
     "q90_match_ordering": """
         SELECT s.s_nationkey AS benchmark, s.s_suppkey AS bench_id, n.n_regionkey AS core_id FROM {supplier} s JOIN {nation} n ON s.s_nationkey = n.n_nationkey ORDER BY benchmark, bench_id, core_id""",
     "q91_group_ordering": """
@@ -134,7 +134,7 @@ SHARED = {
     "q98_style_counters": """
         SELECT o_orderstatus AS style, o_orderpriority AS pattern, count(*) AS n, cast(sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END) AS bigint) AS ast_ok FROM {orders} GROUP BY o_orderstatus, o_orderpriority""",
     "q109_first_rows": """
-        SELECT user_id, event_id, ts FROM {events} ORDER BY ts, event_id LIMIT 100""",
+        SELECT user_id, event_id FROM {events} ORDER BY ts, event_id LIMIT 100""",
     "q111_first_match": """
         WITH b AS (SELECT s_nationkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM {supplier})
         SELECT c.c_custkey, b.s_name AS first_supplier FROM {customer} c JOIN (SELECT * FROM b WHERE r = 1) b ON c.c_nationkey = b.s_nationkey""",
