@@ -32,6 +32,8 @@ VOCABULARY = 1 << 15
 SIDE, EMBED, HIDDEN = 2, 8, 16
 STEPS, RATE = 16, 0.1
 PAD = CLASSES
+#: Precision of a step of the gradient.
+KIND = np.float32
 SHAPES = {"e": (CLASSES + 1, EMBED), "w": (2 * SIDE * EMBED, HIDDEN), "b": (HIDDEN,), "v": (HIDDEN, CLASSES), "c": (CLASSES,)}
 
 
@@ -156,35 +158,51 @@ def contexts(cls: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def log_probabilities(p: dict, around: np.ndarray, cls: np.ndarray, step: int = 1 << 14) -> np.ndarray:
-    p, out = {k: v.astype(np.float32) for k, v in p.items()}, np.zeros(len(cls))
+def outputs(p: dict, kind: type) -> tuple[np.ndarray, ...]:
+    """The weights as (e, w, b, v over c) of a float kind; c is the last row of the output weights, for a hidden unit that is always one."""
+    return p["e"].astype(kind), p["w"].astype(kind), p["b"].astype(kind), np.concatenate([p["v"], p["c"][None]]).astype(kind)
+
+
+def hidden(e: np.ndarray, w: np.ndarray, b: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, hidden units with the one beside them) of contexts."""
+    x = e[near].reshape(len(near), -1)
+    h = np.ones((len(near), HIDDEN + 1), x.dtype)
+    np.tanh(x @ w + b, out=h[:, :HIDDEN])
+    return x, h
+
+
+def log_probabilities(p: dict, around: np.ndarray, cls: np.ndarray, step: int = 1 << 11) -> np.ndarray:
+    """Of each word's class, given its context. STEPS steps of at most RATE keep all scores far from overflow, so none is shifted by its row's largest."""
+    e, w, b, v = outputs(p, np.float32)
+    out = np.zeros(len(cls))
     for lo in range(0, len(cls), step):
-        h = np.tanh(p["e"][around[lo : lo + step]].reshape(-1, 2 * SIDE * EMBED) @ p["w"] + p["b"])
-        z = h @ p["v"] + p["c"]
-        z -= z.max(axis=1, keepdims=True)
+        z = hidden(e, w, b, around[lo : lo + step])[1] @ v
         own = z[np.arange(len(z)), cls[lo : lo + step]]
         out[lo : lo + step] = own - np.log(np.exp(z, out=z).sum(axis=1))
     return out
 
 
-def gradient(p: dict, around: np.ndarray, cls: np.ndarray, step: int = 1 << 12) -> np.ndarray:
-    """The packed gradient of the summed cross entropy, in double precision."""
+def gradient(p: dict, around: np.ndarray, cls: np.ndarray, step: int = 1 << 10) -> np.ndarray:
+    """The packed gradient of the summed cross entropy; steps are worked out in KIND and summed in double precision."""
+    e, w, b, v = outputs(p, KIND)
     out = {k: np.zeros(s) for k, s in SHAPES.items()}
+    sums = np.zeros(v.shape)
     for lo in range(0, len(cls), step):
         near, own = around[lo : lo + step], cls[lo : lo + step]
-        x = p["e"][near].reshape(len(own), -1)
-        h = np.tanh(x @ p["w"] + p["b"])
-        z = h @ p["v"] + p["c"]
-        z -= z.max(axis=1, keepdims=True)
-        d = np.exp(z, out=z)
-        d /= d.sum(axis=1, keepdims=True)
-        d[np.arange(len(own)), own] -= 1
-        dh = (d @ p["v"].T) * (1 - h * h)
-        dx = (dh @ p["w"].T).reshape(-1, EMBED)
+        x, h = hidden(e, w, b, near)
+        z = h @ v
+        scale = 1 / np.exp(z, out=z).sum(axis=1)[:, None]
+        # Probabilities are z * scale; the words' own classes come off apart.
+        sums += (h * scale).T @ z
+        dh = ((z @ v[:-1].T) * scale - v[:-1, own].T) * (1 - h[:, :-1] ** 2)
+        dx = (dh @ w.T).reshape(-1, EMBED)
+        for k in range(HIDDEN + 1):
+            sums[k] -= np.bincount(own, h[:, k], minlength=CLASSES)
         for k in range(EMBED):
             out["e"][:, k] += np.bincount(near.ravel(), dx[:, k], minlength=CLASSES + 1)
-        for k, g in (("w", x.T @ dh), ("b", dh.sum(axis=0)), ("v", h.T @ d), ("c", d.sum(axis=0))):
-            out[k] += g
+        out["w"] += x.T @ dh
+        out["b"] += dh.sum(axis=0)
+    out["v"], out["c"] = sums[:-1], sums[-1]
     return pack(out)
 
 

@@ -834,12 +834,13 @@ def test_lm_scores_do_not_depend_on_partitions(docs):
     assert all(abs(few[k] - many[k]) <= 1e-6 * max(1, abs(few[k])) for k in few) and few.keys() == many.keys()
 
 
-def test_lm_gradient():
+def test_lm_gradient(monkeypatch):
     rng = np.random.default_rng(4)
     n = np.array([7, 1, 0, 12])
     cls = rng.integers(0, lm_score.CLASSES, n.sum())
     around, w = lm_score.contexts(cls, n), lm_score.first_weights() * 3
     loss = lambda w: -sum((z := np.tanh(p["e"][a].ravel() @ p["w"] + p["b"]) @ p["v"] + p["c"])[c] - np.log(np.exp(z).sum()) for p in [lm_score.unpack(w)] for a, c in zip(around, cls, strict=True))
+    monkeypatch.setattr(lm_score, "KIND", np.float64)
     g = lm_score.gradient(lm_score.unpack(w), around, cls, step=5)
     for k in rng.integers(0, len(w), 60):
         up, down = w.copy(), w.copy()
