@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from corvid.llm.frames import extended, unused
+from corvid.llm.frames import extended, tidy, unused
 from corvid.llm.textbytes import IS_SPACE, LOWER, flat, slices
 
 Q = 10
@@ -31,7 +31,7 @@ MAP_BITS = 21
 #: Benchmark characters that one index holds, about; a larger benchmark is searched in blocks, each one more pass over the texts.
 BLOCK_BYTES = 4 << 20
 #: Pairs of a text's and a window's q-gram that are held at once.
-PAIRS = 1 << 19
+PAIRS = 1 << 18
 #: Bytes of letters and digits, those beyond ASCII included.
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
@@ -259,7 +259,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
                 ids = b.column(0).take(pa.array(cols[0], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["doc_id", "item_id", "edits", "start", "stop"])
 
-        part = slim.mapInArrow(run, "doc_id long, item_id long, edits int, start long, stop long")
+        part = slim.mapInArrow(tidy(run), "doc_id long, item_id long, edits int, start long, stop long")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -280,7 +280,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 bad[[h[0] for h in search(shared.value, b.column(where))]] = True
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bad)], names=[*b.schema.names, mark])
 
-        docs = docs.mapInArrow(run, extended(docs, **{mark: BooleanType()})).where(~F.col(mark)).drop(mark)
+        docs = docs.mapInArrow(tidy(run), extended(docs, **{mark: BooleanType()})).where(~F.col(mark)).drop(mark)
     return docs
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DataType, StructField, StructType
 
@@ -19,3 +22,21 @@ def unused(df: DataFrame, *names: str) -> list[str]:
             name += "_"
         out.append(name)
     return out
+
+
+def release() -> None:
+    """Gives memory that a worker has freed back to the system, as workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """`run`, a function on a stream of batches, that releases memory after its last batch."""
+
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    return whole

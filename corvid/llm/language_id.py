@@ -19,15 +19,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from corvid.llm.frames import extended
+from corvid.llm.frames import extended, tidy
 from corvid.llm.textbytes import LOWER, flat, slices
 
 #: Distinct labelled texts that each language is learned from, at most; they are read whole.
 TRAIN_DOCS = 64
 #: Bytes of a text that one lane of the parser begins with.
-PART = 4096
+PART = 2048
 #: Bytes of text that are parsed at once.
-SLICE = 1 << 22
+SLICE = 1 << 21
 WORD = 64
 UNDETERMINED = "und"
 
@@ -249,7 +249,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", lang_pred: str =
             langs, scores = predict(shared.value, b.column(where))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, lang_pred, score])
 
-    return docs.mapInArrow(run, extended(docs, **{lang_pred: StringType(), score: DoubleType()}))
+    return docs.mapInArrow(tidy(run), extended(docs, **{lang_pred: StringType(), score: DoubleType()}))
 
 
 def held_out(id: str = "doc_id") -> F.Column:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from corvid.llm.frames import extended, unused
+from corvid.llm.frames import extended, tidy, unused
 from corvid.llm.textbytes import flat, slices, words
 from corvid.sources.tables import materialize
 
@@ -75,7 +75,7 @@ def learn_topics(slim: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
 
         # TOPICS * BINS rows at most.
         sums = np.zeros(TOPICS * BINS)
-        for r in slim.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        for r in slim.mapInArrow(tidy(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
             sums[r["at"]] = r.n
         sums = sums.reshape(TOPICS, BINS)
         centers = np.rint(1e6 * sums / np.maximum(1.0, np.sqrt((sums * sums).sum(1, keepdims=True)))).astype(np.int64)
@@ -95,7 +95,7 @@ def with_profiles(docs: DataFrame, text: str, tokens: str, profile: str) -> Data
             n, p = profiles(b.column(where))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array([x.tobytes() for x in p], pa.binary())], names=[*b.schema.names, tokens, profile])
 
-    return docs.mapInArrow(add, extended(docs, **{tokens: LongType(), profile: BinaryType()}))
+    return docs.mapInArrow(tidy(add), extended(docs, **{tokens: LongType(), profile: BinaryType()}))
 
 
 def with_topics(docs: DataFrame, centers: np.ndarray, tokens: str, profile: str, topic: str) -> DataFrame:
@@ -108,7 +108,7 @@ def with_topics(docs: DataFrame, centers: np.ndarray, tokens: str, profile: str,
             t = topics_of(unpacked(b.column(at)), b.column(by).to_numpy(), shared.value)
             yield pa.RecordBatch.from_arrays([*(x for k, x in enumerate(b.columns) if k != at), pa.array(t)], names=[*rest, topic])
 
-    return docs.mapInArrow(add, extended(docs.select(*rest), **{topic: IntegerType()}))
+    return docs.mapInArrow(tidy(add), extended(docs.select(*rest), **{topic: IntegerType()}))
 
 
 def rake(cells: list[tuple], targets: list[dict], rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm.components import components
-from corvid.llm.frames import unused
+from corvid.llm.frames import tidy, unused
 from corvid.llm.textbytes import flat, mix, slices, words
 from corvid.llm.toplist import count_cut
 from corvid.sources.tables import materialize
@@ -112,7 +112,7 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
                 names = [name_of(s) for s in own]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), longs([x for x, _ in names]), longs([y for _, y in names]), longs([len(s) for s in own])], names=["id", "s1", "s2", "n"])
 
-    return docs.mapInArrow(run, "id long, s1 long, s2 long, n long")
+    return docs.mapInArrow(tidy(run), "id long, s1 long, s2 long, n long")
 
 
 def frequent_tokens(docs: DataFrame, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +137,7 @@ def frequent_tokens(docs: DataFrame, width: int, percent: int) -> tuple[np.ndarr
                     token, count = np.unique(np.concatenate(parts), return_counts=True)
                     yield pa.RecordBatch.from_arrays([longs(token), longs(count)], names=["token", "n"])
 
-    counts = docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("df")).where("df > 2")
+    counts = docs.mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("df")).where("df > 2")
     counts = materialize(counts)
     found = counts.where(F.col("df") >= F.lit(count_cut(counts, "df", HOT))).toArrow()
     token, df = found.column("token").to_numpy().view(np.uint64), found.column("df").to_numpy()
@@ -165,7 +165,7 @@ def bucket_rows(docs: DataFrame, width: int, percent: int, shared) -> DataFrame:
                 if toks:
                     yield pa.RecordBatch.from_arrays([longs(np.concatenate(toks)), *(longs(np.concatenate(x)) for x in (sizes, firsts, seconds))], names=["token", "n", "s1", "s2"])
 
-    return docs.mapInArrow(run, "token long, n long, s1 long, s2 long")
+    return docs.mapInArrow(tidy(run), "token long, n long, s1 long, s2 long")
 
 
 def memberships(percent: int):
@@ -386,9 +386,9 @@ def piece_links(slim: DataFrame, members: DataFrame, width: int, percent: int, s
                 yield pa.RecordBatch.from_arrays([picked.column(0).slice(lo, hi - lo), longs([x for x, _ in names]), longs([y for _, y in names]), pa.array([s.tobytes() for s in own], pa.binary())], names=["rep", "s1", "s2", "tokens"])
 
     hashed = slim.where("id is not null").withColumn("at", F.pmod(F.xxhash64("id"), F.lit(MAP)).cast("int"))
-    own = hashed.mapInArrow(sets, "rep long, s1 long, s2 long, tokens binary")
+    own = hashed.mapInArrow(tidy(sets), "rep long, s1 long, s2 long, tokens binary")
     dealt = members.select("g", "block", "rep", "s1", "s2").join(own, ["rep", "s1", "s2"]).select("g", "block", "rep", "tokens")
-    return materialize(dealt.repartition(parts, "g").sortWithinPartitions("g", "rep").mapInArrow(linked(percent, shared), "g string, u long, v long"))
+    return materialize(dealt.repartition(parts, "g").sortWithinPartitions("g", "rep").mapInArrow(tidy(linked(percent, shared)), "g string, u long, v long"))
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = 3, percent: int = 90) -> DataFrame:
@@ -409,7 +409,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id",
     shared = spark.sparkContext.broadcast(frequent_tokens(slim.where("id is not null"), width, percent))
     buckets = bucket_rows(slim.where("id is not null"), width, percent, shared)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    members = buckets.repartition(parts, "token").sortWithinPartitions("token", "n", "s1", "s2").mapInArrow(memberships(percent), "c1 long, c2 long, m1 long, m2 long, n long").distinct()
+    members = buckets.repartition(parts, "token").sortWithinPartitions("token", "n", "s1", "s2").mapInArrow(tidy(memberships(percent)), "c1 long, c2 long, m1 long, m2 long, n long").distinct()
     groups = materialize(candidate_groups(members))
     classes = materialize(live.groupBy("s1", "s2").agg(F.min("id").alias("rep")))
     members = materialize(groups.join(classes, ["s1", "s2"]))
