@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import difflib
 import hashlib
+import itertools
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
@@ -59,10 +62,20 @@ def exact_pairs(left: DataFrame, right: DataFrame, a: str, b: str, digest: str)
 PHI = 11400714819323198485
 
 
+# Slots map a shingle's one hash h to (a * h + b) modulo this prime; a and b come from md5 of the slot's name.
+PRIME = (1 << 31) - 1
+
+
+def slot_factors(slots: int) -> list[tuple[int, int]]:
+    word = lambda name: int(hashlib.md5(name.encode()).hexdigest()[:15], 16)
+    return [(word(f"a{k}") % (PRIME - 1) + 1, word(f"b{k}") % PRIME) for k in range(slots)]
+
+
 def portable_minhash(rows: DataFrame, id: str, slots: int = 16) -> DataFrame:
-    """(id, sig): per slot, the least hash60 of the shingle with the slot's number before it."""
-    least = [F.min(hash60(F.concat(F.lit(f"{k}:"), F.col("s")))).alias(f"m{k}") for k in range(slots)]
-    return rows.groupBy(id).agg(*least).select(id, F.array(*(f"m{k}" for k in range(slots))).alias("sig"))
+    """(id, sig): per slot, the least value of the shingles' hashes under the slot's map; each shingle is hashed once."""
+    hashed = rows.select(id, (hash60(F.col("s")) % PRIME).alias("h"))
+    least = [F.min((F.col("h") * a + b) % PRIME).alias(f"m{k}") for k, (a, b) in enumerate(slot_factors(slots))]
+    return hashed.groupBy(id).agg(*least).select(id, F.array(*(f"m{k}" for k in range(slots))).alias("sig"))
 
 
 def portable_simhash(rows: DataFrame, id: str, bits: int = 60) -> DataFrame:
@@ -111,17 +124,47 @@ def minhash_matches(left: DataFrame, right: DataFrame, a: str, b: str, slots: in
     return same.where(F.col("agreement") >= least)
 
 
-def simhash_matches(left: DataFrame, right: DataFrame, a: str, b: str, most: int = 4, least: int = 20, bits: int = 60) -> DataFrame:
+def block_keys(simhash: Column, most: int, spare: int, bits: int) -> tuple[list[Column], list[tuple[int, ...]]]:
+    """The blocks of a hash that is cut into most + spare of them, and the choices of `spare` blocks: hashes that differ in `most` bits agree in one choice at least."""
+    count = most + spare
+    edges = [bits * k // count for k in range(count + 1)]
+    blocks = [F.shiftright(simhash, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in itertools.pairwise(edges)]
+    return blocks, list(itertools.combinations(range(count), spare))
+
+
+def simhash_candidates(left: DataFrame, right: DataFrame, most: int = 4, spare: int = 2, bits: int = 60) -> DataFrame:
+    """(h_a, n_a, h_b, n_b) of distinct (n, simhash) on either side that agree in `spare` of most + spare blocks, each pair once.
+
+    One table per choice of blocks, all in one join on (choice, value): with the
+    defaults 15 keys a hash, of 20 bits each, so D hashes and B others have D * B / 70,000
+    candidates by chance, fewer with more spare blocks. A pair counts under the first
+    choice that it agrees in, so none has to be made distinct.
+    """
+
+    def keyed(df, h, n):
+        blocks, choices = block_keys(F.col(h), most, spare, bits)
+        keys = F.array(*(F.xxhash64(F.lit(k), *(blocks[b] for b in chosen)) for k, chosen in enumerate(choices)))
+        return df.select(F.col("simhash").alias(h), F.col("n").alias(n)).distinct().select(h, n, F.posexplode(keys).alias("choice", "key"))
+
+    both = keyed(left, "h_a", "n_a").join(keyed(right, "h_b", "n_b"), ["choice", "key"])
+    own, choices = block_keys(F.col("h_a").bitwiseXOR(F.col("h_b")), most, spare, bits)
+    equal = [b == 0 for b in own]
+    first = F.lit(len(choices))
+    for k, chosen in reversed(list(enumerate(choices))):
+        first = F.when(reduce(and_, (equal[b] for b in chosen)), F.lit(k)).otherwise(first)
+    return both.where(first == F.col("choice")).select("h_a", "n_a", "h_b", "n_b")
+
+
+def simhash_matches(left: DataFrame, right: DataFrame, a: str, b: str, most: int = 4, least: int = 20, bits: int = 60, spare: int = 2) -> DataFrame:
     """(a, b, hamming) of pairs of (id, n, simhash) that differ in `most` bits at most, the larger set having `least` shingles.
 
-    The bits are cut into most + 1 bands, one of which is equal in any such pair: the join is on (band, value).
+    Distinct hashes are matched first, so copies of a text don't multiply candidates.
     """
-    width = -(-bits // (most + 1))
-    bands = [F.shiftright("simhash", k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(most + 1)]
-    flat = lambda df, id, h, n: df.select(id, F.col("simhash").alias(h), F.col("n").alias(n), F.posexplode(F.array(*bands)).alias("band", "value"))
-    both = flat(left, a, "h_a", "n_a").join(flat(right, b, "h_b", "n_b"), ["band", "value"])
     hamming = F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))).cast("bigint").alias("hamming")
-    return both.where(F.greatest("n_a", "n_b") >= least).select(a, b, hamming).where(F.col("hamming") <= most).distinct()
+    pairs = simhash_candidates(left, right, most, spare, bits).where(F.greatest("n_a", "n_b") >= least).withColumn("hamming", hamming).where(F.col("hamming") <= most)
+    mine = left.select(a, F.col("simhash").alias("h_a"), F.col("n").alias("n_a"))
+    theirs = right.select(b, F.col("simhash").alias("h_b"), F.col("n").alias("n_b"))
+    return pairs.join(mine, ["h_a", "n_a"]).join(theirs, ["h_b", "n_b"]).select(a, b, "hamming")
 
 
 def semantic_matches(left: DataFrame, right: DataFrame, a: str, b: str, key: str, jaccard: float = 0.45, containment: float = 0.75) -> DataFrame:

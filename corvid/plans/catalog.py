@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvid.functions import features, text
-from corvid.operators import evaluation, ordering, similarity
+from corvid.operators import evaluation, mentions, ordering, similarity
 from corvid.plans.registry import QUERIES, SQL, query, shared  # noqa: F401  the first two for callers
 from corvid.plans.relational import SHARED
 from corvid.sources.tables import materialize, table
@@ -150,8 +150,8 @@ def q17_literal_mention(spark, sf_dir):
     # One pass over the texts holds each against all terms, however many there are.
     terms = table(spark, sf_dir, "nation").select(F.col("n_name").alias("term"))
     terms = terms.unionByName(spark.createDataFrame([("tion",), ("License",)], "term string")).withColumn("t", F.lower("term"))
-    docs = table(spark, sf_dir, "documents").select(F.lower("text").alias("low"))
-    return docs.join(F.broadcast(terms), F.contains("low", "t")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
+    found = mentions.mentions(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low")), terms, "low", "t", "doc_id")
+    return found.groupBy(F.col("term").alias("t")).agg(F.count(F.lit(1)).alias("docs")).join(terms, "t").select("term", "docs")
 
 
 @query(r"""WITH h AS (SELECT page_id, unnest(['links', 'heads', 'items']) AS level, unnest([sha256(array_to_string(regexp_extract_all(html, 'href="[^"]*"'), ' ')), sha256(array_to_string(regexp_extract_all(html, '<h[1-6]'), ' ')), sha256(array_to_string(regexp_extract_all(html, '<li>'), ' '))]) AS h FROM pages)

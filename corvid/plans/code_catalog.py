@@ -148,7 +148,9 @@ def signatures(make, spark, sf_dir, *more) -> tuple[DataFrame, DataFrame]:
     return make(similarity.shingle_rows(docs, "doc_id"), "doc_id", *more), make(similarity.shingle_rows(items, "item_id"), "item_id", *more)
 
 
-SLOTS = ", ".join(f"min({D_H.format(f"'{k}:' || s")}) AS m{k}" for k in range(16))
+#: Each slot's least value of the one hash of a shingle; the factors are those of similarity.slot_factors.
+MINS = [f"min(({D_H.format('s')} % {similarity.PRIME} * {a} + {b}) % {similarity.PRIME})" for a, b in similarity.slot_factors(16)]
+SLOTS = ", ".join(f"{m} AS m{k}" for k, m in enumerate(MINS))
 
 
 @query(f"{D_SIGS} SELECT 'core' AS dataset, doc_id AS id, {SLOTS} FROM a_d GROUP BY doc_id UNION ALL SELECT 'bench', item_id, {SLOTS} FROM b_d GROUP BY item_id")
@@ -157,7 +159,7 @@ def q08_minhash_portable(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-LIST = ", ".join(f"min({D_H.format(f"'{k}:' || s")})" for k in range(16))
+LIST = ", ".join(MINS)
 
 
 @query(f"""{D_SIGS}, x AS (SELECT doc_id, [{LIST}] AS s FROM a_d GROUP BY doc_id), y AS (SELECT item_id, [{LIST}] AS s FROM b_d GROUP BY item_id),
