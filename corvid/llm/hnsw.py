@@ -12,11 +12,12 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvid.llm.frames import release
+from corvid.llm.frames import release, tidy
 from corvid.llm.textbytes import mix
 from corvid.sources.tables import materialize, table
 
@@ -203,16 +204,20 @@ def build_index(rows: DataFrame, shards: int, id: str = "vec_id", vector: str =
     """One row per length of vectors and shard, with its graph in flat arrays."""
     dealt = usable(rows, id, vector).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
 
-    def one(key, t):
-        dim, shard = (x.as_py() for x in key)
-        vectors = np.asarray(t["v"].combine_chunks().flatten(), np.float64).reshape(t.num_rows, dim)
-        index = build(np.asarray(t["vec_id"], np.int64), vectors)
-        row = {"dim": dim, "shard": shard} | {k: np.ascontiguousarray(index[k], kind).tobytes() for k, kind in KINDS.items()} | {"entry": index["entry"], "top": index["top"]}
-        release()
-        ints, blobs = ("dim", "shard", "entry", "top"), pa.binary()
-        return pa.table({k: pa.array([v], pa.int32() if k in ints else blobs) for k, v in row.items()})
-
-    return dealt.groupBy("dim", "shard").applyInArrow(one, INDEX)
+    def one(batches):
+        held = [b for b in batches if b.num_rows]
+        dims = sorted({d for b in held for d in b.column(2).to_pylist()})
+        for dim in dims:
+            t = pa.Table.from_batches(held)
+            own = t.filter(pc.equal(t["dim"], dim))
+            vectors = np.asarray(own["v"].combine_chunks().flatten(), np.float64).reshape(own.num_rows, dim)
+            index = build(np.asarray(own["vec_id"], np.int64), vectors)
+            row = {"dim": dim, "shard": own["shard"][0].as_py()} | {k: np.ascontiguousarray(index[k], kind).tobytes() for k, kind in KINDS.items()} | {"entry": index["entry"], "top": index["top"]}
+            ints = ("dim", "shard", "entry", "top")
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if k in ints else pa.binary()) for k, x in row.items()], names=list(row))
+
+    # A task for each shard, however few bytes it has.
+    return dealt.repartitionById(shards, "shard").mapInArrow(tidy(one), INDEX)
 
 
 def search_index(index: DataFrame, shards: int, queries: DataFrame, k: int = 5, ef: int = EF_SEARCH, blocks: int = 1, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
