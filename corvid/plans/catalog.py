@@ -150,7 +150,7 @@ def q17_literal_mention(spark, sf_dir):
     # One pass over the texts holds each against all terms, however many there are.
     terms = table(spark, sf_dir, "nation").select(F.col("n_name").alias("term"))
     terms = terms.unionByName(spark.createDataFrame([("tion",), ("License",)], "term string")).withColumn("t", F.lower("term"))
-    found = mentions.mentions(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low")), terms, "low", "t", "doc_id")
+    found = mentions.mentions(table(spark, sf_dir, "documents").select(F.lit(1).alias("row"), F.lower("text").alias("low")), terms, "low", "t", "row")
     return found.groupBy(F.col("term").alias("t")).agg(F.count(F.lit(1)).alias("docs")).join(terms, "t").select("term", "docs")
 
 

@@ -385,3 +385,25 @@ def q122_tree_features(spark, sf_dir):
     target = found.withColumn("own", syntax.target_function(F.col("f"), F.lit("absent")))
     own = F.slice(F.col("n"), F.col("own.at") + 1, F.col("own.size"))
     return target.select("p_partkey", F.size("f").cast("bigint").alias("functions"), F.col("own.name").alias("target"), F.size(own).cast("bigint").alias("nodes"), syntax.tree_signature(own).alias("signature"), syntax.kind_stream(own).alias("kinds"))
+
+
+#: Snippets with function pointers, templates three deep, default values and a second function.
+HARD = """'#include <map>' || chr(10) || '// fn() {' || chr(10) || 'static std::map<int, std::vector<std::pair<int, float>>> pick' || cast(p_partkey % 5 AS string) || '(int a' || CASE WHEN p_size % 2 = 0 THEN ', int (*cb)(int, float (*)(int))' ELSE '' END
+    || CASE WHEN p_size % 3 = 0 THEN ', std::map<int, std::vector<std::pair<int, int>>> &m' ELSE '' END || CASE WHEN p_size % 5 = 0 THEN ', int d = g(1, h(2, 3))' ELSE '' END || ') {' || chr(10) || '  for (int i = 0; i < n; ++i) { }' || chr(10) || '}' || chr(10)
+    || CASE WHEN p_partkey % 2 = 0 THEN 'unsigned long  last' || cast(p_partkey % 3 AS string) || ' (float *x, const char *(*f)(void))' || chr(10) || '{ }' ELSE '' END"""
+NESTED = r"\((?:[^(){};]|\((?:[^(){};]|\([^(){};]*\))*\))*\)"
+
+
+@query(rf"""WITH c AS (SELECT p_partkey AS id, {HARD} AS code FROM part), h AS (SELECT id, code, regexp_extract_all(code, '(?:^|\n)\s*([A-Za-z_][\w:<>,\s*&]*?\s+[A-Za-z_]\w*\s*{NESTED})\s*\{{', 1) AS heads FROM c),
+        p AS (SELECT id, unnest(regexp_extract_all(regexp_extract(heads[1], '(?s)\((.*)\)', 1), '[^(),<>]+|[(),<>]')) AS t, generate_subscripts(regexp_extract_all(regexp_extract(heads[1], '(?s)\((.*)\)', 1), '[^(),<>]+|[(),<>]'), 1) AS k FROM h),
+        d AS (SELECT *, sum(CASE WHEN t IN ('(', '<') THEN 1 WHEN t IN (')', '>') THEN -1 ELSE 0 END) OVER (PARTITION BY id ORDER BY k) AS depth FROM p),
+        n AS (SELECT *, t = ',' AND depth = 0 AS cut, sum(CASE WHEN t = ',' AND depth = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY k) AS part FROM d),
+        q AS (SELECT id, part, trim(string_agg(t, '' ORDER BY k)) AS param FROM n WHERE NOT cut GROUP BY id, part)
+        SELECT id, array_to_string(list_sort(list_distinct([x for x in regexp_extract_all(code, '([A-Za-z_]\w*)\s*{NESTED}\s*\{{', 1) if x NOT IN {D_CONTROL} AND NOT contains(x, 'fn')])), ',') AS names, trim(regexp_replace(heads[-1], '\s+', ' ', 'g')) AS last_signature,
+          (SELECT string_agg(param, ';' ORDER BY part) FROM q WHERE q.id = h.id) AS params FROM h""")
+def q133_function_heads(spark, sf_dir):
+    """Names, the last signature and the first one's parameters of code with brackets in brackets; a function in a comment is none."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", f"{HARD} AS code")
+    heads = text.barrier(rows.select("id", code.function_heads(F.col("code")).alias("h")), "h")
+    whole = F.filter(F.transform("h", lambda x: x["head"]), lambda x: x.isNotNull())
+    return heads.select("id", F.array_join(F.array_sort(F.array_distinct(F.transform("h", lambda x: x["name"]))), ",").alias("names"), F.try_element_at(whole, F.lit(-1)).alias("last_signature"), F.array_join(code.parameters(F.get(whole, 0)), ";").alias("params"))

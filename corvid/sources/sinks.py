@@ -1,12 +1,15 @@
-"""Writers. Files come in parts, as a cluster writes them; `one_file` gathers small results."""
+"""Writers. Files come in parts, as a cluster writes them; `joined` puts those of a folder into one file."""
 
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from corvid.sources.tables import create, file_system, replace
+
 #: Rows that a summary may bring to the driver.
 SUMMARY_ROWS = 10_000
 
@@ -17,36 +20,52 @@ def tsv_text(c: Column, escape: bool) -> Column:
     return F.replace(c, F.lit("\n"), F.lit("\\n")) if escape else F.regexp_replace(c, r"[\t\r\n]", " ")
 
 
-def write_tsv(df: DataFrame, path: str, fields: list[str] | None = None, one_file: bool = True) -> None:
-    """Tab-separated text with a header. With `fields`, those columns, missing ones empty, and no tab or line break in a cell; else all columns, line breaks escaped. An empty table leaves no row and no header."""
+def write_tsv(df: DataFrame, path: str, fields: list[str] | None = None) -> int:
+    """Tab-separated text with a header; the number of rows. With `fields`, those columns, missing ones empty, and no tab or line break in a cell; else all columns, line breaks escaped. An empty table leaves no row and no header.
+
+    A folder of parts: put together in the order of their names they are the
+    table, the header first, in the order of `df`. Every task writes its own part
+    next to `path`; the folder takes its name once all parts and the header are there.
+    """
     names = fields or df.columns
     cells = [tsv_text(F.col(c) if c in df.columns else F.lit(""), fields is None) for c in names]
     lines = df.select(F.concat_ws("\t", *(F.coalesce(c, F.lit("")) for c in cells)).alias("value"))
-    if lines.isEmpty():
-        lines.limit(0).write.mode("overwrite").text(path)
-        return
-    if one_file:
-        # The header goes before the rows of the one partition.
-        head = "\t".join(names)
-        lines = lines.coalesce(1).mapInPandas(lambda parts: with_head(parts, head), "value string")
-    else:
-        df.sparkSession.createDataFrame([("\t".join(names),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.header")
-    lines.write.mode("overwrite").text(path)
-
-
-def with_head(parts, head: str):
-    import pandas as pd
-
-    yield pd.DataFrame({"value": [head]})
-    yield from parts
+    held = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    rows = counted(lines, lambda x: x.write.text(held))
+    if rows:
+        # Spark's own names begin with part-00000-, and so come after this one.
+        create(df.sparkSession, f"{held}/part-00000", "\t".join(names) + "\n")
+    replace(df.sparkSession, held, path)
+    return rows
+
+
+def joined(spark: SparkSession, path: str, file: str) -> None:
+    """The parts of a folder of text, in order, as one file of an exact name: the file system's streams are copied one after the other, in constant memory."""
+    fs, jvm, conf = file_system(spark, path)
+    target = file_system(spark, file)[0]
+    parts = sorted(str(s.getPath()) for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path)) if s.getPath().getName().startswith("part-"))
+    held = f"{file}.{uuid.uuid4().hex}"
+    out = target.create(jvm.org.apache.hadoop.fs.Path(held))
+    for p in parts:
+        source = fs.open(jvm.org.apache.hadoop.fs.Path(p))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+        source.close()
+    out.close()
+    replace(spark, held, file)
+
+
+def counted(df: DataFrame, write) -> int:
+    """The rows that `write`, a function of a frame, has written: counted while it runs."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return seen.get["n"]
 
 
 def write_jsonl(df: DataFrame, path: str, sort_keys: bool = False, append: bool = False, gzip: bool = False, one_file: bool = False) -> int:
     """One JSON object per line, nulls kept; the number of rows written. Keys of the outermost object come in order with `sort_keys`."""
     df = df.select(*(F.col(f"`{c}`") for c in (sorted(df.columns) if sort_keys else df.columns)))
     out = df.coalesce(1) if one_file else df
-    out.write.mode("append" if append else "overwrite").option("ignoreNullFields", "false").option("compression", "gzip" if gzip else "none").json(path)
-    return df.count()
+    return counted(out, lambda x: x.write.mode("append" if append else "overwrite").option("ignoreNullFields", "false").option("compression", "gzip" if gzip else "none").json(path))
 
 
 def write_json(value, path: str, spark) -> None:

@@ -31,18 +31,39 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="corvid-checkpoint-")
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of any file system that Spark can open."""
+def file_system(spark: SparkSession, path: str):
+    """(file system, JVM, its configuration) of a path of any kind that Spark can open."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(conf).delete(at, True)
+    return jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf), jvm, conf
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder."""
+    fs, jvm, _ = file_system(spark, path)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a file or folder of any file system that Spark can open is there."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(conf).exists(at)
+    """Whether a file or folder is there."""
+    fs, jvm, _ = file_system(spark, path)
+    return fs.exists(jvm.org.apache.hadoop.fs.Path(path))
+
+
+def create(spark: SparkSession, path: str, text: str) -> None:
+    """A small file."""
+    fs, jvm, _ = file_system(spark, path)
+    out = fs.create(jvm.org.apache.hadoop.fs.Path(path))
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def replace(spark: SparkSession, path: str, new: str) -> None:
+    """Gives a file or folder a new name; what had that name goes."""
+    fs, jvm, _ = file_system(spark, path)
+    to = jvm.org.apache.hadoop.fs.Path(new)
+    fs.delete(to, True)
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(path), to):
+        raise OSError(f"{path} could not be renamed to {new}")
 
 
 def materialize(df: DataFrame) -> DataFrame:

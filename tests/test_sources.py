@@ -101,8 +101,21 @@ def test_tsv(spark, tmp_path):
     assert text_of(tmp_path / "some") == "n\tt\tq\ts\n1\tx y\t\ta b\n2\tz\t\t\n"
     sinks.write_tsv(df.limit(0), f"{tmp_path}/none")
     assert text_of(tmp_path / "none") == ""
-    sinks.write_tsv(df, f"{tmp_path}/parts", one_file=False)
-    assert text_of(tmp_path / "parts").count("\n") == 2 and text_of(tmp_path / "parts.header") == "s\tt\tn\n"
+
+
+def test_tsv_in_ordered_parts(spark, tmp_path):
+    """Many tasks, one table: parts in the order of their names, and the same in one file; a second run takes the place of the first."""
+    wide = spark.range(0, 5000, numPartitions=7).select("id", F.concat(F.lit("v"), "id").alias("v"))
+    for rows in (5000, 1234):
+        assert sinks.write_tsv(wide.where(f"id < {rows}"), f"{tmp_path}/wide") == rows
+        want = "id\tv\n" + "".join(f"{k}\tv{k}\n" for k in range(rows))
+        assert text_of(tmp_path / "wide") == want
+        sinks.joined(spark, f"{tmp_path}/wide", f"{tmp_path}/one.tsv")
+        assert (tmp_path / "one.tsv").read_text() == want
+        # A header and a part of each task that has rows.
+        assert len(list((tmp_path / "wide").glob("part-*"))) == (8 if rows == 5000 else 3)
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["one.tsv", "wide"]
+    assert spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/one.tsv").count() == 1234
 
 
 def test_jsonl_round_trip(spark, tmp_path):
