@@ -42,17 +42,23 @@ def first_crossing(df: DataFrame, key: str, order: list[str], amount: Column, th
     return run.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def contiguous_shards(df: DataFrame, order: str, shards: int) -> DataFrame:
-    """`df` with the shard of ceil(n / shards) consecutive rows that each is in.
+def running_index(df: DataFrame, order: list[str], name: str = "index") -> tuple[DataFrame, int]:
+    """`df` with each row's 0-based place in the order of all rows, and their number; rows that tie get places in some order.
 
-    Ranks come from range partitions: counts per partition are few, and each
-    row is ranked within its own.
+    Ranks come from range partitions: counts per partition are few, and each row
+    is ranked within its own, so no task orders all rows.
     """
-    ranged = materialize(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()))
+    ranged = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
     counts = ranged.groupBy("_p").count()
     before = counts.withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    total = ranged.count()
-    size = max(1, -(-total // shards))
-    rank = F.row_number().over(W.partitionBy("_p").orderBy(order)) - 1
+    rank = F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1
     # One row per partition.
-    return ranged.withColumn("_r", rank).join(F.broadcast(before), "_p").withColumn("shard", F.expr(f"(_before + _r) div {size}")).drop("_p", "_r", "_before")
+    ranked = ranged.withColumn("_r", rank).join(F.broadcast(before), "_p")
+    return ranked.withColumn(name, F.col("_before") + F.col("_r")).drop("_p", "_r", "_before"), ranged.count()
+
+
+def contiguous_shards(df: DataFrame, order: str, shards: int) -> DataFrame:
+    """`df` with the shard of ceil(n / shards) consecutive rows that each is in."""
+    placed, total = running_index(df, [order], "_at")
+    size = max(1, -(-total // shards))
+    return placed.withColumn("shard", F.expr(f"_at div {size}")).drop("_at")

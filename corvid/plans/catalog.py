@@ -115,9 +115,9 @@ def q11_edit_similarity(spark, sf_dir):
     return scored.where("edit_similarity >= 0.88").withColumn("edit_similarity", F.round("edit_similarity", 6))
 
 
-@query(D_PAIRS + " SELECT item_id, doc_id, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM pairs) WHERE rank <= 20")
+@query(D_PAIRS + " SELECT item_id, doc_id, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM pairs) WHERE rank <= 2000")
 def q12_topk_candidates(spark, sf_dir):
-    return similarity.top_candidates(pairs(spark, sf_dir), 20).select("item_id", "doc_id", "shared", F.col("rank").cast("bigint").alias("rank"))
+    return similarity.top_candidates(pairs(spark, sf_dir), 2000).select("item_id", "doc_id", "shared", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(D_PAIRS + " SELECT item_id, doc_id, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment FROM pairs WHERE jaccard >= 0.86 OR containment >= 0.92 ORDER BY item_id, jaccard DESC, containment DESC, doc_id")

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 import regex
 
-from corvid.plans import code_catalog, loop_catalog, operator_catalog, tree_catalog  # noqa: F401  they register their queries
+from corvid.plans import code_catalog, loop_catalog, operator_catalog, task_catalog, tree_catalog  # noqa: F401  they register their queries
 from corvid.plans.catalog import QUERIES, SQL
 
 
