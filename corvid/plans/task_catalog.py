@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.functions import code, text
+from corvid.functions import code, features, prompts, text
 from corvid.operators import contracts, ordering
 from corvid.plans.code_catalog import D_CONTROL, HARD, NESTED, among
 from corvid.plans.registry import query
@@ -106,3 +106,41 @@ def q141_running_index(spark, sf_dir):
     rank = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).otherwise(2)
     rows = table(spark, sf_dir, "events").select("event_id", "ts", rank.alias("split"))
     return ordering.running_index(rows, ["split", "ts", "event_id"], "idx")[0].select("event_id", (F.col("idx") + 1).alias("idx"))
+
+
+MUST = "The result has to be exact"
+NOTES = {"Keep row pointers.": "ROWPTR", "Tables are set up already.": "table"}
+COMMENT = f"""'before' || chr(10) || CASE WHEN {K} % 4 = 3 THEN '' ELSE '/* ' END || chr(10) || ' * about ' || p_name || CASE WHEN {K} % 3 = 0 THEN ' with a table' ELSE '' END || chr(10) || chr(10) || chr(10) || chr(10) || '   * more' || CASE WHEN {K} % 5 = 0 THEN ' ROWPTR' ELSE '' END || chr(10)
+    || CASE WHEN {K} % 2 = 0 THEN ' {MUST}.' || chr(10) || 'and so on' || chr(10) ELSE '' END || CASE WHEN {K} % 4 = 3 THEN '' ELSE '*/' || chr(10) || 'after' END"""
+D_BODY = f"CASE WHEN {K} % 4 = 3 THEN 'before' || chr(10) ELSE '' END || 'about ' || p_name || CASE WHEN {K} % 3 = 0 THEN ' with a table' ELSE '' END || chr(10) || 'more' || CASE WHEN {K} % 5 = 0 THEN ' ROWPTR' ELSE '' END"
+D_SAID = f"CASE WHEN {K} % 5 = 0 OR {K} % 3 = 0 THEN body || chr(10) || chr(10) || array_to_string([n for n in [CASE WHEN {K} % 5 = 0 THEN 'Keep row pointers.' END, CASE WHEN {K} % 3 = 0 THEN 'Tables are set up already.' END] if n IS NOT NULL], chr(10)) ELSE body END"
+
+
+@query(f"""WITH b AS (SELECT *, {D_BODY} AS body FROM part), s AS (SELECT *, {D_SAID} AS said FROM b)
+        SELECT {K} AS id, '#include <v.h>' || chr(10) || chr(10) || CASE WHEN {K} % 7 = 0 THEN '#define N 3' || chr(10) || chr(10) ELSE '' END || '/*' || chr(10) || said || chr(10) || chr(10) || '{MUST}' || chr(10) || '*/' || chr(10) || chr(10) || {SIG} || ' {{' || chr(10) || '}}' || chr(10) AS prompt FROM s""".replace("{{", "{").replace("}}", "}"))
+def q142_prompts(spark, sf_dir):
+    """Prompts from what comments say, with notes and one requirement; for the SQL they are put together from the row's numbers."""
+    rows = table(spark, sf_dir, "part").selectExpr(f"{K} AS id", f"{COMMENT} AS comment", f"{SIG} AS sig", f"CASE WHEN {K} % 7 = 0 THEN ' #define N 3 ' ELSE ' ' END AS prelude")
+    body = prompts.comment_body(F.col("comment"), MUST)
+    said = prompts.with_notes(body, {note: F.contains(body, F.lit(word)) for note, word in NOTES.items()})
+    return rows.select("id", prompts.prompt_text(F.col("sig"), said, F.col("prelude"), "#include <v.h>", MUST).alias("prompt"))
+
+
+@query(f"""WITH t AS (SELECT {K} AS id, p_type, CASE p_type WHEN 'ECONOMY' THEN 'sequential' WHEN 'SMALL' THEN 'hybrid' ELSE 'pure' END AS strategy, {K} % 3 = 0 AS d, {K} % 4 = 0 OR {K} % 5 = 0 AS s FROM part)
+        SELECT id, strategy, d OR s AS needs_context, CASE strategy WHEN 'sequential' THEN 'order of work matters' WHEN 'hybrid' THEN 'scalar control around vector work' ELSE 'one loop of vector work' END || CASE WHEN d THEN ';prelude defines names' ELSE '' END || CASE WHEN s THEN ';signature has types of its own' ELSE '' END AS reasons,
+          CASE WHEN strategy = 'sequential' THEN 'sequential_holdout' WHEN d OR s THEN 'requires_context_prelude' WHEN strategy = 'hybrid' THEN 'hybrid_single_function' ELSE 'pure_sve_single_function' END AS category FROM t""")
+def q143_task_strategies(spark, sf_dir):
+    """Strategy, reasons and category of every task; a table lists the ones that are not pure."""
+    listed = spark.createDataFrame([("ECONOMY", "sequential"), ("SMALL", "hybrid")], "p_type string, listed string")
+    rows = table(spark, sf_dir, "part").selectExpr(f"{K} AS id", "p_type", f"CASE WHEN {K} % 3 = 0 THEN 'int a;' || chr(10) || ' typedef int T;' WHEN {K} % 3 = 1 THEN 'a typedef' END AS prelude", f"CASE WHEN {K} % 4 = 0 THEN 'void f(std::string s)' WHEN {K} % 5 = 0 THEN 'void f(ROWPTR r)' ELSE 'void f(int n)' END AS sig")
+    # Two rows.
+    found = rows.join(F.broadcast(listed), "p_type", "left").select("id", prompts.strategy(F.col("listed"), F.col("prelude"), F.col("sig"), ("ROWPTR", "BLOCK")).alias("s"))
+    return found.select("id", "s.strategy", "s.needs_context", F.array_join("s.reasons", ";").alias("reasons"), features.primary_category(F.col("s.strategy"), F.col("s.needs_context"), F.lit(False)).alias("category"))
+
+
+@query(f"""SELECT {K} AS id, CASE {K} % 3 WHEN 0 THEN 'int main() {{ puts("correctness"); }}' WHEN 1 THEN 'void t();' ELSE 'int x;' || chr(10) || 'static int checked_main(void) {{ return t(); }}' || chr(10) || chr(10) || 'int main(void) {{' || chr(10) || '    int rc = checked_main();' || chr(10)
+        || '    printf("{{ ' || chr(92) || '"correctness' || chr(92) || '": %s }}' || chr(92) || 'n", rc == 0 ? "1" : "0");' || chr(10) || '    return 0;' || chr(10) || '}}' || chr(10) END AS harness, 'extern void f' || ({K} % 20) || '(float *a, int n);' AS declared FROM part""".replace("{{", "{").replace("}}", "}"))
+def q144_harnesses(spark, sf_dir):
+    made = F.when(F.col("id") % 3 == 0, '```c\nint main() { puts("correctness"); }\n```').when(F.col("id") % 3 == 1, " void t(); ").otherwise("int x;\nint  main ( void ) { return t(); }\n ")
+    rows = table(spark, sf_dir, "part").selectExpr(f"{K} AS id", f"' ' || {SIG} || ';; ' AS sig")
+    return rows.select("id", prompts.reporting_harness(made).alias("harness"), prompts.extern_declaration(F.col("sig")).alias("declared"))

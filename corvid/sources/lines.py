@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from corvid.operators.ordering import running_index
 from corvid.sources.tables import exists, materialize
 
 
@@ -95,6 +96,31 @@ def read_splits(spark: SparkSession, splits: dict[str, str], schema: StructType
     return out
 
 
+def read_benchmarks(spark: SparkSession, benchmarks: dict[str, tuple[str, dict[str, list[str]]]], schema: StructType | str | None = None, intrinsic: str = "SVE") -> DataFrame:
+    """Rows of several benchmarks in one shape, split `benchmark`: for each its file and the fields as in `read_splits`.
+
+    A row that names another intrinsic than the asked one (in any case) is left out; one that names none stays.
+    """
+    out = None
+    for name, (path, fields) in benchmarks.items():
+        rows = read_splits(spark, {"benchmark": path}, schema, name, fields)
+        if "intrinsic" in rows.columns:
+            named = F.coalesce(F.col("intrinsic").cast("string"), F.lit(""))
+            rows = rows.where((named == "") | (F.upper(named) == intrinsic))
+        rows = rows.select("dataset", "split", "row_index", *fields)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def read_items(spark: SparkSession, splits: dict[str, str], schema: StructType | str | None = None, fields: dict[str, list[str]] | None = None) -> DataFrame:
+    """Rows of all splits with `_idx`, their number from 1 on over the splits as they are named and their lines."""
+    rank = F.lit(len(splits))
+    for k, split in enumerate(splits):
+        rank = F.when(F.col("split") == split, F.lit(k)).otherwise(rank)
+    rows = read_splits(spark, splits, schema, fields=fields).withColumn("_rank", rank)
+    return running_index(rows, ["_rank", "row_index"], "_idx")[0].withColumn("_idx", F.col("_idx") + 1).drop("_rank")
+
+
 def in_input_order(rows: DataFrame, first: str = "train") -> DataFrame:
     """Rows by split, `first` before the others, then by line."""
     return rows.orderBy(F.col("split") != first, "split", "row_index")

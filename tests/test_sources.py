@@ -63,6 +63,17 @@ def test_splits(spark, tmp_path):
     assert [(r.split, r.row_index, r.id, r.text, r.dataset) for r in got] == [("train", 1, 1, "x", "core"), ("train", 3, 2, "y", "core"), ("dev", 1, 3, "", "core")]
 
 
+def test_items_and_benchmarks(spark, tmp_path):
+    (tmp_path / "t.jsonl").write_text("".join(f'{{"id": {k}}}\n' for k in range(40)))
+    (tmp_path / "d.jsonl").write_text('{"id": 100}\n\n{"id": 101}\n')
+    got = lines.read_items(spark, {"train": f"{tmp_path}/t.jsonl", "dev": f"{tmp_path}/d.jsonl"}).collect()
+    assert sorted((r._idx, r.split, r.row_index, r.id) for r in got) == [(k + 1, "train", k + 1, k) for k in range(40)] + [(41, "dev", 1, 100), (42, "dev", 3, 101)]
+    (tmp_path / "a.jsonl").write_text('{"task": "x", "intrinsic": "sve", "code": "c"}\n{"task": "y", "intrinsic": "NEON"}\n{"task": "z", "intrinsic": ""}\n')
+    (tmp_path / "b.jsonl").write_text('{"name": "n", "serial": "s", "code": ""}\n')
+    rows = lines.read_benchmarks(spark, {"a": (f"{tmp_path}/a.jsonl", {"id": ["task"], "scalar": ["code"]}), "b": (f"{tmp_path}/b.jsonl", {"id": ["name"], "scalar": ["code", "serial"]})}).collect()
+    assert sorted((r.dataset, r.split, r.row_index, r.id, r.scalar) for r in rows) == [("a", "benchmark", 1, "x", "c"), ("a", "benchmark", 3, "z", ""), ("b", "benchmark", 1, "n", "s")]
+
+
 def test_files_and_documents(spark, tmp_path):
     deep = tmp_path / "x" / "y"
     deep.mkdir(parents=True)
