@@ -40,6 +40,69 @@ POINTER_STEP = r"\*\s*[A-Za-z_]\w*\s*\+\+"
 NAME = r"^[A-Za-z_]\w*$"
 
 
+def says(text: Column, name: Column) -> Column:
+    """Whether a text has a name as a word."""
+    return F.rlike(text, F.concat(F.lit(r"\b"), name, F.lit(r"\b")))
+
+
+def like(text: Column, pattern: str) -> Column:
+    return F.rlike(text, F.lit(pattern))
+
+
+def none(xs: Column) -> Column:
+    return F.coalesce(F.size(xs), F.lit(0)) < 1
+
+
+def text(c: Column) -> Column:
+    """Blanks squeezed; null: empty."""
+    return F.coalesce(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
+
+
+def whole(i: Column) -> Column:
+    """An item without nulls."""
+    return F.struct(
+        i["begin"].alias("begin"), text(i["lhs"]).alias("lhs"), text(i["rhs"]).alias("rhs"), F.coalesce(i["op"], F.lit("=")).alias("op"), F.coalesce(i["declared"], F.lit(False)).alias("declared"), F.coalesce(i["initializer"], F.lit(False)).alias("initializer"),
+        F.coalesce(i["writes"], F.array()).alias("writes"), F.coalesce(i["reads"], F.array()).alias("reads"),
+    )
+
+
+# What an item is by itself.
+
+
+def writes(i: Column) -> Column:
+    return ~none(i["writes"])
+
+
+def scalar(i: Column) -> Column:
+    return none(i["writes"]) & like(i["lhs"], NAME)
+
+
+def from_itself(i: Column) -> Column:
+    """Whether a name gets its new value from its old one."""
+    return scalar(i) & ~i["declared"] & ((i["op"] != "=") | says(i["rhs"], i["lhs"]))
+
+
+def reduces(i: Column) -> Column:
+    return scalar(i) & ((i["op"] != "=") | (like(i["lhs"], GATHERS) & says(i["rhs"], i["lhs"])))
+
+
+def updates(i: Column) -> Column:
+    return scalar(i) & ~i["declared"] & ((i["op"] != "=") | says(i["rhs"], i["lhs"]) | i["rhs"].isin(*CONSTANTS))
+
+
+def gathers(i: Column) -> Column:
+    """Whether elements that an item reads go into the name that it updates."""
+    return reduces(i) & ~none(i["reads"]) & (i["op"].isin("+=", "-=", "*=", "&=", "|=", "^=") | ((i["op"] == "=") & says(i["rhs"], i["lhs"])))
+
+
+def numbered(i: Column) -> Column:
+    return like(i["lhs"], INDEX_NAME) & ~i["rhs"].isin("true", "false")
+
+
+def truth(i: Column) -> Column:
+    return i["rhs"].isin("true", "false")
+
+
 def loop_flags(functions: DataFrame, id: str) -> DataFrame:
     """(id, nth, begin, end, and a boolean for each flag of the ladders) for each loop of each function, nth from 0; a null array counts as empty, a null text as an empty one."""
     arrays = ("loops", "items", "branches", "controls", "returns", "calls")
@@ -49,22 +112,16 @@ def loop_flags(functions: DataFrame, id: str) -> DataFrame:
     over = lambda outer, x: (outer["begin"] <= x["begin"]) & (x["begin"] <= outer["end"])
     here = lambda x: over(loop, x)
     some = lambda xs, f: F.coalesce(F.exists(xs, lambda x: F.coalesce(f(x), F.lit(False))), F.lit(False))
-    none = lambda xs: F.coalesce(F.size(xs), F.lit(0)) < 1
-    text = lambda c: F.coalesce(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
-    says = lambda c, name: F.rlike(c, F.concat(F.lit(r"\b"), name, F.lit(r"\b")))
-    like = lambda c, pattern: F.rlike(c, F.lit(pattern))
     match = lambda *xs: fold(and_, xs)
 
     # First the parts of a loop, each worked out once.
     others = F.filter("loops", lambda o: here(o) & ~((o["begin"] == loop["begin"]) & (o["end"] == loop["end"])))
-    tidy = F.transform(F.filter("items", here), lambda i: F.struct(i["begin"].alias("begin"), text(i["lhs"]).alias("lhs"), text(i["rhs"]).alias("rhs"), F.coalesce(i["op"], F.lit("=")).alias("op"), F.coalesce(i["declared"], F.lit(False)).alias("declared"), F.coalesce(i["initializer"], F.lit(False)).alias("initializer"), F.coalesce(i["writes"], F.array()).alias("writes"), F.coalesce(i["reads"], F.array()).alias("reads")))
+    tidy = F.transform(F.filter("items", here), whole)
     rows = barrier(rows.withColumn("in", F.struct(others.alias("inner"), F.filter(tidy, lambda i: ~i["initializer"]).alias("items"), loop_spec(text(loop["header"])).alias("spec"), text(loop["header"]).alias("header"))), "in")
     inner, items, spec, header = (col("in")[k] for k in ("inner", "items", "spec", "header"))
     direct_inner = F.filter(inner, lambda c: ~some(inner, lambda o: over(o, c) & (o["end"] - o["begin"] > c["end"] - c["begin"])))
     direct = F.filter(items, lambda i: ~some(inner, lambda o: over(o, i)))
     direct_branches = F.filter("branches", lambda b: here(b) & ~some(inner, lambda o: over(o, b)))
-    scalar = lambda i: none(i["writes"]) & like(i["lhs"], NAME)
-    from_itself = lambda i: scalar(i) & ~i["declared"] & ((i["op"] != "=") | says(i["rhs"], i["lhs"]))
     names = lambda xs, f: F.array_distinct(F.transform(F.filter(xs, f), lambda i: i["lhs"]))
     states, locals_, assigned = names(items, from_itself), names(items, lambda i: i["declared"] & scalar(i)), names(items, lambda i: scalar(i) & ~i["declared"])
     rows = barrier(rows.withColumn("of", F.struct(direct_inner.alias("inner"), direct.alias("items"), direct_branches.alias("branches"), states.alias("states"), locals_.alias("locals"), F.array_except(states, locals_).alias("carried"), F.array_except(assigned, locals_).alias("assigned"))), "of")
@@ -74,9 +131,6 @@ def loop_flags(functions: DataFrame, id: str) -> DataFrame:
     var = spec["var"]
     indexed = lambda refs: some(refs, lambda r: says(r["index"], var))
     indirect = lambda refs: some(refs, lambda r: like(r["index"], r"\b[A-Za-z_]\w*\s*\["))
-    writes = lambda i: ~none(i["writes"])
-    reduces = lambda i: scalar(i) & ((i["op"] != "=") | (like(i["lhs"], GATHERS) & says(i["rhs"], i["lhs"])))
-    updates = lambda i: scalar(i) & ~i["declared"] & ((i["op"] != "=") | says(i["rhs"], i["lhs"]) | i["rhs"].isin(*CONSTANTS))
     conditions = lambda names: some(branches, lambda b: some(names, lambda n: says(text(b["cond"]), n)))
     returns_in = lambda b: some(col("returns"), lambda r: over(b, r))
     jumps = lambda x: x["kind"].isin("BreakStmt", "ContinueStmt")
@@ -100,13 +154,10 @@ def loop_flags(functions: DataFrame, id: str) -> DataFrame:
     picks = lambda i: match(scalar(i), ~i["declared"], i["op"] == "=", i["rhs"] != "", i["rhs"] != i["lhs"], ~is_container(i["lhs"]), ~like(i["rhs"], r"\b(?:std::)?(?:vector|string|map|unordered_map|set|unordered_set)\b"), ~none(i["reads"]) | like(i["rhs"], NAME))
     packs = lambda i: match(scalar(i), ~i["declared"], i["op"] == "=", is_container(i["lhs"]), like(i["rhs"], r"^\{.*\b[A-Za-z_]\w*\b.*\}$"))
     under = lambda i: some(branches, lambda b: over(b, i))
-    numbered = lambda i: like(i["lhs"], INDEX_NAME) & ~i["rhs"].isin("true", "false")
-    truth = lambda i: i["rhs"].isin("true", "false")
     written = F.filter(own["items"], writes)
     plainly = ~some(written, lambda i: (i["op"] != "=") | indirect(i["writes"]))
     calm = match(counted, ~none(own["inner"]), ~irregular, ~side_call, ~stream, none(pairs), some(written, lambda i: indexed(i["writes"])), plainly)
     predicate_return = counted & some(branches, returns_in)
-    gathers_reads = lambda i: reduces(i) & ~none(i["reads"]) & (i["op"].isin("+=", "-=", "*=", "&=", "|=", "^=") | ((i["op"] == "=") & says(i["rhs"], i["lhs"])))
     mentioned = lambda name: some(branches, lambda b: says(text(b["cond"]), name))
     threshold = lambda n: some(branches, lambda b: returns_in(b) & says(text(b["cond"]), n))
     stepped = lambda n: some(items, lambda i: (i["lhs"] == n) & i["op"].isin("+=", "-=") & some(branches, lambda b: over(b, i) & like(text(b["cond"]), r"[A-Za-z_]\w*\s*\[")))
@@ -124,7 +175,7 @@ def loop_flags(functions: DataFrame, id: str) -> DataFrame:
         "branch_control": some(col("controls"), lambda x: jumps(x) & here(x) & some(branches, lambda b: over(b, x))),
         "condition_update": some(branches, lambda b: like(text(b["cond"]), STEPPED) | like(text(b["cond"]), ASSIGNED)),
         "carried_output": some(items, lambda i: writes(i) & some(carried, lambda n: says(i["rhs"], n))),
-        "prefix_scan": match(~none(branches), predicate_return, (~some(items, writes) & some(carried, lambda n: threshold(n) & stepped(n))) | (~irregular & some(items, lambda i: gathers_reads(i) & mentioned(i["lhs"])))),
+        "prefix_scan": match(~none(branches), predicate_return, (~some(items, writes) & some(carried, lambda n: threshold(n) & stepped(n))) | (~irregular & some(items, lambda i: gathers(i) & mentioned(i["lhs"])))),
         "local_child": some(inner, lane_local),
         "array_write": some(items, writes), "reduction": some(items, reduces),
         "state_control": conditions(own["assigned"]), "condition_state": conditions(carried),
@@ -143,3 +194,32 @@ def loop_flags(functions: DataFrame, id: str) -> DataFrame:
         "pointer_stream": stream,
     }
     return rows.select(id, "nth", loop["begin"].alias("begin"), loop["end"].alias("end"), *(F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items()))
+
+
+PLAIN = r"^(?:[-+]?(?:0x[0-9A-Fa-f]+|\d+(?:\.\d+)?)[uUlLfF]*|true|false|NULL|nullptr|\"\"|\{\s*\}|[A-Za-z_]\w*)?$"
+
+
+def item_flags(functions: DataFrame, regions: DataFrame, id: str) -> DataFrame:
+    """(id, nth, at, kind, op, line, and a boolean for each flag of the label ladder): the items of each function with the innermost loop that holds them, nth null outside of loops.
+
+    `regions` has (id, nth, begin, end, kind, vector) of each loop. An item is
+    `reducing` if its loop or one around it runs as a vector loop, and `local` if
+    an item of its loop or of one below declares its name.
+    """
+    held = F.sort_array(F.collect_list(F.struct(F.col("end") - F.col("begin"), "nth", "begin", "end", "kind", "vector")))
+    rows = functions.select(id, F.transform(F.coalesce("items", F.array()), whole).alias("items")).join(regions.groupBy(id).agg(held.alias("loops")), id, "left")
+    rows = barrier(rows.withColumn("loops", F.coalesce("loops", F.array())).select(id, "items", "loops", F.posexplode("items").alias("at", "item")), "item")
+    i = F.col("item")
+    around = F.filter("loops", lambda o: (o["begin"] <= i["begin"]) & (i["begin"] <= o["end"]))
+    rows = rows.withColumn("around", around).withColumn("loop", F.get("around", 0))
+    loop = F.col("loop")
+    inside = lambda x: (loop["begin"] <= x["begin"]) & (x["begin"] <= loop["end"])
+    lower = lambda x: F.exists("loops", lambda o: (o["nth"] != loop["nth"]) & (loop["begin"] <= o["begin"]) & (o["end"] <= loop["end"]) & (o["begin"] <= x["begin"]) & (x["begin"] <= o["end"]))
+    declares = lambda deep: F.coalesce(F.exists("items", lambda x: x["declared"] & none(x["writes"]) & ~x["initializer"] & (x["lhs"] == i["lhs"]) & inside(x) & (F.lit(True) if deep else ~lower(x))), F.lit(False))
+    vector = F.coalesce(loop["vector"], F.lit(False))
+    flags = {
+        "initializer": i["initializer"], "declaration": i["declared"], "plain_init": i["declared"] & none(i["writes"]) & none(i["reads"]) & (i["op"] == "=") & like(i["lhs"], NAME) & like(i["rhs"], PLAIN),
+        "prefix_update": gathers(i), "vector": vector, "direct_local": declares(False), "scalar_lhs": scalar(i), "reducing": F.exists("around", lambda o: o["vector"]), "local": declares(True),
+        "boolean_state": truth(i), "arg_index": numbered(i), "state_update": updates(i), "scalar_reduction": reduces(i), "writes": writes(i), "reads": ~none(i["reads"]),
+    }
+    return rows.select(id, loop["nth"].alias("nth"), "at", i["begin"].alias("begin"), F.coalesce(loop["kind"], F.lit("")).alias("kind"), i["op"].alias("op"), F.concat_ws(" ", i["lhs"], i["op"], i["rhs"]).alias("line"), *(F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items()))

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.functions import loops, regions
+from corvid.operators import nesting
 from corvid.plans.registry import query
-from corvid.sources.tables import table
+from corvid.sources.tables import materialize, table
 
 HEAD, UP, BACK = "for (int @v = 0; @v < n; ++@v)", "for (int @v = 1; @v < n; ++@v)", "while (lo < hi)"
 
@@ -100,9 +101,13 @@ ALL_KINDS = [(k, nth, kind) for k, (_, mine, _, below) in enumerate(RECORDS) for
 D_WANTED = "(VALUES " + ", ".join(f"({k}, {nth}, '{kind}')" for k, nth, kind in ALL_KINDS) + ") w(k, nth, kind)"
 
 
-def flags_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", f"{CHOSEN} AS j")
-    return loops.loop_flags(rows.select("id", F.from_json("j", loops.RECORD).alias("r")).select("id", "r.*"), "id")
+    return rows.select("id", F.from_json("j", loops.RECORD).alias("r")).select("id", "r.*")
+
+
+def flags_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loops.loop_flags(records(spark, sf_dir), "id")
 
 
 @query(f"SELECT p_partkey AS id, nth, kind FROM part JOIN {D_WANTED} ON {WHICH} = k")
@@ -111,9 +116,68 @@ def q134_loop_kinds(spark, sf_dir):
     return flags_of(spark, sf_dir).select("id", "nth", regions.region_kind().alias("kind"))
 
 
+def kinds_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, nth, begin, end, kind, vector) of every loop; none of these steps through tasks or base pointers, or repeats one update."""
+    absent = {k: F.lit(False) for k in ("scheduler", "pointer_scheduler", "invariant_update")}
+    flags = flags_of(spark, sf_dir).withColumn("kind", regions.region_kind()).withColumns(absent)
+    return flags.select("id", "nth", "begin", "end", "kind", regions.runs_as_vector().alias("vector"))
+
+
 @query("SELECT p_partkey AS id, vector FROM part JOIN (VALUES " + ", ".join(f"({k}, {vector})" for k, (_, _, vector, _) in enumerate(RECORDS)) + f") w(k, vector) ON {WHICH} = k")
 def q135_vector_loops(spark, sf_dir):
-    """Whether the outermost loop of every record runs as a vector loop; none of these steps through tasks or base pointers, or repeats one update."""
-    kinds = flags_of(spark, sf_dir).where("nth = 0").withColumn("kind", regions.region_kind())
-    absent = {k: F.lit(False) for k in ("scheduler", "pointer_scheduler", "invariant_update")}
-    return kinds.withColumns(absent).select("id", regions.runs_as_vector().alias("vector"))
+    """Whether the outermost loop of every record runs as a vector loop."""
+    return kinds_of(spark, sf_dir).where("nth = 0").select("id", "vector")
+
+
+#: Labels of each record's items, in their order, by hand.
+LABELLED = [
+    "write write reduce reduce", "write update update", "update", "init reduce write", "write", "write", "write", "scan write", "update write", "reduce", "scan", "reduce", "compute", "update write", "init compute write", "compute",
+    "update", "compute", "compute", "arg_reduce", "reduce", "state_reduce", "compute", "write", "write write", "write", "write", "write init reduce", "reduce", "conflict_update", "reduce", "reduce", "lane_update",
+    "init scan write", "reduce", "reduce", "compute compute", "write", "write", "write", "- write", "write", "write", "write", "write", "",
+]
+D_LABELS = "(VALUES " + ", ".join(f"({k}, {at}, '{label.strip('-')}')" for k, labels in enumerate(LABELLED) for at, label in enumerate(labels.split())) + ") w(k, item, label)"
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The loops with their kinds, and the items with their labels."""
+    kinds = materialize(kinds_of(spark, sf_dir))
+    return kinds, loops.item_flags(records(spark, sf_dir), kinds, "id").withColumn("label", regions.item_label())
+
+
+@query(f"SELECT p_partkey AS id, item, label FROM part JOIN {D_LABELS} ON {WHICH} = k")
+def q145_loop_item_labels(spark, sf_dir):
+    """The label of every item of every record, from what it does and from the loops around it."""
+    return labelled(spark, sf_dir)[1].select("id", F.col("at").alias("item"), "label")
+
+
+def rendered(k: int) -> str:
+    """A record's text, put together by hand from the kinds and labels above."""
+    r, names = json.loads(RECORDS[k][0]), [n for n in LABELLED[k].split()]
+    own = [(o["begin"], o["end"], f"loop {o['header']}: {kind}") for o, kind in zip(r["loops"], [RECORDS[k][1], *RECORDS[k][3]], strict=True)]
+    things = [(b, e, head, True) for b, e, head in own] + [(i["begin"], i["begin"], f"{label}: {i['lhs']} {i['op']} {i['rhs']}", False) for i, label in zip(r["items"], names, strict=True) if label != "-"]
+
+    def inside(lo: int, hi: int, step: str) -> list[str]:
+        out, at = [], lo
+        for b, e, head, loop in sorted(things):
+            if at <= b <= hi and (b, e) != (lo, hi):
+                out += [f"{step}{head} {{", *inside(b, e, step + "  "), f"{step}}}"] if loop else [step + head]
+                at = e + 1 if loop else at
+        return out
+
+    return "\n".join(inside(0, 10_000, ""))
+
+
+D_RENDERED = "(VALUES " + ", ".join("({}, '{}')".format(k, rendered(k).replace("'", "''")) for k in range(len(RECORDS))) + ") w(k, t)"
+
+
+@query(f"SELECT p_partkey AS id, replace(replace(t, '@v', CASE WHEN p_size % 2 = 0 THEN 'i' ELSE 'row' END), '@n', cast(p_size AS string)) AS text FROM part JOIN {D_RENDERED} ON {WHICH} = k")
+def q146_rendered_regions(spark, sf_dir):
+    """Every record as nested text: loops with their kinds, and in them, in order, the labelled items and the inner loops."""
+    kinds, items = labelled(spark, sf_dir)
+    name = lambda of, n: F.concat(F.lit(of), F.col(n).cast("string"))
+    heads = records(spark, sf_dir).select("id", F.posexplode("loops").alias("nth", "l")).select("id", "nth", F.col("l.header").alias("header"))
+    outer = kinds.select("id", F.col("nth").alias("above"), F.col("begin").alias("b"), F.col("end").alias("e"))
+    around = kinds.join(outer, "id").where("b <= begin AND end <= e AND above <> nth").groupBy("id", "nth").agg(F.min(F.struct(F.col("e") - F.col("b"), "above"))["above"].alias("above"))
+    rows = kinds.join(heads, ["id", "nth"]).join(around, ["id", "nth"], "left").select(F.col("id").alias("tree"), name("loop", "nth").alias("id"), name("loop", "above").alias("parent"), F.col("begin").alias("place"), F.concat(F.lit("loop "), "header", F.lit(": "), "kind", F.lit(" {")).alias("head"), F.lit("}").alias("tail"))
+    lines = items.where("label <> ''").select(F.col("id").alias("tree"), name("item", "at").alias("id"), name("loop", "nth").alias("parent"), F.col("begin").alias("place"), F.concat("label", F.lit(": "), "line").alias("head"), F.lit(None).cast("string").alias("tail"))
+    return nesting.assembled(rows.unionByName(lines), "tree", "id", "parent", "place", "head", "tail").select(F.col("tree").alias("id"), "text")
