@@ -21,9 +21,14 @@ from pyspark.sql.types import DoubleType, StringType
 
 from corvid.llm.frames import extended, tidy
 from corvid.llm.textbytes import LOWER, flat, slices
+from corvid.sources.tables import materialize
 
 #: Distinct labelled texts that each language is learned from, at most; they are read whole.
 TRAIN_DOCS = 64
+#: Bytes of text that a language is learned from, and all languages together, at most.
+TRAIN_BYTES, MODEL_BYTES = 1 << 18, 1 << 20
+#: Languages whose counts are sent to every executor, at most; more are joined by a shuffle.
+FEW_LANGUAGES = 1 << 14
 #: Bytes of a text that one lane of the parser begins with.
 PART = 2048
 #: Bytes of text that are parsed at once.
@@ -82,36 +87,47 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
     return moves
 
 
+def transitions(text: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of states, state, symbol, target) of the automaton of `text`, by state and symbol; its last state has no way on."""
+    moves = [*suffix_automaton(text), {}]
+    state = np.repeat(np.arange(len(moves), dtype=np.int32), [len(m) for m in moves])
+    symbol = np.fromiter((c for m in moves for c in m), np.uint8, len(state))
+    to = np.fromiter((t for m in moves for t in m.values()), np.int32, len(state))
+    order = np.lexsort((symbol, state))
+    return len(moves), state[order], symbol[order], to[order]
+
+
 def compile_automata(texts: dict[str, bytes]) -> dict:
+    return assemble({name: transitions(t) for name, t in texts.items()})
+
+
+def assemble(parts: dict[str, tuple]) -> dict:
     """All languages' automata in arrays: per state and 64 symbols a bit mask of the transitions and where they begin in `to`.
 
     `first` [language, symbol] is the state after a phrase's first symbol; a
     symbol that the language lacks leads to its last state, which has no way on.
     """
-    languages = sorted(texts)
-    used = sorted({c for t in texts.values() for c in t})
+    languages = sorted(parts)
+    used = np.unique(np.concatenate([np.zeros(0, np.uint8), *(symbol for _, _, symbol, _ in parts.values())]))
     alphabet = np.zeros(256, dtype=np.uint8)
     alphabet[used] = np.arange(1, len(used) + 1)
     width = -(-(len(used) + 1) // WORD)
     masks, targets, first, base = [], [], [], 0
     for name in languages:
-        moves = [*suffix_automaton(texts[name]), {}]
-        state = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
-        symbol = alphabet[np.fromiter((c for m in moves for c in m), np.int64, len(state))].astype(np.int64)
-        to = np.fromiter((t for m in moves for t in m.values()), np.int64, len(state)) + base
-        order = np.argsort(state * 256 + symbol, kind="stable")
-        state, symbol, to = state[order], symbol[order], to[order]
-        mask = np.zeros(len(moves) * width, np.uint64)
-        np.bitwise_or.at(mask, state * width + symbol // WORD, np.uint64(1) << (symbol % WORD).astype(np.uint64))
-        own = np.full(len(used) + 1, base + len(moves) - 1)
+        states, state, symbol, to = parts[name]
+        # Symbols keep their order, so transitions are by state and new symbol already.
+        symbol, to = alphabet[symbol].astype(np.int64), to + np.int32(base)
+        mask = np.zeros(states * width, np.uint64)
+        np.bitwise_or.at(mask, state.astype(np.int64) * width + symbol // WORD, np.uint64(1) << (symbol % WORD).astype(np.uint64))
+        own = np.full(len(used) + 1, base + states - 1)
         own[symbol[state == 0]] = to[state == 0]
         masks.append(mask)
         targets.append(to)
         first.append(own)
-        base += len(moves)
+        base += states
     mask = np.concatenate(masks) if masks else np.zeros(0, np.uint64)
     size = np.bitwise_count(mask).astype(np.int64)
-    to = np.concatenate(targets) if targets else np.zeros(0, np.int64)
+    to = np.concatenate(targets) if targets else np.zeros(0, np.int32)
     return {"languages": languages, "alphabet": alphabet, "width": width, "mask": mask, "begin": (np.cumsum(size) - size).astype(np.int32), "to": np.append(to, 0).astype(np.int32), "first": np.array(first, np.int32).reshape(len(languages), len(used) + 1)}
 
 
@@ -205,31 +221,46 @@ def predict(model: dict, column: pa.Array) -> tuple[list, np.ndarray]:
     return langs, np.concatenate(scores) if scores else np.zeros(0)
 
 
+def training_texts(labelled: DataFrame, text: str, lang: str, sample: int) -> DataFrame:
+    """(l, h, t): of each language the distinct texts that it is learned from, with their hashes; see `fit`."""
+    own = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("l"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    counts = materialize(own.groupBy("l").agg(F.approx_count_distinct("h").alias("n")))
+    names = counts.count()
+    most = max(1, min(TRAIN_BYTES, MODEL_BYTES // max(1, names)))
+    # A bound on the hash lets about four times the sample through, of each language; ranks choose among those.
+    counts = counts.select("l", (4.0 * (sample + 16) / F.greatest("n", F.lit(1))).alias("share"))
+    low = own.join(F.broadcast(counts) if names <= FEW_LANGUAGES else counts, "l").where((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= F.col("share"))
+    texts = low.groupBy("l", "h").agg(F.min("t").alias("t")).withColumn("b", F.octet_length("t").cast("long") + 2)
+    order = W.partitionBy("l").orderBy(F.col("b") > most, "h")
+    ranked = texts.withColumn("r", F.row_number().over(order)).withColumn("s", F.sum("b").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    chosen = ranked.where((F.col("r") == 1) | ((F.col("r") <= sample) & (F.col("s") <= most)))
+    return chosen.select("l", "h", F.when(F.col("b") > most, F.substr("t", F.lit(1), F.lit(most))).otherwise(F.col("t")).alias("t"))
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = TRAIN_DOCS) -> dict:
     """The automata, from at most `sample` distinct texts of each language, read whole.
 
     They are the first by a hash of the text, so rows of one text count once and
-    ties don't matter. Null languages and null or empty texts teach nothing. The driver
-    holds those texts, and one language's automaton while it is built.
+    ties don't matter. Null languages and null or empty texts teach nothing. Each
+    language takes TRAIN_BYTES of text at most, and all together MODEL_BYTES: longer texts
+    come last, and what goes beyond is left out. Only where a language has no text
+    within its share does it learn from the beginning of one.
+
+    One task builds a language's automaton; the driver gets them as arrays, about
+    30 bytes for each byte of text.
     """
-    own = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("l"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    counts = {r.l: r.n for r in own.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
-    # A bound on the hash lets about four times the sample through, of each language; ranks choose among those.
-    bound = F.lit(None).cast("long")
-    for name, n in counts.items():
-        share = min(1.0, 4.0 * (sample + 16) / max(1, n))
-        bound = F.when(F.col("l") == name, F.lit(int(-(2**63) + min(2**64 - 1, share * 2**64)))).otherwise(bound)
-    low = own.where(F.col("h") <= bound)
-    ranked = low.select("l", "h").distinct().withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h"))).where(F.col("r") <= sample)
-    first = low.join(F.broadcast(ranked.select("l", "h")), ["l", "h"], "left_semi").groupBy("l", "h").agg(F.min("t").alias("t"))
-    samples: dict[str, list] = {}
-    for r in first.collect():
-        samples.setdefault(r.l, []).append((r.h, " " + r.t + " "))
-    texts = {}
-    for name, rows in samples.items():
-        parts, _ = normalize(*flat(pa.array([t for _, t in sorted(rows)])))
-        texts[name] = parts.tobytes()
-    return compile_automata({k: v for k, v in texts.items() if v.strip()})
+
+    def build(t):
+        rows = sorted(zip(t["h"].to_pylist(), t["t"].to_pylist(), strict=True))
+        low, _ = normalize(*flat(pa.array([f" {x} " for _, x in rows])))
+        if not low.tobytes().strip():
+            return pa.table({"l": pa.array([], pa.string()), "states": pa.array([], pa.int64()), **{k: pa.array([], pa.binary()) for k in ("state", "symbol", "target")}})
+        states, *arrays = transitions(low.tobytes())
+        out = {"l": pa.array([t["l"][0].as_py()], pa.string()), "states": pa.array([states], pa.int64())}
+        return pa.table(out | {k: pa.array([x.tobytes()], pa.binary()) for k, x in zip(("state", "symbol", "target"), arrays, strict=True)})
+
+    built = training_texts(labelled, text, lang, sample).groupBy("l").applyInArrow(build, "l string, states long, state binary, symbol binary, target binary").collect()
+    return assemble({r.l: (r.states, np.frombuffer(r.state, np.int32), np.frombuffer(r.symbol, np.uint8), np.frombuffer(r.target, np.int32)) for r in built})
 
 
 def identify(docs: DataFrame, model: dict, text: str = "text", lang_pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:

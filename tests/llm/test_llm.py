@@ -527,23 +527,49 @@ def test_language_id(spark, docs, odd, none):
     assert {r.lang_pred for r in language_id.identify(odd, language_id.fit(none)).collect()} == {"und"}
 
 
-def test_language_model_ranks_distinct_texts(spark, monkeypatch):
-    learned = {}
-    monkeypatch.setattr(language_id, "compile_automata", lambda texts: learned.update(texts))
+def learned(rows, spark, sample=language_id.TRAIN_DOCS):
+    """Of each language the texts that it is learned from."""
+    out = {}
+    for r in language_id.training_texts(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", sample).collect():
+        out.setdefault(r.l, set()).add(r.t)
+    return out
+
+
+def test_language_model_ranks_distinct_texts(spark):
     own = [f"{w} and more" for w in ("alpha", "bravo", "charlie", "delta", "echo", "foxtrot")]
-    language_id.fit(spark.createDataFrame([(t, "en") for t in own], "text string, lang string"), sample=4)
-    alone = dict(learned)
-    language_id.fit(spark.createDataFrame([(t, "en") for t in own for _ in range(9)], "text string, lang string"), sample=4)
-    assert learned == alone and alone["en"].count(b"and more") == 4
-
-
-def test_language_model_reads_whole_texts_and_ties(spark, monkeypatch):
-    learned = {}
-    monkeypatch.setattr(language_id, "compile_automata", lambda texts: learned.update(texts))
-    rows = [("same words " * 3, "en")] * 20_000 + [("long text " * 4000 + "ending", "en"), ("wort", "de"), ("x", None), (None, "de")]
-    language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
-    assert set(learned) == {"en", "de"}
-    assert learned["en"].count(b"same words") == 3 and learned["en"].count(b"long text") == 4000 and b"ending" in learned["en"]
+    alone = learned([(t, "en") for t in own], spark, sample=4)
+    assert learned([(t, "en") for t in own for _ in range(9)], spark, sample=4) == alone and len(alone["en"]) == 4
+
+
+def test_language_model_reads_whole_texts_and_ties(spark):
+    long = "long text " * 4000 + "ending"
+    rows = [("same words " * 3, "en")] * 20_000 + [(long, "en"), ("wort", "de"), ("x", None), (None, "de")]
+    assert learned(rows, spark) == {"en": {"same words " * 3, long}, "de": {"wort"}}
+
+
+def test_language_model_is_bounded_in_bytes(spark, monkeypatch):
+    """Shares of the bytes by the number of languages; a language of long texts only learns from the beginning of one."""
+    monkeypatch.setattr(language_id, "TRAIN_BYTES", 100)
+    monkeypatch.setattr(language_id, "MODEL_BYTES", 240)
+    rows = [(f"{k:02d} " + "a" * 25, "en") for k in range(20)] + [("b" * 500, "de"), ("c" * 90, "fr"), ("c" * 40, "fr")]
+    got = learned(rows, spark)
+    assert {k: sorted(map(len, v)) for k, v in got.items()} == {"en": [28, 28], "de": [80], "fr": [40]}
+
+
+def test_thousands_of_languages(spark):
+    names = [f"l{k}" for k in range(3000)]
+    rows = [(f"{n} {n[::-1]} " * 3, n) for n in names]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string").repartition(2))
+    assert model["languages"] == sorted(names)
+    assert len(model["first"]) == 3000 and len(model["mask"]) % model["width"] == 0
+
+
+def test_long_training_texts_stay_off_the_driver(spark):
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
+    rows = [(" ".join(rng.choice(words) for _ in range(25_000)), "en") for _ in range(12)]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model["to"]) < 4 * language_id.TRAIN_BYTES
 
 
 def test_language_columns_with_clashing_names(spark, docs):
