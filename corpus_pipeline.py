@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm import decontaminate, language_id, mixing, ngram_join, sharding
-from corvid.llm.frames import unused
+from corvid.llm.frames import small_batches, unused
 from corvid.sources.tables import exists, remove, shared_folder, table
 
 
@@ -24,6 +24,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole. Repeated rows share their fate. An empty table gives an empty one. All
     columns pass unchanged, whatever their names.
     """
+    small_batches(spark)
     model = language_id.fit(docs.where(~language_id.held_out()))
     told, score = unused(docs, "told", "score")
     return language_id.identify(docs, model, lang_pred=told, score=score).where(F.col(told) != language_id.UNDETERMINED).drop(told, score)
@@ -37,6 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     nothing and stay. Rows of one id stay or go together. An empty table gives an
     empty one. All columns pass unchanged, whatever their names.
     """
+    small_batches(spark)
     return ngram_join.one_of_each(docs, width=5, percent=80)
 
 
@@ -47,6 +49,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     benchmark is empty. Repeated rows share their fate. All columns pass
     unchanged, whatever their names.
     """
+    small_batches(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -58,6 +61,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     their fate. An empty table gives an empty one. All columns pass unchanged; one
     named like an inner mix_ column does too.
     """
+    small_batches(spark)
     inner = [c for c in docs.columns if c.lower().startswith("mix_")]
     aside = dict(zip(inner, unused(docs, *(f"kept_{c}" for c in inner)), strict=True))
     mixed = mixing.mix(docs.withColumnsRenamed(aside)).where("mix_kept")
@@ -70,6 +74,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Equal texts share a shard; null counts as empty. Repeated rows get a slot
     each, null ids too. An empty table gives an empty one. Other columns are not read.
     """
+    small_batches(spark)
     return sharding.shard(docs)
 
 

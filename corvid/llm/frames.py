@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DataType, StructField, StructType
 
 
@@ -32,6 +32,15 @@ def release() -> None:
         trim(0)
 
 
+#: Bytes of a batch of rows that a Python worker gets at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python workers in batches of BATCH_BYTES, not of up to 10,000 rows and 64 MB: batches of whole texts are held by the executor and by its worker, going in and coming out."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def tidy(run):
     """`run`, a function on a stream of batches, that releases memory after its last batch."""
 

@@ -111,6 +111,18 @@ def with_topics(docs: DataFrame, centers: np.ndarray, tokens: str, profile: str,
     return docs.mapInArrow(tidy(add), extended(docs.select(*rest), **{topic: IntegerType()}))
 
 
+def with_text_topics(docs: DataFrame, centers: np.ndarray, text: str, tokens: str, topic: str) -> DataFrame:
+    """`docs` with token count and topic of each text, in one pass of one worker."""
+    where, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(centers)
+
+    def add(batches):
+        for b in batches:
+            n, p = profiles(b.column(where))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(topics_of(p, n, shared.value))], names=[*b.schema.names, tokens, topic])
+
+    return docs.mapInArrow(tidy(add), extended(docs, **{tokens: LongType(), topic: IntegerType()}))
+
+
 def rake(cells: list[tuple], targets: list[dict], rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
     """Fitted shares of cells (a, b, ..., total): each axis's marginal shares meet the targets.
 
@@ -251,7 +263,10 @@ def mix(
     else:
         plan = spark_cell_plan(materialize(cells), share, powers, targets, rounds)
     plan = plan.select(F.struct("a", "b", "c", "weight", "probability").alias(lost))
-    every = classed(with_profiles(docs, text, "mix_tokens", profile) if keep_text else slim)
+    if keep_text and topic is None:
+        every = with_text_topics(docs, centers, text, "mix_tokens", "mix_topic").drop(own)
+    else:
+        every = classed(with_profiles(docs, text, "mix_tokens", profile) if keep_text else slim)
     on = F.col(source).eqNullSafe(F.col(f"{lost}.a")) & F.col(lang).eqNullSafe(F.col(f"{lost}.b")) & F.col("mix_topic").eqNullSafe(F.col(f"{lost}.c"))
     out = every.join(plan, on).withColumns({"mix_weight": F.col(f"{lost}.weight"), "mix_probability": F.col(f"{lost}.probability")})
     return out.withColumn("mix_kept", F.col(u) < F.col("mix_probability")).drop(lost, u)
