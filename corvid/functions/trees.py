@@ -34,7 +34,7 @@ DIGESTS = ("typed_ast", "untyped_ast", "loop_nest", "array_access", "assignment_
 
 NODE = StructType([
     StructField("depth", IntegerType()), StructField("size", IntegerType()), StructField("kind", StringType()), StructField("named", BooleanType()),
-    StructField("text", StringType()), StructField("field", StringType()), StructField("sealed", BooleanType()),
+    StructField("text", StringType()), StructField("field", StringType()), StructField("under", IntegerType()),
 ])
 
 
@@ -47,21 +47,23 @@ def is_leaf(kind: str, named: bool) -> bool:
 def parsed_nodes(texts: pd.Series) -> pd.Series:
     """All nodes of a dumped tree, parents first, each with its depth and the number of nodes in its subtree; null where the text is no JSON object.
 
-    `sealed` marks what is below a leaf of canonical texts.
+    `under` is the place of the innermost node above that is a leaf of canonical texts, -1 for none:
+    in the text of a subtree that holds that leaf the node is hidden.
     """
 
     def flat(root):
         out, open = [], []
-        todo = [(0, root, False)]
+        todo = [(0, root, -1)]
         while todo:
-            depth, node, sealed = todo.pop()
+            depth, node, under = todo.pop()
             while len(open) > depth:
                 at = open.pop()
                 out[at]["size"] = len(out) - at
             open.append(len(out))
             kind, named = str(node.get("type") or ""), node.get("named") is not False
-            out.append({"depth": depth, "size": 0, "kind": kind, "named": named, "text": str(node.get("text") or ""), "field": node.get("field"), "sealed": sealed})
-            todo += [(depth + 1, c, sealed or is_leaf(kind, named)) for c in reversed(node.get("children") or []) if isinstance(c, dict)]
+            out.append({"depth": depth, "size": 0, "kind": kind, "named": named, "text": str(node.get("text") or ""), "field": node.get("field"), "under": under})
+            below = len(out) - 1 if is_leaf(kind, named) else under
+            todo += [(depth + 1, c, below) for c in reversed(node.get("children") or []) if isinstance(c, dict)]
         for at in open:
             out[at]["size"] = len(out) - at
         return out
@@ -87,33 +89,34 @@ def _word(n: Column, typed: bool, names: bool) -> Column:
 
 
 def events(nodes: Column, opener, closer) -> Column:
-    """Openings and closings of all nodes in order, as texts: `opener` and `closer` map a node to a text."""
+    """Openings and closings of all nodes in order, each struct(text, under): `opener` and `closer` map a node to a text."""
 
     def two(n, i):
-        put = lambda at, order, deep, text: F.struct(at.alias("at"), F.lit(order).alias("order"), deep.alias("deep"), text.alias("text"))
+        put = lambda at, order, deep, text: F.struct(at.alias("at"), F.lit(order).alias("order"), deep.alias("deep"), text.alias("text"), n["under"].alias("under"))
         return F.array(put(i, 1, F.lit(0), opener(n)), put(i + n["size"], 0, -n["depth"], closer(n)))
 
     # Before a node opens, all that ends there closes, the deepest first.
-    return F.transform(F.array_sort(F.flatten(F.transform(nodes, two))), lambda e: e["text"])
+    return F.transform(F.array_sort(F.flatten(F.transform(nodes, two))), lambda e: F.struct(e["text"].alias("text"), e["under"].alias("under")))
 
 
 def tag_events(nodes: Column, typed: bool) -> Column:
     """Events of the tree's token list: kinds with closing tags, leaves by what they are, operators and brackets as they stand."""
-    opener = lambda n: F.when(n["sealed"], "").when(~n["named"], F.when(n["text"].isin(*OPERATORS, *BRACKETS), n["text"]).otherwise("")).otherwise(F.coalesce(_word(n, typed, False), n["kind"]))
-    closer = lambda n: F.when(n["sealed"] | ~n["named"] | _word(n, False, False).isNotNull(), "").otherwise(F.concat(F.lit("/"), n["kind"]))
+    opener = lambda n: F.when(~n["named"], F.when(n["text"].isin(*OPERATORS, *BRACKETS), n["text"]).otherwise("")).otherwise(F.coalesce(_word(n, typed, False), n["kind"]))
+    closer = lambda n: F.when(~n["named"] | _word(n, False, False).isNotNull(), "").otherwise(F.concat(F.lit("/"), n["kind"]))
     return events(nodes, opener, closer)
 
 
 def expression_events(nodes: Column, names: bool = False) -> Column:
     """Events of bracketed expressions: (kind part part), leaves by what they are, operators as they stand; `names` keeps names."""
-    opener = lambda n: F.when(n["sealed"], "").when(~n["named"], F.when(n["text"].isin(*OPERATORS), n["text"]).otherwise("")).otherwise(F.coalesce(_word(n, False, names), F.concat(F.lit("("), n["kind"])))
-    closer = lambda n: F.when(n["sealed"] | ~n["named"] | _word(n, False, False).isNotNull(), "").otherwise(")")
+    opener = lambda n: F.when(~n["named"], F.when(n["text"].isin(*OPERATORS), n["text"]).otherwise("")).otherwise(F.coalesce(_word(n, False, names), F.concat(F.lit("("), n["kind"])))
+    closer = lambda n: F.when(~n["named"] | _word(n, False, False).isNotNull(), "").otherwise(")")
     return events(nodes, opener, closer)
 
 
 def slice_of(ev: Column, n: Column) -> Column:
     """The events of the subtree of a node with its place `at`; before it stand the openings of all earlier nodes and the closings of all but its ancestors."""
-    return F.filter(F.slice(ev, 2 * n["at"] - n["depth"] + 1, 2 * n["size"]), lambda x: x != "")
+    shown = F.filter(F.slice(ev, 2 * n["at"] - n["depth"] + 1, 2 * n["size"]), lambda x: (x["text"] != "") & (x["under"] < n["at"]))
+    return F.transform(shown, lambda x: x["text"])
 
 
 def expression(ev: Column, n: Column) -> Column:

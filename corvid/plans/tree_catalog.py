@@ -141,15 +141,15 @@ def q124_tree_lists(spark, sf_dir):
 
 
 @query(f"""{D_FEATURES}, u AS (SELECT id, unnest({list(trees.DIGESTS)}) AS component, unnest([{", ".join(HASHES)}]) AS digest FROM d)
-    SELECT b.id AS bench_id, b.component, count(*) AS matches, min(c.id) AS first_core_id FROM u b JOIN u c USING (component, digest) WHERE b.id % 10 = 0 AND c.id % 10 <> 0 AND digest <> sha256('') GROUP BY b.id, b.component""")
+    SELECT b.id AS bench_id, b.component, count(*) AS matches, min(c.id) AS first_core_id FROM u b JOIN u c USING (component, digest) WHERE b.id % 40 < 8 AND c.id % 40 >= 8 AND digest <> sha256('') GROUP BY b.id, b.component""")
 def q125_tree_digest_matches(spark, sf_dir):
-    """For every tenth tree and each digest: how many of the other trees have it too, and the first of them; the digest of nothing never matches.
+    """For every tree of the benchmark (eight of forty) and each digest: how many of the other trees have it too, and the first of them; the digest of nothing never matches.
 
     The core is counted by digest before the join, so a common shape stays one row.
     """
     rows = trees.digest_rows(features_of(spark, sf_dir), "id")
-    core = rows.where("id % 10 <> 0").groupBy("component", "digest").agg(F.count(F.lit(1)).alias("matches"), F.min("id").alias("first_core_id"))
-    return rows.where("id % 10 = 0").join(core, ["component", "digest"]).select(F.col("id").alias("bench_id"), "component", "matches", "first_core_id")
+    core = rows.where("id % 40 >= 8").groupBy("component", "digest").agg(F.count(F.lit(1)).alias("matches"), F.min("id").alias("first_core_id"))
+    return rows.where("id % 40 < 8").join(core, ["component", "digest"]).select(F.col("id").alias("bench_id"), "component", "matches", "first_core_id")
 
 
 # Semantic patterns, of a row's snippet (which varies little) and its tree.
@@ -189,27 +189,27 @@ def q126_semantic_hashes(spark, sf_dir):
 
 
 @query(f"""{D_PATTERNS}, u AS (SELECT id, unnest(['strict', 'abstract']) AS level, unnest([strict_hash, abstract_hash]) AS digest FROM keys)
-    SELECT b.id AS bench_id, level, count(*) AS matches, min(c.id) AS first_core_id FROM u b JOIN u c USING (level, digest) WHERE b.id % 10 = 0 AND c.id % 10 <> 0 GROUP BY b.id, level""")
+    SELECT b.id AS bench_id, level, count(*) AS matches, min(c.id) AS first_core_id FROM u b JOIN u c USING (level, digest) WHERE b.id % 40 < 8 AND c.id % 40 >= 8 GROUP BY b.id, level""")
 def q127_semantic_matches(spark, sf_dir):
-    """For every tenth row and each level of key: how many of the others have it too, and the first of them."""
+    """For every row of the benchmark and each level of key: how many of the others have it too, and the first of them."""
     pairs = F.array(*(F.struct(F.lit(k).alias("level"), F.col(f"{k}_hash").alias("digest")) for k in ("strict", "abstract")))
     rows = semantic_keys(spark, sf_dir).select("id", F.explode(pairs).alias("p")).select("id", "p.*")
-    core = rows.where("id % 10 <> 0").groupBy("level", "digest").agg(F.count(F.lit(1)).alias("matches"), F.min("id").alias("first_core_id"))
-    return rows.where("id % 10 = 0").join(core, ["level", "digest"]).select(F.col("id").alias("bench_id"), "level", "matches", "first_core_id")
+    core = rows.where("id % 40 >= 8").groupBy("level", "digest").agg(F.count(F.lit(1)).alias("matches"), F.min("id").alias("first_core_id"))
+    return rows.where("id % 40 < 8").join(core, ["level", "digest"]).select(F.col("id").alias("bench_id"), "level", "matches", "first_core_id")
 
 
 RISK = ("typed_ast_hash", "untyped_ast_hash", "composite_hash", "array_access_hash", "assignment_tree_hash")
 
 
-@query(f"""{D_PATTERNS}, x AS (SELECT b.id AS bench_id, c.id AS core_id, array_to_string([x for x in [{", ".join(f"CASE WHEN b.{k} = c.{k} THEN '{k}' END" for k in RISK)}] if x IS NOT NULL], ',') AS same_components, {", ".join(f"c.{k} AS {k}" for k in RISK)} FROM keys b JOIN keys c USING (abstract_hash) WHERE b.id % 10 = 0 AND c.id % 10 <> 0)
+@query(f"""{D_PATTERNS}, x AS (SELECT b.id AS bench_id, c.id AS core_id, array_to_string([x for x in [{", ".join(f"CASE WHEN b.{k} = c.{k} THEN '{k}' END" for k in RISK)}] if x IS NOT NULL], ',') AS same_components, {", ".join(f"c.{k} AS {k}" for k in RISK)} FROM keys b JOIN keys c USING (abstract_hash) WHERE b.id % 40 < 8 AND c.id % 40 >= 8)
     SELECT bench_id, min(core_id) AS core_id, count(*) AS copies, same_components FROM x WHERE same_components <> '' GROUP BY bench_id, same_components, {", ".join(RISK)}""")
 def q128_semantic_high_risk(spark, sf_dir):
-    """Pairs of equal abstract keys that agree in one of five digests at least, with those that agree; every tenth row stands for the benchmark.
+    """Pairs of equal abstract keys that agree in one of five digests at least, with those that agree; eight rows of forty stand for the benchmark.
 
     Rows of the core with one key and one set of digests are one class: its first row stands for its copies.
     """
     keys = semantic_keys(spark, sf_dir)
-    classes = keys.where("id % 10 <> 0").groupBy("abstract_hash", *RISK).agg(F.min("id").alias("core_id"), F.count(F.lit(1)).alias("copies")).withColumnsRenamed({k: f"core_{k}" for k in RISK})
-    both = keys.where("id % 10 = 0").withColumnRenamed("id", "bench_id").join(classes, "abstract_hash")
+    classes = keys.where("id % 40 >= 8").groupBy("abstract_hash", *RISK).agg(F.min("id").alias("core_id"), F.count(F.lit(1)).alias("copies")).withColumnsRenamed({k: f"core_{k}" for k in RISK})
+    both = keys.where("id % 40 < 8").withColumnRenamed("id", "bench_id").join(classes, "abstract_hash")
     same = F.filter(F.array(*(F.when(F.col(k) == F.col(f"core_{k}"), F.lit(k)) for k in RISK)), lambda x: x.isNotNull())
     return both.where(F.size(same) > 0).select("bench_id", "core_id", "copies", F.array_join(same, ",").alias("same_components"))
