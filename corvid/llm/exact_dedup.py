@@ -66,9 +66,10 @@ def digest_classes(rows: DataFrame, smallest: bool = True, nodes: int | None = N
     lose against any other, and a class of nulls retains null.
     """
     nodes = nodes or tree_nodes(rows.count())
-    sign = F.lit(-1 if smallest else 1)
+    # The largest of the complements is that of the smallest identifier; unlike negation it holds for every long.
+    turned = F.bitwise_not if smallest else lambda c: c
     node = F.spark_partition_id() % nodes
-    run = rows.select(node.cast("int").alias("node"), "digest", "bytes", "crc", (F.col("id") * sign).alias("keep"), F.lit(1).cast("long").alias("rows"))
+    run = rows.select(node.cast("int").alias("node"), "digest", "bytes", "crc", turned(F.col("id")).alias("keep"), F.lit(1).cast("long").alias("rows"))
     # The first run: what one partition holds, merged where it lies.
     run = run.sortWithinPartitions("node", "digest", "bytes", "crc").mapInArrow(merge_sorted, RUN)
     owner = F.conv(F.substring("digest", 1, 6), 16, 10).cast("int")
@@ -76,7 +77,7 @@ def digest_classes(rows: DataFrame, smallest: bool = True, nodes: int | None = N
         run = merged(run.withColumn("node", F.col("node").bitwiseAND(F.lit(~bit)).bitwiseOR(owner.bitwiseAND(F.lit(bit)))), nodes)
     if nodes == 1:
         run = merged(run, 1)
-    return run.select("digest", "bytes", "crc", (F.col("keep") * sign).alias("keep"), "rows")
+    return run.select("digest", "bytes", "crc", turned(F.col("keep")).alias("keep"), "rows")
 
 
 def digests(docs: DataFrame, text: Column, id: str = "doc_id") -> DataFrame:
