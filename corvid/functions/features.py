@@ -83,6 +83,7 @@ def primary_category(strategy: Column, needs_context: Column, unsuitable: Column
 
 def structure_key(code: Column, most: int = 80) -> Column:
     """Counts of loops, branches, accesses and operators, and the first `most` vector intrinsics with their categories, in one line."""
+    # What is counted, and how the line names it.
     n = lambda pattern: F.regexp_count(code, F.lit(pattern)).cast("string")
     has = lambda part: F.contains(code, F.lit(part)).cast("int").cast("string")
     named = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))

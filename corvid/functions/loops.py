@@ -196,6 +196,7 @@ def loop_flags(functions: DataFrame, id: str) -> DataFrame:
     return rows.select(id, "nth", loop["begin"].alias("begin"), loop["end"].alias("end"), *(F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items()))
 
 
+#: Fixed value: numbers, constants and names that make an initial value plain.
 PLAIN = r"^(?:[-+]?(?:0x[0-9A-Fa-f]+|\d+(?:\.\d+)?)[uUlLfF]*|true|false|NULL|nullptr|\"\"|\{\s*\}|[A-Za-z_]\w*)?$"
 
 

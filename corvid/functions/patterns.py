@@ -35,6 +35,7 @@ def occurrences(text: Column, part: str) -> Column:
 
 def semantic_pattern(bare: Column, sig: Column, feature: dict[str, Column]) -> Column:
     """The pattern of bare code with its signature and tree features (max_loop_depth and the lists); its fields are in the order of their names."""
+    # Layouts and reductions with the names and marks that show them.
     found = lambda rules: F.filter(F.array(*(F.when(r, F.lit(k)) for k, r in sorted(rules.items()))), lambda x: x.isNotNull())
     has = lambda *parts: labels({p: F.contains(bare, F.lit(p)) for p in parts}, "") != F.array(F.lit(""))
     affine = F.exists(feature["array_access"], lambda a: F.contains(a, F.lit("*")) | F.contains(a, F.lit("+")))

@@ -18,14 +18,19 @@ def tail_free(text: Column) -> Column:
 
 
 def comment_body(text: Column, requirement: str) -> Column:
-    """What the first block comment says, or else the whole text: no stars before lines, nothing from a line on that begins with `requirement`, no empty function at the end, one blank line at most between others."""
-    s = without_fences(F.coalesce(text, F.lit("")))
-    inside = F.regexp_extract(s, r"/\*((?s:.*?))\*/", 1)
-    s = F.when(F.rlike(s, F.lit(r"/\*(?s:.*?)\*/")), inside).otherwise(s)
-    s = F.regexp_replace(s, r"(?m)^\s*\*[ \t\n]?", "")
-    s = F.regexp_replace(s, rf"(?is)\n\s*\Q{requirement}\E.*$", "")
-    s = F.regexp_replace(s, r"\n\s*[A-Za-z_][\w\s*]+[A-Za-z_]\w*\s*\([^;{}]*\)\s*\{\s*\}\s*$", "")
-    return bare(F.regexp_replace(s, r"\n{3,}", "\n\n"))
+    """What the first block comment says, or else the whole text: its lines without stars and blank lines before them, up to one that begins with `requirement`, no empty function at the end, one blank line at most between others."""
+    whole = without_fences(F.coalesce(text, F.lit("")))
+    begin = F.locate("/*", whole)
+    after = F.substr(whole, begin + 2)
+    end = F.locate("*/", after)
+    said = F.when((begin > 0) & (end > 0), F.substr(after, F.lit(1), end - 1)).otherwise(whole)
+    # Blank lines before a starred one go, and so do lines of nothing but a star.
+    starred = F.split(F.regexp_replace(said, r"\n\s*\n(?=[ \t]*\*)", "\n"), "\n")
+    plain = F.filter(F.transform(starred, lambda line: F.when(F.ltrim(line) == "*", F.lit(None)).when(F.startswith(F.ltrim(line), F.lit("*")), F.regexp_replace(F.substr(F.ltrim(line), F.lit(2)), r"^[ \t]", "")).otherwise(line)), lambda line: line.isNotNull())
+    stops = F.filter(F.transform(plain, lambda line, i: F.struct(i.alias("i"), F.startswith(F.lower(F.ltrim(line)), F.lit(requirement.lower())).alias("stop"))), lambda x: x["stop"] & (x["i"] > 0))
+    kept = F.array_join(F.when(F.size(stops) > 0, F.slice(plain, F.lit(1), F.get(stops, 0)["i"])).otherwise(plain), "\n")
+    kept = F.regexp_replace(kept, r"\n[ \t]*[A-Za-z_][^\n;{}()]*\([^;{}]*\)\s*\{\s*\}\s*$", "")
+    return bare(F.regexp_replace(kept, "\n\n\n+", "\n\n"))
 
 
 def with_notes(description: Column, notes: dict[str, Column]) -> Column:
@@ -43,6 +48,7 @@ def prompt_text(signature: Column, description: Column, prelude: Column, include
 
 def reporting_harness(harness: Column, name: str = "checked_main") -> Column:
     """A harness whose main reports `correctness`: one that says so itself stays; else its main is renamed and called by one that prints whether it returned 0."""
+    # Fixed value: the line that a harness prints.
     body = without_fences(F.coalesce(harness, F.lit("")))
     head = r"\bint\s+main\s*\(\s*(?:void\s*)?\)"
     before = F.regexp_extract(body, rf"^((?s:.*?)){head}((?s:.*))$", 1)
@@ -58,6 +64,7 @@ def extern_declaration(signature: Column) -> Column:
 
 def strategy(listed: Column, prelude: Column, signature: Column, names: tuple[str, ...]) -> Column:
     """struct(strategy, needs_context, reasons) of a task: the strategy that a table lists for it, else pure; context where its prelude defines something, or its signature has a standard type or one of `names`."""
+    # Words that begin a definition.
     chosen = F.coalesce(listed, F.lit("pure"))
     defines = F.rlike(F.coalesce(prelude, F.lit("")), F.lit(r"(?m)^\s*(?:#define|typedef|using|enum)\b"))
     special = F.exists(F.array(F.lit("std::"), *map(F.lit, names)), lambda n: F.contains(F.coalesce(signature, F.lit("")), n))
