@@ -53,7 +53,7 @@ TEXTS = [None, "", " \t\n", "one", "a " * 24, "a " * 23, "x y z " * 9, "a b " *
 
 def all_texts():
     rng = random.Random(3)
-    return TEXTS + [" ".join(repetitive(rng, rng.randrange(1, 400))) for _ in range(120)]
+    return TEXTS + [" ".join(repetitive(rng, rng.randrange(1, 250))) for _ in range(60)]
 
 
 @pytest.mark.parametrize("work", [runs.WORK, 3000, 40])
@@ -71,7 +71,7 @@ def test_runs(spark, monkeypatch, work):
         want = brute_runs(words)
         assert [(x.start, x.period, x.length) for x in r.runs] == want
         assert r.collapsed == collapsed(words, want)
-    assert sum(bool(r.runs) for r in rows) > 40
+    assert sum(bool(r.runs) for r in rows) > 20
     assert runs.periodic_runs(frame.limit(0)).count() == 0
 
 
@@ -101,7 +101,7 @@ def test_runs_query(spark, sf):
             p = 1 + (n - a) // (3 + g % 8)
             words = [words[a + (i - a) % p] if i >= a else words[i] for i in range(n)]
             planted += 1
-        found = brute_runs(words) if n < 700 else sorted((int(s), int(q), int(k)) for s, k, q in runs.runs_of(*runs.split_words(pa.array([" ".join(words)])), 24, 3)[1])
+        found = brute_runs(words) if n < 300 else sorted((int(s), int(q), int(k)) for s, k, q in runs.runs_of(*runs.split_words(pa.array([" ".join(words)])), 24, 3)[1])
         best = min(found, key=lambda x: (-Fraction(x[2], x[1]), x[0], x[1]), default=None)
         assert r.n_runs == len(found)
         assert (r.start, r.length, r.period, r.exponent_milli) == ((best[0], best[2], best[1], 1000 * best[2] // best[1]) if best else (None,) * 4)
