@@ -1,10 +1,16 @@
 """Plans of queries whose rows are heavy: their work is dealt over tasks, and nothing that grows with the table goes through the driver."""
 
 import contextlib
+import hashlib
 import io
+import tracemalloc
 
+import pyarrow as pa
 import pytest
+import regex
+from pyspark.sql import functions as F
 
+from corvid.operators import nesting, similarity
 from corvid.plans import code_catalog, loop_catalog, task_catalog, tree_catalog  # noqa: F401  they register their queries
 from corvid.plans.catalog import QUERIES
 
@@ -34,3 +40,36 @@ def test_growing_sides_are_not_broadcast(spark, sf, name):
 @pytest.mark.parametrize("name", ["q77_semantic_features", "q126_semantic_hashes"])
 def test_rows_are_not_joined_with_themselves(spark, sf, name):
     assert "Join" not in plan(QUERIES[name](spark, sf))
+
+
+def test_every_slot_hashes_every_shingle(spark, sf):
+    """q08's slots against md5 of each shingle with the slot's number before it."""
+    text = spark.read.parquet(f"{sf}/benchmark.parquet").where("item_id = 0").first().text
+    t = regex.findall(r"[a-z_][\p{L}\p{N}_]*|[0-9]+", text.lower())
+    runs = {" ".join(t[k : k + 5]) for k in range(len(t) - 4)}
+    got = QUERIES["q08_minhash_portable"](spark, sf).where("dataset = 'bench' AND id = 0").first()
+    assert [got[f"m{k}"] for k in range(16)] == [min(int(hashlib.md5(f"{k}:{s}".encode()).hexdigest()[:15], 16) for s in runs) for k in range(16)]
+
+
+def test_signatures_take_texts_in_blocks(spark):
+    """No batch holds runs of words (five times the text), and a long text is hashed in blocks."""
+    texts = pa.array([" ".join(f"w{k}" for k in range(20000)), "a b", "", None])
+    tracemalloc.start()
+    got = similarity.blake_text_signatures.func(texts).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000
+    assert got[2] == got[3] == {"minhash": [0] * 64, "simhash": 0} and any(got[1]["minhash"])
+
+
+def test_rows_of_nested_texts_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.createDataFrame([("t", "a", None, 1, "A {", "}"), ("t", "b", "a", 2, "B", None), ("t", "c", "a", 1, "C", None)], "tree string, id string, parent string, place int, head string, tail string")
+    got = nesting.assembled(rows.withColumn("head", noted("head")), "tree", "id", "parent", "place", "head", "tail").collect()
+    assert [r.text for r in got] == ["A {\n  C\n  B\n}"] and seen.value == 3
