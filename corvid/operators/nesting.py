@@ -56,7 +56,8 @@ def assembled(rows: DataFrame, tree: str, id: str, parent: str, order: str, head
     lead to no top (to a missing row, or in a circle) is in no text. A tree's text is one
     row, so it has to fit one task.
     """
-    slim = rows.select(tree, id, parent, order, head, tail)
+    # Every level reads the rows, so they are worked out once.
+    slim = materialize(rows.select(tree, id, parent, order, head, tail))
     levels = [slim.where(F.col(parent).isNull())]
     while True:
         below = materialize(slim.join(levels[-1].select(tree, F.col(id).alias(parent)), [tree, parent]).select(*slim.columns))

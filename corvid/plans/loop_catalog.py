@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corvid.functions import loops, regions
 from corvid.operators import nesting
 from corvid.plans.registry import query
-from corvid.sources.tables import materialize, table
+from corvid.sources.tables import materialize, spread, table
 
 HEAD, UP, BACK = "for (int @v = 0; @v < n; ++@v)", "for (int @v = 1; @v < n; ++@v)", "while (lo < hi)"
 
@@ -102,7 +102,7 @@ D_WANTED = "(VALUES " + ", ".join(f"({k}, {nth}, '{kind}')" for k, nth, kind in
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", f"{CHOSEN} AS j")
+    rows = spread(table(spark, sf_dir, "part")).selectExpr("p_partkey AS id", f"{CHOSEN} AS j")
     return rows.select("id", F.from_json("j", loops.RECORD).alias("r")).select("id", "r.*")
 
 
