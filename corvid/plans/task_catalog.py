@@ -12,7 +12,7 @@ from corvid.functions import code, features, prompts, text
 from corvid.operators import contracts, ordering
 from corvid.plans.code_catalog import D_CONTROL, HARD, NESTED, among
 from corvid.plans.registry import query
-from corvid.sources.tables import table
+from corvid.sources.tables import spread, table
 
 K = "p_partkey"
 REQUIRED = ["#include", "int main", "```"]
@@ -72,7 +72,7 @@ def q138_function_name_matches(spark, sf_dir):
 
     Counted by name and shape on either side, so that no pair is written.
     """
-    rows = table(spark, sf_dir, "part").selectExpr(f"{K} AS id", f"{HARD} AS code")
+    rows = spread(table(spark, sf_dir, "part")).selectExpr(f"{K} AS id", f"{HARD} AS code")
     heads = text.barrier(rows.select("id", code.function_heads(F.col("code")).alias("h")), "h")
     shape = code.type_shape(F.coalesce(F.get("h", 0)["head"], F.lit("")))
     named = heads.select("id", shape.alias("shape"), F.explode(F.array_distinct(F.transform("h", lambda x: x["name"]))).alias("name"))
@@ -89,7 +89,7 @@ def q138_function_name_matches(spark, sf_dir):
           || CASE WHEN p_size % 2 = 0 THEN ',int (*cb)(int, float (*)(int))' ELSE '' END || CASE WHEN p_size % 3 = 0 THEN ',std::map<int, std::vector<std::pair<int, int>>>&NAME' ELSE '' END || CASE WHEN p_size % 5 = 0 THEN ',int d = g(1, h(2, 3))' ELSE '' END END AS key FROM part""")
 def q139_signature_keys(spark, sf_dir):
     """Types of the last function of every snippet; the key for the SQL is put together from the row's numbers."""
-    return table(spark, sf_dir, "part").selectExpr(f"{K} AS id", f"{HARD} AS code").select("id", code.signature_key(F.col("code")).alias("key"))
+    return spread(table(spark, sf_dir, "part")).selectExpr(f"{K} AS id", f"{HARD} AS code").select("id", code.signature_key(F.col("code")).alias("key"))
 
 
 MODES = f"CASE WHEN {K} % 5 = 0 THEN 'c11, cxx17 ,c11' WHEN {K} % 5 = 1 THEN ' c11' WHEN {K} % 5 = 2 THEN 'rust,,' WHEN {K} % 5 = 3 THEN 'cxx17,asm,c11' END"
@@ -120,7 +120,7 @@ D_SAID = f"CASE WHEN {K} % 5 = 0 OR {K} % 3 = 0 THEN body || chr(10) || chr(10)
         SELECT {K} AS id, '#include <v.h>' || chr(10) || chr(10) || CASE WHEN {K} % 7 = 0 THEN '#define N 3' || chr(10) || chr(10) ELSE '' END || '/*' || chr(10) || said || chr(10) || chr(10) || '{MUST}' || chr(10) || '*/' || chr(10) || chr(10) || {SIG} || ' {{' || chr(10) || '}}' || chr(10) AS prompt FROM s""".replace("{{", "{").replace("}}", "}"))
 def q142_prompts(spark, sf_dir):
     """Prompts from what comments say, with notes and one requirement; for the SQL they are put together from the row's numbers."""
-    rows = table(spark, sf_dir, "part").selectExpr(f"{K} AS id", f"{COMMENT} AS comment", f"{SIG} AS sig", f"CASE WHEN {K} % 7 = 0 THEN ' #define N 3 ' ELSE ' ' END AS prelude")
+    rows = spread(table(spark, sf_dir, "part")).selectExpr(f"{K} AS id", f"{COMMENT} AS comment", f"{SIG} AS sig", f"CASE WHEN {K} % 7 = 0 THEN ' #define N 3 ' ELSE ' ' END AS prelude")
     body = prompts.comment_body(F.col("comment"), MUST)
     said = prompts.with_notes(body, {note: F.contains(body, F.lit(word)) for note, word in NOTES.items()})
     return rows.select("id", prompts.prompt_text(F.col("sig"), said, F.col("prelude"), "#include <v.h>", MUST).alias("prompt"))
