@@ -10,6 +10,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+from corvid.functions import trees
 from corvid.operators import nesting, similarity
 from corvid.plans import code_catalog, loop_catalog, task_catalog, tree_catalog  # noqa: F401  they register their queries
 from corvid.plans.catalog import QUERIES
@@ -73,3 +74,32 @@ def test_rows_of_nested_texts_are_worked_out_once(spark):
     rows = spark.createDataFrame([("t", "a", None, 1, "A {", "}"), ("t", "b", "a", 2, "B", None), ("t", "c", "a", 1, "C", None)], "tree string, id string, parent string, place int, head string, tail string")
     got = nesting.assembled(rows.withColumn("head", noted("head")), "tree", "id", "parent", "place", "head", "tail").collect()
     assert [r.text for r in got] == ["A {\n  C\n  B\n}"] and seen.value == 3
+
+
+def test_trees_of_one_shape_are_read_once(spark, sf, monkeypatch):
+    """Rows whose trees differ in texts that no feature shows are one group; pieces of large tables have the same matches."""
+    rows = QUERIES["q125_tree_digest_matches"](spark, sf).collect()
+    groups = tree_catalog.features_of(spark, sf).select("ids").collect()
+    ids = [i for g in groups for i in g.ids]
+    assert len(ids) == len(set(ids)) == QUERIES["q124_tree_lists"](spark, sf).count() and len(groups) < len(ids) * 0.8
+    monkeypatch.setattr(trees, "TOGETHER", 20)
+    assert len(tree_catalog.features_of(spark, sf).select("ids").collect()) > len(groups)
+    assert sorted(rows) == sorted(QUERIES["q125_tree_digest_matches"](spark, sf).collect())
+
+
+def test_shapes_keep_what_features_show(spark):
+    """Features of a tree's shape are the tree's, also where something else than a plain name is called or a text is escaped."""
+    leaf = lambda kind, text, field="": f'{{"type":"{kind}"{field},"text":"{text}"}}'
+    call = lambda called: f'{{"type":"call_expression","children":[{called},{leaf("identifier", "arg")}]}}'
+    own = ',"field":"function"'
+    member = f'{{"type":"field_expression"{own},"children":[{leaf("identifier", "svobj")},{leaf("field_identifier", "svm")}]}}'
+    below = f'{{"type":"identifier"{own},"text":"f","children":[{leaf("identifier", "svx")}]}}'
+    texts = [
+        call(leaf("identifier", "svadd_f32_x", own)), call(leaf("identifier", "mine", own)), call(member), call(below), call(leaf("identifier", "svq", ', "field" : "function"')), call(leaf("identifier", "svq", ',"field":"funct\\u0069on"')),
+        f'{{"type":"block","children":[{leaf("primitive_type", "int")},{leaf("number_literal", "7")},{leaf("number_literal", "+").replace(",", ",\"named\":false,", 1)},{leaf("identifier", "a{")}]}}', '{"type":"number_literal","text":"a\tb"}', "no tree", None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, j string").withColumn("shape", trees.shape_text(F.col("j")))
+    found = lambda c: sorted(trees.tree_features(rows.select("id", trees.parsed_nodes(c).alias("nodes")), "id", "nodes").collect())
+    assert found("j") == found("shape") and len(found("j")) == 7
+    shown = {r.id: r.shape for r in rows.collect()}
+    assert "svadd_f32_x" in shown[0] and '"arg"' not in shown[0] and "svobj" in shown[2] and "svx" in shown[3] and '"7"' not in shown[6] and '"+"' in shown[6]
