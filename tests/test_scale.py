@@ -3,6 +3,7 @@
 import contextlib
 import hashlib
 import io
+import random
 import tracemalloc
 
 import pyarrow as pa
@@ -103,3 +104,22 @@ def test_shapes_keep_what_features_show(spark):
     assert found("j") == found("shape") and len(found("j")) == 7
     shown = {r.id: r.shape for r in rows.collect()}
     assert "svadd_f32_x" in shown[0] and '"arg"' not in shown[0] and "svobj" in shown[2] and "svx" in shown[3] and '"7"' not in shown[6] and '"+"' in shown[6]
+
+
+def test_hot_shingles_make_no_pairs_of_rows(spark, monkeypatch):
+    """Sets that share a few very common values, some of them mostly such: the same pairs as by a count of all that is shared, though common values join only rows that they make up."""
+    monkeypatch.setattr(similarity, "HOT", 6)
+    monkeypatch.setattr(similarity, "HOT_PAIRS", 100)
+    rng = random.Random(5)
+    sets = [(k, sorted({h for h in range(8) if rng.random() < 0.8} | {100 + rng.randrange(60) for _ in range(rng.choice((0, 1, 3, 9, 15)))})) for k in range(120)]
+    rows = spark.createDataFrame([r for r in sets if r[1]], "id long, s array<bigint>")
+    left, right = rows.where("id % 4 > 0").withColumnRenamed("id", "a"), rows.where("id % 4 = 0").withColumnRenamed("id", "b")
+    assert len(similarity.hot_shingles(left, right)) == 6
+    got = {(r.a, r.b): (r.shared, r.jaccard, r.containment) for r in similarity.bounded_overlap(left, right, "a", "b", 0.45, 0.75).collect()}
+    want = {}
+    for i, x in ((i, set(x)) for i, x in sets if i % 4 and x):
+        for j, y in ((j, set(y)) for j, y in sets if j % 4 == 0 and y):
+            n = len(x & y)
+            if n and (n / len(x | y) >= 0.45 or n / min(len(x), len(y)) >= 0.75):
+                want[i, j] = (n, n / len(x | y), n / min(len(x), len(y)))
+    assert got == want and want
