@@ -11,7 +11,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from corvid.functions import trees
+from corvid.functions import code, patterns, trees
 from corvid.operators import nesting, similarity
 from corvid.plans import code_catalog, loop_catalog, task_catalog, tree_catalog  # noqa: F401  they register their queries
 from corvid.plans.catalog import QUERIES
@@ -106,6 +106,42 @@ def test_shapes_keep_what_features_show(spark):
     assert "svadd_f32_x" in shown[0] and '"arg"' not in shown[0] and "svobj" in shown[2] and "svx" in shown[3] and '"7"' not in shown[6] and '"+"' in shown[6]
 
 
+def test_codes_of_one_shape_are_read_once(spark, tmp_path, monkeypatch):
+    """Facts of code are worked out once for all rows whose code and tree differ in nothing that shows, in pieces too."""
+    every = 4 * 9 * 5 * 7 * 11 * 13 * 17  # Keys so far apart have the same statements.
+    rows = [(every * k + 2, f"name {k}", f"Brand#{k}", "SMALL" if k % 2 else "MEDIUM", 1 + 6 * (k % 3)) for k in range(90)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    seen, bare = spark.sparkContext.accumulator(0), patterns.bare_code
+
+    @F.udf("string")
+    def noted(x):
+        seen.add(1)
+        return x
+
+    monkeypatch.setattr(patterns, "bare_code", lambda text: bare(noted(text)))
+    got = sorted(QUERIES["q126_semantic_hashes"](spark, str(tmp_path)).collect())
+    assert [r.id for r in got] == [r[0] for r in rows] and 1 <= seen.value <= 3
+    monkeypatch.setattr(trees, "TOGETHER", 30)
+    assert sorted(QUERIES["q126_semantic_hashes"](spark, str(tmp_path)).collect()) == got
+
+
+def test_code_shapes_keep_what_facts_show(spark):
+    """Facts of a code's shape are the code's: random codes of words, numbers, marks, comments and literals, cut anywhere, and heads of functions."""
+    rng = random.Random(11)
+    words = ["name", "x1", "fn123", "_a", "for", "before", "whiles", "while", "if", "else", "svld2_f32", "mysvst1", "svaddv", "gather", "scatters", "PrOduct", "products", "sin", "asin", "sin2", "sqrtf", "std::vector", "std::sort", "a::int", "int", "int32_t", "int32", "const", "void", "éfor", "abcé", "intß", "e\u0301x", "\U00010400a", "sort", "string"]
+    numbers = ["2", "22", "0", "17", "2.5", "1.2", "2f", "0x12", "12é", "²", "2_", "1e2"]
+    marks = ["*", " * ", "/*", "*/", "//", '"', "'", "\\", '\\"', "\\n", "\n", " ", "(", ")", "{", "}", "[", "]", ",", ";", ".", "->", "+=", "*=", "<<", "&&", "#", "<", ">", "::", "=", "&"]
+    head = lambda: f"{rng.choice(['static ', '', '/* c 1 */ ', '#include <v1>' + chr(10)])}{rng.choice(words)} {rng.choice(words)}({', '.join(' '.join(rng.choice([*words, '*', '&', '2']) for _ in range(3)) for _ in range(rng.randrange(4)))}) {{\n"
+    made = ["".join(head() if rng.random() < 0.08 else rng.choice(rng.choice([words, words, numbers, marks, marks, [" "]])) for _ in range(rng.randrange(60))) for _ in range(600)] + ["", None]
+    rows = spark.createDataFrame(list(enumerate(made)), "id int, code string").withColumn("shape", patterns.code_shape(F.col("code")))
+    facts = lambda c: {r.id: r.f for r in rows.select("id", patterns.code_facts(patterns.bare_code(F.col(c)), code.signature(F.col(c))).alias("f")).collect()}
+    mine, theirs = facts("shape"), facts("code")
+    assert all(mine[k] == theirs[k] for k in range(len(made)))
+    assert sum(f.signature.arity > 0 for f in theirs.values() if f.signature) > 100 and len({str(f) for f in theirs.values()}) > 300
+    shown = lambda text: spark.createDataFrame([(text,)], "c string").select(patterns.code_shape(F.col("c")).alias("s")).first().s
+    assert shown("int fn123(const T a7) { for (i = 12; i < 2; ++i) y[2*i] += 1.5 * sqrtf(svld2(p)); } // gone 9") == "int x(const x x) { for (x = 0; x < 2; ++x) x[2*x] += 0.0 * sqrtf(svld2(x)); } // x 0"
+
+
 def test_hot_shingles_make_no_pairs_of_rows(spark, monkeypatch):
     """Sets that share a few very common values, some of them mostly such: the same pairs as by a count of all that is shared, though common values join only rows that they make up."""
     monkeypatch.setattr(similarity, "HOT", 6)
