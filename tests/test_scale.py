@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import functions as F
 
 from corvid.functions import code, patterns, trees
-from corvid.operators import nesting, similarity
+from corvid.operators import nesting, overlap, similarity
 from corvid.plans import code_catalog, loop_catalog, task_catalog, tree_catalog  # noqa: F401  they register their queries
 from corvid.plans.catalog import QUERIES
 
@@ -159,3 +159,51 @@ def test_hot_shingles_make_no_pairs_of_rows(spark, monkeypatch):
             if n and (n / len(x | y) >= 0.45 or n / min(len(x), len(y)) >= 0.75):
                 want[i, j] = (n, n / len(x | y), n / min(len(x), len(y)))
     assert got == want and want
+
+
+def overlaps(x: dict, y: dict) -> dict:
+    """(shared, sizes) of every two sets that reach a bound of q15."""
+    n = {(i, j): len(s & t) for i, s in x.items() for j, t in y.items()}
+    return {(i, j): (k, len(x[i]), len(y[j])) for (i, j), k in n.items() if k and (k / (len(x[i]) + len(y[j]) - k) >= 0.45 or k / min(len(x[i]), len(y[j])) >= 0.75)}
+
+
+def test_shared_shingles_make_no_rows(spark, sf):
+    """No row for every two pages that share a shingle: nothing is joined or shuffled."""
+    steps = plan(QUERIES["q15_semantic_high_risk"](spark, sf))
+    assert "Join" not in steps and "Exchange" not in steps
+
+
+@pytest.mark.parametrize("block", [1 << 22, 150])
+def test_overlaps_in_blocks(spark, monkeypatch, block):
+    """Sets of all sizes, of common and rare values, parts and near copies of one another, either side the smaller: all pairs and no other, in one block and in many."""
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    monkeypatch.setattr(overlap, "MOST_BITS", 1 << 16)
+    rng = random.Random(7)
+    value = lambda: rng.randrange(12) if rng.random() < 0.3 else rng.choice((1, -1)) * rng.getrandbits(62)
+    sets = [set() if k % 40 == 7 else {value() for _ in range(rng.choice((1, 2, 5, 20, 60)))} for k in range(60)]
+    for _ in range(140):
+        old = sorted(rng.choice(sets))
+        sets.append({v for v in old if rng.random() < rng.choice((0.4, 0.62, 0.75, 1))} | {value() for _ in range(rng.randrange(1 + len(old)))})
+    rows = spark.createDataFrame([(k, sorted(s)) for k, s in enumerate(sets)], "id long, s array<bigint>")
+    left, right = rows.where("id % 2 = 0").withColumnRenamed("id", "a"), rows.where("id % 2 = 1").select(F.concat(F.lit("b"), "id").alias("b"), "s")
+    got = similarity.bounded_overlap(left, right, "a", "b", 0.45, 0.75).collect()
+    want = overlaps({k: s for k, s in enumerate(sets) if k % 2 == 0}, {f"b{k}": s for k, s in enumerate(sets) if k % 2})
+    assert {(r.a, r.b): (r.shared, r.n_a, r.n_b) for r in got} == want and len(got) == len(want) > 100
+    assert len({r.a for r in got if r.n_a < r.n_b}) > 20 and len({r.a for r in got if r.n_a > r.n_b}) > 20
+    assert similarity.bounded_overlap(left.limit(0), right, "a", "b", 0.45, 0.75).collect() == similarity.bounded_overlap(left, right.limit(0), "a", "b", 0.45, 0.75).collect() == []
+
+
+def test_sets_of_hashed_runs(spark, monkeypatch):
+    """Runs of five words in their order, words of shorter texts, texts of one key only; a long text is a slice of its own."""
+    monkeypatch.setattr(overlap, "SLICE", 40)
+    rng = random.Random(3)
+    texts = ["", None, "a", "a b a", "a b c d", "a b c d e", "e d c b a", "b a c d e", " ".join("ab"[rng.randrange(2)] for _ in range(200)), *(" ".join(rng.choice("abcde") for _ in range(rng.randrange(30))) for _ in range(60))]
+    rows = spark.createDataFrame([(k, t, f"k{k % 7 // 4}") for k, t in enumerate(texts)] + [(900 + k, t, "k0") for k, t in enumerate(texts)], "id long, text string, key string")
+    got = similarity.semantic_matches(rows.where("id < 900").withColumnRenamed("id", "a"), rows.where("id >= 900").withColumnRenamed("id", "b"), "a", "b", "key").collect()
+
+    def runs(t):
+        w = (t or "").split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {(x,) for x in w}
+
+    want = overlaps({k: runs(t) for k, t in enumerate(texts) if k % 7 < 4}, {900 + k: runs(t) for k, t in enumerate(texts)})
+    assert {(r.a, r.b): (r.shared, r.n_a, r.n_b) for r in got} == want and len(got) == len(want) > 40
